@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewire.llm import jaccard, langid, media, pii
+from tidewire.llm import cube, jaccard, langid, media, pii
 from tidewire.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cube.mix(table(spark, sf_dir, "documents"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -28,6 +32,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii": op2_pii,
+    "op4_mixing": op4_mixing,
     "op5_language": op5_language,
     "op8_jaccard": op8_jaccard,
     "op10_media": op10_media,
