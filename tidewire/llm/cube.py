@@ -7,8 +7,8 @@ space of the balancing constraints, so both totals keep their expected value, un
 
 The flight is spread over tasks: a source's documents are dealt by hash into blocks of BLOCK; each block flies until at most
 two documents are undecided, small ones as large ones fly first; the undecided of all blocks fly again together, in blocks, until each source has one block.
-The landing problem of at most two documents per source is drawn so that inclusion probabilities still hold. The totals
-of a source are off by at most these documents.
+The landing problem of at most two documents per source is drawn by their probabilities. What the draw has put the words
+off by is then made good by at most EXCHANGES exchanges, in the last block, of a document taken for one not taken.
 
 All random numbers derive from doc_id, source and size, so reruns agree. Documents without words are taken 0 times. Null
 texts have no words; null is a source of its own, last in order; repeated rows are separate documents.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tidewire.llm.common import WORD, materialize
 
-WEIGHTS, LIMIT, BLOCK = (5, 2, 1), 3, 1024
+WEIGHTS, LIMIT, BLOCK, EXCHANGES = (5, 2, 1), 3, 256, 4
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -111,6 +111,22 @@ def land(p: np.ndarray, u: float) -> np.ndarray:
     return p
 
 
+def settle(before: np.ndarray, p: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Exchanges a unit taken for one not taken where that brings the words nearer to their expected total."""
+    p = p.copy()
+    for _ in range(EXCHANGES):
+        off = float(((p - before) * size).sum())
+        taken, left = np.flatnonzero(p == 1), np.flatnonzero(p == 0)
+        if not len(taken) or not len(left):
+            break
+        after = np.abs(off + size[left][None, :] - size[taken][:, None])
+        best = int(after.argmin())
+        if after.flat[best] >= abs(off) - 0.5:
+            break
+        p[taken[best // len(left)]], p[left[best % len(left)]] = 0.0, 1.0
+    return p
+
+
 FLOWN = "doc_id long, source string, size long, p double, h long"
 
 
@@ -119,8 +135,9 @@ def _flight(final: bool):
         rows = rows.sort_values(["size", "h", "doc_id"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
         u = np.random.default_rng(rows["h"].to_numpy()[:8].astype(np.uint64)).random(len(rows))
         size = rows["size"].to_numpy(np.float64)
-        p = fly(rows["p"].to_numpy(), np.stack([size / size.max(), np.ones(len(size))], 1), u)
-        rows["p"] = land(p, float(u[-1])) if final else p
+        before = rows["p"].to_numpy()
+        p = fly(before, np.stack([size / size.max(), np.ones(len(size))], 1), u)
+        rows["p"] = settle(before, land(p, float(u[-1])), size) if final else p
         return rows[["doc_id", "source", "size", "p", "h"]]
 
     return run
