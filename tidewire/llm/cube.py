@@ -6,7 +6,7 @@ method, balanced on two totals, words and documents: the flight phase moves the
 space of the balancing constraints, so both totals keep their expected value, until no such move is left.
 
 The flight is spread over tasks: a source's documents are dealt by hash into blocks of BLOCK; each block flies until at most
-two documents are undecided, small ones as large ones fly first; the undecided of all blocks fly again together, in blocks, until each source has one block.
+two documents and every SPAREth one are undecided; the undecided of all blocks fly again together, in blocks, until each source has one block.
 The landing problem of at most two documents per source is drawn by their probabilities. What the draw has put the words
 off by is then made good by at most EXCHANGES exchanges, in the last block, of a document taken for one not taken.
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tidewire.llm.common import WORD, materialize
 
-WEIGHTS, LIMIT, BLOCK, EXCHANGES = (5, 2, 1), 3, 256, 4
+WEIGHTS, LIMIT, BLOCK, SPARE, EXCHANGES = (5, 2, 1), 3, 256, 32, 4
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -136,7 +136,9 @@ def _flight(final: bool):
         u = np.random.default_rng(rows["h"].to_numpy()[:8].astype(np.uint64)).random(len(rows))
         size = rows["size"].to_numpy(np.float64)
         before = rows["p"].to_numpy()
-        p = fly(before, np.stack([size / size.max(), np.ones(len(size))], 1), u)
+        p, going = before.copy(), np.ones(len(rows), bool) if final else rows["h"].to_numpy() % SPARE != 0
+        if going.any():
+            p[going] = fly(before[going], np.stack([size / size.max(), np.ones(len(size))], 1)[going], u)
         rows["p"] = settle(before, land(p, float(u[-1])), size) if final else p
         return rows[["doc_id", "source", "size", "p", "h"]]
 
