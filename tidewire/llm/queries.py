@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewire.llm import cube, jaccard, langid, media, pii
+from tidewire.llm import bloom_lm, cube, jaccard, langid, media, pii
 from tidewire.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op6_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloom_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), width=3, num=9, den=10)
 
@@ -34,6 +38,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii": op2_pii,
     "op4_mixing": op4_mixing,
     "op5_language": op5_language,
+    "op6_bloom_lm": op6_bloom_lm,
     "op8_jaccard": op8_jaccard,
     "op10_media": op10_media,
 }
