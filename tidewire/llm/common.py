@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +36,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(rows: DataFrame, most: int = 100_000) -> Callable[[DataFrame], DataFrame]:
+    """A hint for tables with as many rows as these (slim ones): broadcast if counted to be few, else left to a shuffle."""
+    return F.broadcast if rows.limit(most + 1).count() <= most else lambda df: df
+
+
 def text_bytes(column: str = "text"):
     """UTF-8 bytes of a text column; null is empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")

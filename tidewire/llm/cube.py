@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import WORD, materialize
+from tidewire.llm.common import WORD, materialize, small
 
 WEIGHTS, LIMIT, BLOCK, SPARE, EXCHANGES = (5, 2, 1), 3, 256, 32, 4
 
@@ -149,17 +149,18 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, limit: int = LIMIT)
     """doc_id, size, source_size, target, taken and copies of every row."""
     measured = materialize(sizes(docs))
     wanted = materialize(targets(measured, weights, limit))
+    few = small(wanted)
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(limit)))).otherwise(F.lit(0.0))
     goal = F.coalesce("source", F.lit("")).alias("key"), F.col("source").isNull().alias("none"), rate.alias("rate")
     shares = wanted.select(*goal)
-    dealt = measured.withColumns({"key": F.coalesce("source", F.lit("")), "none": F.col("source").isNull()}).join(shares, ["key", "none"])
+    dealt = measured.withColumns({"key": F.coalesce("source", F.lit("")), "none": F.col("source").isNull()}).join(few(shares), ["key", "none"])
     units = dealt.filter("size > 0").select("doc_id", "source", "size", (F.col("rate") - F.floor("rate")).alias("p"), F.xxhash64(F.lit("cube"), "doc_id", "source", "size").alias("h"))
     decided, open_ = None, units
     while True:
         most = open_.groupBy("source").agg(F.count("*").alias("n"))
         blocks = most.select(F.coalesce("source", F.lit("")).alias("key"), F.col("source").isNull().alias("none"), F.ceil(F.col("n") / BLOCK).alias("blocks"))
         final = (blocks.agg(F.max("blocks")).first()[0] or 0) <= 1
-        keyed = open_.withColumns({"key": F.coalesce("source", F.lit("")), "none": F.col("source").isNull()}).join(blocks, ["key", "none"])
+        keyed = open_.withColumns({"key": F.coalesce("source", F.lit("")), "none": F.col("source").isNull()}).join(few(blocks), ["key", "none"])
         flown = materialize(keyed.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "h"), F.col("blocks"))).groupBy("key", "none", "block").applyInPandas(_flight(final), FLOWN))
         done = flown.filter("p = 0 or p = 1")
         decided = done if decided is None else decided.unionByName(done)
@@ -168,6 +169,6 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, limit: int = LIMIT)
         open_ = flown.filter("p > 0 and p < 1")
     all_units = decided.select("doc_id", "source", "size", F.col("p").cast("long").alias("extra")).unionByName(measured.filter("size = 0").select("doc_id", "source", "size", F.lit(0).cast("long").alias("extra")))
     back = wanted.select(F.coalesce("source", F.lit("")).alias("key"), F.col("source").isNull().alias("none"), "source_size", "target", rate.alias("rate"))
-    mixed = all_units.withColumns({"key": F.coalesce("source", F.lit("")), "none": F.col("source").isNull()}).join(back, ["key", "none"])
+    mixed = all_units.withColumns({"key": F.coalesce("source", F.lit("")), "none": F.col("source").isNull()}).join(few(back), ["key", "none"])
     copies = F.when(F.col("size") > 0, F.floor("rate") + F.col("extra")).otherwise(F.lit(0)).cast("long")
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))

@@ -6,14 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewire.llm import bloom_lm, cube, jaccard, langid, media, pii, spm
+from tidewire.llm import bloom_lm, chat, cube, importance, jaccard, langid, media, pii, spm
 from tidewire.llm.common import table
 
 
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link(*chat.turns(table(spark, sf_dir, "conversations")), chat.REPLY)
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
+def op3_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cube.mix(table(spark, sf_dir, "documents"))
 
@@ -39,7 +47,9 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat": op1_chat,
     "op2_pii": op2_pii,
+    "op3_importance": op3_importance,
     "op4_mixing": op4_mixing,
     "op5_language": op5_language,
     "op6_bloom_lm": op6_bloom_lm,
@@ -49,6 +59,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLES: dict[str, str] = {
+    "op1_chat": """
+WITH calls AS (
+  SELECT conv_id, turn, conv_id || ':' || turn AS call_id, min(text) AS prompt, count(*) AS n_calls
+  FROM conversations WHERE role = 'user' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
+results AS (
+  SELECT conv_id, turn AS result_turn, conv_id || ':' || (turn - 1) AS call_id, min(text) AS content, count(*) AS n_results
+  FROM conversations WHERE role = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL)
+SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, c.turn AS turn,
+  coalesce(c.turn, r.result_turn) AS place, 0::BIGINT AS level,
+  CASE WHEN n_calls IS NULL THEN 'orphan' WHEN n_results IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
+  coalesce(n_calls, 0) AS n_calls, coalesce(n_results, 0) AS n_results,
+  CASE WHEN n_calls IS NULL THEN '' ELSE concat_ws('; ', CASE WHEN prompt IS NULL THEN 'prompt: missing' END,
+    CASE WHEN c.turn >= 2 AND p.call_id IS NULL THEN 'depends_on: no ' || c.conv_id || ':' || (c.turn - 2) END) END AS errors,
+  '{' || concat_ws(',',
+    CASE WHEN n_calls IS NOT NULL THEN '"arguments":{' || concat_ws(',', '"prompt":' || CAST(to_json(prompt) AS VARCHAR), '"turn":' || c.turn) || '}' END,
+    '"call_id":' || CAST(to_json(coalesce(c.call_id, r.call_id)) AS VARCHAR), '"result":' || CAST(to_json(content) AS VARCHAR),
+    CASE WHEN n_calls IS NOT NULL THEN '"tool":"reply"' END) || '}' AS message
+FROM calls c FULL JOIN results r ON c.conv_id = r.conv_id AND c.call_id = r.call_id
+LEFT JOIN calls p ON p.conv_id = c.conv_id AND p.turn = c.turn - 2""",
     "op8_jaccard": f"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
 s AS (
