@@ -172,3 +172,12 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, limit: int = LIMIT)
     mixed = all_units.withColumns({"key": F.coalesce("source", F.lit("")), "none": F.col("source").isNull()}).join(few(back), ["key", "none"])
     copies = F.when(F.col("size") > 0, F.floor("rate") + F.col("extra")).otherwise(F.lit(0)).cast("long")
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
+
+
+def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, limit: int = LIMIT) -> DataFrame:
+    """The rows of docs, with all their columns, each as often as the mix takes it. Rows that share a doc_id share their copies evenly, rounded up."""
+    taken = mix(docs, weights, limit).groupBy(F.col("doc_id").alias("taken_id")).agg(F.ceil(F.sum("copies") / F.count("*")).cast("int").alias("taken_copies")).filter("taken_copies > 0")
+    taken = materialize(taken)
+    named = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    joined = named.join(small(taken, 1_000_000)(taken), F.col("row.doc_id").eqNullSafe(F.col("taken_id")))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("taken_copies")))).select("row.*")

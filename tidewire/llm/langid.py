@@ -242,3 +242,21 @@ def identify(docs: DataFrame, path: str = vocabulary.MODEL) -> DataFrame:
     tagged = docs.select("doc_id", "text", "lang", held_out(F.col("doc_id"), 3, 1).alias("held_out"))
     langs, p = train(tagged.filter(~F.col("held_out")).select("doc_id", "text", "lang"), path)
     return predict(tagged, langs, p, path, ("doc_id", "held_out"))
+
+
+def recognised(docs: DataFrame, least: float = 0.5, path: str = vocabulary.MODEL) -> DataFrame:
+    """The rows of docs, with all their columns, whose language is predicted with at least that score; learns from all rows with a lang."""
+    langs, p = train(docs.select("doc_id", "text", "lang"), path)
+    model = docs.sparkSession.sparkContext.broadcast((piece_list(path), langs, p))
+    text = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces, langs, p = model.value
+        scorer = Scorer(pieces, p)
+        for chunk in text_chunks(batches, "text", 2 << 20):
+            if langs:
+                logs, letters = scorer(chunk.column(text).to_pylist())
+                score = 1 / np.exp(logs - logs.max(1, keepdims=True)).sum(1)
+                yield chunk.filter(pa.array(letters & (score >= least)))
+
+    return docs.mapInArrow(run, docs.schema)

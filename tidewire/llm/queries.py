@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewire.llm import bloom_lm, chat, cube, importance, jaccard, langid, media, pii, spm
+from tidewire.llm import bloom_lm, chat, cube, importance, itq, jaccard, langid, media, pii, spm
 from tidewire.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op6_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_lm.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), width=3, num=9, den=10)
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op5_language": op5_language,
     "op6_bloom_lm": op6_bloom_lm,
+    "op7_embeddings": op7_embeddings,
     "op8_jaccard": op8_jaccard,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_media": op10_media,
@@ -68,14 +73,14 @@ results AS (
   FROM conversations WHERE role = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL)
 SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, c.turn AS turn,
   coalesce(c.turn, r.result_turn) AS place, 0::BIGINT AS level,
-  CASE WHEN n_calls IS NULL THEN 'orphan' WHEN n_results IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
-  coalesce(n_calls, 0) AS n_calls, coalesce(n_results, 0) AS n_results,
-  CASE WHEN n_calls IS NULL THEN '' ELSE concat_ws('; ', CASE WHEN prompt IS NULL THEN 'prompt: missing' END,
+  CASE WHEN c.n_calls IS NULL THEN 'orphan' WHEN n_results IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
+  coalesce(c.n_calls, 0) AS n_calls, coalesce(n_results, 0) AS n_results,
+  CASE WHEN c.n_calls IS NULL THEN '' ELSE concat_ws('; ', CASE WHEN prompt IS NULL THEN 'prompt: missing' END,
     CASE WHEN c.turn >= 2 AND p.call_id IS NULL THEN 'depends_on: no ' || c.conv_id || ':' || (c.turn - 2) END) END AS errors,
   '{' || concat_ws(',',
-    CASE WHEN n_calls IS NOT NULL THEN '"arguments":{' || concat_ws(',', '"prompt":' || CAST(to_json(prompt) AS VARCHAR), '"turn":' || c.turn) || '}' END,
+    CASE WHEN c.n_calls IS NOT NULL THEN '"arguments":{' || concat_ws(',', '"prompt":' || CAST(to_json(prompt) AS VARCHAR), '"turn":' || c.turn) || '}' END,
     '"call_id":' || CAST(to_json(coalesce(c.call_id, r.call_id)) AS VARCHAR), '"result":' || CAST(to_json(content) AS VARCHAR),
-    CASE WHEN n_calls IS NOT NULL THEN '"tool":"reply"' END) || '}' AS message
+    CASE WHEN c.n_calls IS NOT NULL THEN '"tool":"reply"' END) || '}' AS message
 FROM calls c FULL JOIN results r ON c.conv_id = r.conv_id AND c.call_id = r.call_id
 LEFT JOIN calls p ON p.conv_id = c.conv_id AND p.turn = c.turn - 2""",
     "op8_jaccard": f"""
