@@ -75,10 +75,10 @@ SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id)
   coalesce(c.turn, r.result_turn) AS place, 0::BIGINT AS level,
   CASE WHEN c.n_calls IS NULL THEN 'orphan' WHEN n_results IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
   coalesce(c.n_calls, 0) AS n_calls, coalesce(n_results, 0) AS n_results,
-  CASE WHEN c.n_calls IS NULL THEN '' ELSE concat_ws('; ', CASE WHEN prompt IS NULL THEN 'prompt: missing' END,
+  CASE WHEN c.n_calls IS NULL THEN '' ELSE concat_ws('; ', CASE WHEN c.prompt IS NULL THEN 'prompt: missing' END,
     CASE WHEN c.turn >= 2 AND p.call_id IS NULL THEN 'depends_on: no ' || c.conv_id || ':' || (c.turn - 2) END) END AS errors,
   '{' || concat_ws(',',
-    CASE WHEN c.n_calls IS NOT NULL THEN '"arguments":{' || concat_ws(',', '"prompt":' || CAST(to_json(prompt) AS VARCHAR), '"turn":' || c.turn) || '}' END,
+    CASE WHEN c.n_calls IS NOT NULL THEN '"arguments":{' || concat_ws(',', '"prompt":' || CAST(to_json(c.prompt) AS VARCHAR), '"turn":' || c.turn) || '}' END,
     '"call_id":' || CAST(to_json(coalesce(c.call_id, r.call_id)) AS VARCHAR), '"result":' || CAST(to_json(content) AS VARCHAR),
     CASE WHEN c.n_calls IS NOT NULL THEN '"tool":"reply"' END) || '}' AS message
 FROM calls c FULL JOIN results r ON c.conv_id = r.conv_id AND c.call_id = r.call_id
