@@ -71,6 +71,6 @@ FOLDERS_SQL = f"""folders AS (
 members AS (
   SELECT 'fld_' || (doc_id - doc_id % 7) AS folder_id, CAST(doc_id AS VARCHAR) AS article_id, {EPOCH} + doc_id * {HOUR} AS attached_at FROM documents WHERE doc_id % 7 IN (0, 1)
   UNION ALL SELECT a, b, {EPOCH * 2} FROM (VALUES {", ".join(f"('{f}', '{a}')" for f, _, a in FOLDERS)}) t(a, b))"""
-EVENTS_SQL = "ev AS (SELECT event_id, epoch_ms(ts) AS at, user_id, event_type, value FROM events)"
-ATTEMPTS_SQL = EVENTS_SQL + """, att AS (SELECT user_id AS folder_id, event_type AS fingerprint, at AS analyzed_at, event_id AS attempt_id,
+EVENTS_SQL = "ev AS (SELECT event_id, epoch_us(ts) // 1000 AS tms, user_id, event_type, value FROM events)"
+ATTEMPTS_SQL = EVENTS_SQL + """, att AS (SELECT user_id AS folder_id, event_type AS fingerprint, tms AS analyzed_at, event_id AS attempt_id,
   ['publish','hold','reject_editorial','enrich_thread_only','hold'][1 + event_id % 5] AS decision, ['rejected','accepted','accepted'][1 + event_id % 3] AS validation_status FROM ev)"""
