@@ -1,0 +1,120 @@
+from pyspark.sql import functions as F
+
+from tidewire.functions.signals import with_signals
+from tidewire.operators import analysis, articles, matching, ops, publication
+from tidewire.plans import tables as t
+from tidewire.streaming import ingest, rate_limit
+
+
+def test_known_matches(spark):
+    """Each article against the folders of the first column only."""
+    cases = {
+        "MG01": (["MG03"], "attach_enrich", "high"), "MG02": (["MG03"], "create_dossier", "none"), "MG04": (["MG03"], "create_dossier", "none"), "MG05": (["MG03"], "ambiguous_no_action", "low"),
+        "MG08": ([], "create_dossier", "none"), "MG03": (["MG01", "MG03"], "ambiguous_no_action", None),
+    }
+    signals = with_signals(t.golden(spark)).cache()
+    for article, (members, issue, confidence) in cases.items():
+        folders = spark.createDataFrame([(f"f{i}", "open", 1) for i, _ in enumerate(members)], "folder_id string, status string, last_activity long")
+        first = spark.createDataFrame([(f"f{i}", m, 1) for i, m in enumerate(members)], "folder_id string, article_id string, attached_at long")
+        prints = matching.folder_fingerprints(folders, first, signals)
+        own = signals.filter(F.col("article_id") == article)
+        row = matching.decide(own, matching.pairs(own, prints)).first()
+        assert row["issue"] == issue, (article, row)
+        assert confidence in (None, row["confidence"]), (article, row)
+
+
+def test_closed_folders_do_not_match(spark):
+    signals = with_signals(t.golden(spark))
+    folders = spark.createDataFrame([("f", "closed", 1)], "folder_id string, status string, last_activity long")
+    members = spark.createDataFrame([("f", "MG03", 1)], "folder_id string, article_id string, attached_at long")
+    own = signals.filter("article_id = 'MG01'")
+    assert matching.decide(own, matching.pairs(own, matching.folder_fingerprints(folders, members, signals))).first()["issue"] == "create_dossier"
+
+
+def test_persisting_a_cycle(spark):
+    d = spark.createDataFrame([("a", "create_dossier", None), ("b", "attach_enrich", "f"), ("c", "duplicate_editorial", "f")], "article_id string, issue string, folder_id string")
+    folders, members, decisions = matching.persist(d, spark.createDataFrame([("a", "T")], "article_id string, title string"), 7)
+    assert folders.count() == 1 and {r["role"] for r in members.collect()} == {"primary", "enrichment"} and decisions.count() == 3
+
+
+def version(**more):
+    base = dict.fromkeys(articles.FIELDS) | {"source_tier": "S", "title": "Introducing  Qwen 3", "url": "https://q.example/a?utm_source=rss", "published_at": 1, "content": "x\n y", "categories": ["Models", "Research"], "feed_format": "rss", "external_id": "e"}
+    return base | more
+
+
+SCHEMA = "source_tier string, title string, url string, published_at long, author string, summary string, content string, categories array<string>, feed_format string, external_id string"
+
+
+def frame(spark, *rows):
+    return spark.createDataFrame([tuple(r[f] for f in articles.FIELDS) for r in rows], SCHEMA)
+
+
+def test_editorial_comparison(spark):
+    same = version(title="Introducing Qwen 3 ", url="https://Q.example/a?utm_campaign=z#top", categories=["research", "models"])
+    edited = version(title="Introducing Qwen 4", content="x y z")
+    c = {f: F.col(f) for f in articles.FIELDS}
+    hashes = [r[0] for r in frame(spark, version(), same, edited).select(articles.editorial_hash(c)).collect()]
+    assert hashes[0] == hashes[1] != hashes[2]
+    both = frame(spark, version()).select(F.struct("*").alias("a")).join(frame(spark, edited).select(F.struct("*").alias("b")))
+    changed = both.select(articles.changed_fields({f: F.col(f"a.{f}") for f in c}, {f: F.col(f"b.{f}") for f in c})).first()[0]
+    assert changed == ["title", "content"]
+
+
+def test_upsert_in_order(spark):
+    rows = [version(), version(), version(title="New"), version(external_id=None)]
+    seq = frame(spark, *rows).withColumn("seq", F.monotonically_increasing_id()).withColumns({"source_id": F.lit("s"), "article_id": F.lit("a")})
+    listed = seq.collect()
+    ordered = spark.createDataFrame([(*r[:10], i, "s", "a") for i, r in enumerate(listed)], SCHEMA + ", seq long, source_id string, article_id string")
+    done = articles.upsert(ordered, ordered.limit(0)).orderBy("seq").collect()
+    assert [r["action"] for r in done] == ["created", "unchanged", "updated", "created"]
+
+
+def test_streamed_upserts(spark, tmp_path):
+    rows = spark.createDataFrame([(*(version(external_id=f"e{i % 2}", title=f"t{i}")[f] for f in articles.FIELDS), i, "s", f"a{i}") for i in range(4)], SCHEMA + ", seq long, source_id string, article_id string")
+    at = str(tmp_path)
+    for i in range(2):
+        rows.filter(F.col("seq").between(2 * i, 2 * i + 1)).coalesce(1).write.mode("append").parquet(f"{at}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{at}/in")
+        ingest.ingest(stream, f"{at}/versions", f"{at}/actions", f"{at}/checkpoint").awaitTermination()
+    done = spark.read.parquet(f"{at}/actions/batch=*").orderBy("seq").collect()
+    assert [r["action"] for r in done] == ["created", "created", "updated", "updated"]
+
+
+def test_rate_limit_as_table_and_stream(spark, tmp_path):
+    rows = [("a", "status", x, i) for i, x in enumerate([0, 1000, 2999, 3000, 5000, 6000])]
+    calls = spark.createDataFrame(rows, "actor string, operation string, `at` long, call_id long")
+    wanted = [True, False, False, True, False, True]
+    assert [r["accepted"] for r in rate_limit.limited(calls).orderBy("call_id").collect()] == wanted
+    calls.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = rate_limit.limited_stream(spark.readStream.schema(calls.schema).parquet(f"{tmp_path}/in"))
+    stream.writeStream.format("memory").queryName("limited").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    assert [r["accepted"] for r in spark.table("limited").orderBy("call_id").collect()] == wanted
+
+
+def test_aggregate_fingerprint_ignores_order(spark):
+    folders = spark.createDataFrame([("f", "open")], "folder_id string, status string")
+    arts = spark.createDataFrame([("f", "a2"), ("f", "a1")], "folder_id string, article_id string")
+    facts = spark.createDataFrame([("f", "version", "2.0"), ("f", "date", "2026-07-01"), ("f", " ", "x")], "folder_id string, key string, value string")
+    one = analysis.aggregate_fingerprint(folders, arts, facts).first()["fingerprint"]
+    two = analysis.aggregate_fingerprint(folders, arts.orderBy("article_id"), facts.orderBy("key")).first()["fingerprint"]
+    other = analysis.aggregate_fingerprint(folders.withColumn("status", F.lit("closed")), arts, facts).first()["fingerprint"]
+    assert one == two != other and len(one) == 64
+
+
+def test_context_budget_drops_the_oldest_enrichments(spark):
+    rows = [("f", "p", 0, "primary", "x" * 50), ("f", "a", 1, "enrichment", "x" * 40), ("f", "b", 2, "enrichment", "x" * 40), ("f", "c", 3, "enrichment", "x" * 40)]
+    done = analysis.context_budget(spark.createDataFrame(rows, "folder_id string, article_id string, attached_at int, role string, content string"), most=100).orderBy("article_id").collect()
+    assert {r["article_id"]: r["kept"] for r in done} == {"a": False, "b": False, "c": True, "p": True}
+
+
+def test_lease(spark):
+    row = spark.createDataFrame([("other", 100)], "holder_id string, expires_at long")
+    assert not ops.lease(row, "me", 50, 10).first()["acquired"]
+    taken = ops.lease(row, "me", 100, 10).first()
+    assert taken["acquired"] and taken["stolen"] and taken["holder_id"] == "me" and taken["expires_at"] == 110
+
+
+def test_message_stays_within_limits(spark):
+    rows = spark.createDataFrame([("fld_abcdefghijklmnop", "", "word " * 3000), ("fld_2", "<b>Title</b> @everyone", "x")], "folder_id string, title string, summary string")
+    for r in publication.main_message(rows).collect():
+        assert r["chars"] <= publication.LIMITS["total"] and len(r["title"]) <= 256 and len(r["description"]) <= 4096 and "@everyone" not in r["title"] and r["title"]

@@ -43,11 +43,11 @@ def _folding() -> tuple[str, str, dict[str, str]]:
     """By compatibility decomposition without marks: characters that become one ASCII character, and those that become several."""
     source, target, longer = [], [], {}
     for code in [*range(0xA0, 0x250), *range(0x1E00, 0x1F00), 0x2026, 0x2122, *range(0xFB00, 0xFB05), *range(0xFF01, 0xFF5F)]:
-        plain = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not 0x300 <= ord(c) <= 0x36F)
-        if plain.isascii() and len(plain) == 1:
+        plain = "".join(c if c.isascii() else " " for c in unicodedata.normalize("NFKD", chr(code)) if not 0x300 <= ord(c) <= 0x36F)
+        if len(plain) == 1 and plain != " ":
             source.append(chr(code))
             target.append(plain)
-        elif plain.isascii() and plain.strip():
+        elif plain.strip():
             longer[chr(code)] = plain
     return "".join(source), "".join(target), longer
 
