@@ -2,8 +2,9 @@
 
 Two documents link when |A & B| * den >= |A | B| * num. The stages:
 
-1. Frequent shingles, counted over all documents, go last in the global order of shingles; all others are ordered by hash.
-   This affects only the work: the join is exact under any order.
+1. The global order of shingles puts rare ones first: by the product of their words' counts over all documents, in
+   powers of two, then by hash; shingles counted to be frequent themselves go last. This affects only the work: the join
+   is exact under any order.
 2. Every document becomes its set's size, digest, prefix and a parity bitmap. Equal sets become one class, whose smallest
    doc_id represents it, so copies cost nothing later on.
 3. Index lists: the prefix entries of each shingle. Lists with one set are skipped at once. Within a list, entries lie by
@@ -27,13 +28,16 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import materialize, text_bytes, text_chunks
+from tidewire.llm.common import materialize, small, text_bytes, text_chunks
 from tidewire.llm.components import components
 from tidewire.llm.words import U64, WordKeys, ranges, shingles, split
 
-BITS = 512
+#: Bits of a parity bitmap: LEAST_BITS up to twice as many shingles, above that the next power of two.
+LEAST_BITS = 512
 #: A shingle in so many documents counts as frequent, if a chunk of text has it in at least LOCAL of its documents.
 FREQUENT, LOCAL, MOST_FREQUENT = 256, 3, 1 << 20
+#: A word counts as common if a chunk of text has it so often; so many of them are told apart by their counts.
+COMMON, MOST_COMMON = 8, 1 << 16
 #: Entries of a list that are compared with each other in one numpy step.
 BLOCK = 256
 #: Members of a group are verified in so many separate tasks at most.
@@ -57,63 +61,96 @@ def _unique(keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], n
 
 
-def _frequent(docs: DataFrame, width: int) -> np.ndarray:
-    """Keys of frequent shingles, sorted."""
+def _counted(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of frequent shingles, sorted; keys of common words, sorted, and the logarithms of their counts in 16ths."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordKeys()
         for chunk in text_chunks(batches, "content"):
-            keys, _ = _unique(*_set_rows(chunk.column(0).to_pylist(), words, width))
+            flat, at = split(chunk.column(0).to_pylist())
+            ids = words.lookup(flat)
+            times = np.bincount(ids, minlength=1)
+            common = np.flatnonzero(times >= COMMON)
+            keys, _ = _unique(*shingles(words.keys[ids], at, width))
             keys, n = np.unique(keys >> U64(1), return_counts=True)
             some = n >= LOCAL
-            yield pa.record_batch([pa.array(keys[some].astype(np.int64)), pa.array(n[some])], ["shingle", "n"])
+            key = np.concatenate([keys[some], words.keys[common]]).view(np.int64)
+            yield pa.record_batch([pa.array(np.repeat([False, True], [int(some.sum()), len(common)])), pa.array(key), pa.array(np.concatenate([n[some], times[common]]))], ["word", "key", "n"])
 
-    local = docs.select(text_bytes().alias("content")).mapInArrow(count, "shingle long, n long")
-    total = local.groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT)
-    top = total.orderBy(F.desc("n"), "shingle").limit(MOST_FREQUENT).select("shingle")
-    return np.sort(top.toArrow().column(0).to_numpy()).astype(U64)
+    local = docs.select(text_bytes().alias("content")).mapInArrow(count, "word boolean, key long, n long")
+    total = materialize(local.groupBy("word", "key").agg(F.sum("n").alias("n")))
+    top = lambda rows, most: rows.orderBy(F.desc("n"), "key").limit(most).select("key", "n").toArrow()
+    frequent = top(total.filter(~F.col("word") & (F.col("n") >= FREQUENT)), MOST_FREQUENT).column(0).to_numpy().astype(U64)
+    common = top(total.filter("word"), MOST_COMMON)
+    key, n = common.column(0).to_numpy().astype(U64), common.column(1).to_numpy()
+    order = np.argsort(key)
+    return np.sort(frequent), key[order], np.rint(16 * np.log2(np.maximum(n[order], 1))).astype(np.int64)
+
+
+def _bits(n: np.ndarray) -> np.ndarray:
+    return np.where(n <= 2 * LEAST_BITS, LEAST_BITS, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
 
 
 class Order:
-    """The global order of shingles: by hash, frequent ones behind all others. Keys have 63 bits, the top bit marks frequent ones."""
+    """The global order of shingles. Keys in it: a bit for frequent shingles, 6 bits of the words' counts, 57 bits of hash."""
 
-    def __init__(self, frequent: np.ndarray):
-        self.frequent = frequent
+    def __init__(self, counted: tuple[np.ndarray, np.ndarray, np.ndarray], width: int):
+        self.frequent, self.common, self.weight = counted
+        self.width, self.words = width, WordKeys()
         self.filter = np.zeros(1 << 22, bool)
-        self.filter[frequent >> U64(41)] = True
-
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        keys = keys >> U64(1)
-        maybe = np.flatnonzero(self.filter[keys >> U64(41)])
+        self.filter[self.frequent >> U64(41)] = True
+        self.known = np.empty(0, np.int64)
+
+    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the distinct shingles of each text, in order, and their offsets."""
+        flat, at = split(texts)
+        ids = self.words.lookup(flat)
+        if len(self.known) > len(self.words.keys):
+            self.known = np.empty(0, np.int64)
+        if len(fresh := self.words.keys[len(self.known) :]):
+            weight = np.zeros(len(fresh), np.int64)
+            if len(self.common):
+                i = np.minimum(np.searchsorted(self.common, fresh), len(self.common) - 1)
+                weight = np.where(self.common[i] == fresh, self.weight[i], 0)
+            self.known = np.concatenate([self.known, weight])
+        keys, to = shingles(self.words.keys[ids], at, self.width)
+        sums = np.concatenate([[0], np.cumsum(self.known[ids])])
+        begin = ranges(at[:-1], np.diff(to))
+        end = np.minimum(begin + self.width, np.repeat(at[1:], np.diff(to)))
+        level = np.minimum((sums[end] - sums[begin]) * 3 // (16 * self.width), 63)
+        hashed = keys >> U64(1)
+        keys = (keys >> U64(7)) | (level.astype(U64) << U64(57))
+        maybe = np.flatnonzero(self.filter[hashed >> U64(41)])
         if len(maybe):
-            i = np.minimum(np.searchsorted(self.frequent, keys[maybe]), len(self.frequent) - 1)
-            keys[maybe[self.frequent[i] == keys[maybe]]] |= U64(1 << 63)
-        return keys
+            i = np.minimum(np.searchsorted(self.frequent, hashed[maybe]), len(self.frequent) - 1)
+            keys[maybe[self.frequent[i] == hashed[maybe]]] |= U64(1 << 63)
+        return _unique(keys, to)
 
 
-def _sets(docs: DataFrame, width: int, num: int, den: int, frequent: np.ndarray) -> DataFrame:
+def _sets(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """doc_id, size, digest, prefix and bitmap of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    shared = docs.sparkSession.sparkContext.broadcast(_counted(docs, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, order = WordKeys(), Order(shared.value)
+        order = Order(shared.value, width)
         for chunk in text_chunks(batches, "content"):
-            keys, at = _set_rows(chunk.column(1).to_pylist(), words, width)
-            keys, at = _unique(order(keys), at)
+            keys, at = order(chunk.column(1).to_pylist())
             n = np.diff(at)
             digest = [xxhash.xxh3_128_digest(keys[a:b].tobytes()) for a, b in zip(at.tolist(), at[1:].tolist())]
             need = -(-n * num // den)
             prefix = np.where(n > 0, n - need + 1, 0)
             flat = keys[ranges(at[:-1], prefix)].view(np.int64)
-            bit = np.repeat(np.arange(len(n)), n) * BITS + (keys % U64(BITS)).astype(np.int64)
-            bitmap = np.packbits(np.bincount(bit, minlength=len(n) * BITS).reshape(len(n), BITS) & 1, axis=1)
+            bits = _bits(n)
+            ends = np.cumsum(bits)
+            bit = np.repeat(ends - bits, n) + (keys & np.repeat(bits - 1, n).astype(U64)).astype(np.int64)
+            parity = np.packbits(np.bincount(bit, minlength=int(ends[-1])) & 1, bitorder="little").tobytes()
             yield pa.record_batch(
                 [
                     chunk.column(0),
                     pa.array(n),
                     pa.array(digest, pa.binary()),
                     pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(prefix)]).astype(np.int32)), pa.array(flat)),
-                    pa.array([x.tobytes() for x in bitmap], pa.binary()),
+                    pa.array([parity[b - a : b] for a, b in zip((bits // 8).tolist(), (ends // 8).tolist())], pa.binary()),
                 ],
                 ["doc_id", "n", "digest", "prefix", "bitmap"],
             )
@@ -121,18 +158,48 @@ def _sets(docs: DataFrame, width: int, num: int, den: int, frequent: np.ndarray)
     return docs.select("doc_id", text_bytes().alias("content")).mapInArrow(run, "doc_id long, n long, digest binary, prefix array<long>, bitmap binary")
 
 
-_POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
-
-
-def _likely(a: np.ndarray, b: np.ndarray, n: np.ndarray, pos: np.ndarray, bitmap: np.ndarray, num: int, den: int) -> np.ndarray:
+class _Bitmaps:
+    """Parity bitmaps of entries. The bitmap of a larger set is folded to the width of the smaller one's."""
+
+    def __init__(self, raw: list[bytes]):
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        self.width = size
+        self.row = np.zeros(len(raw), np.int64)
+        self.rows: dict[int, np.ndarray] = {}
+        for w in np.unique(size).tolist():
+            own = np.flatnonzero(size == w)
+            self.row[own] = np.arange(len(own))
+            self.rows[w] = np.frombuffer(b"".join(raw[i] for i in own.tolist()), np.uint64).reshape(len(own), w // 8)
+
+    def _at(self, i: np.ndarray, width: int) -> np.ndarray:
+        out = np.empty((len(i), width // 8), np.uint64)
+        own = self.width[i]
+        for w in np.unique(own).tolist():
+            some = own == w
+            x = self.rows[w][self.row[i[some]]]
+            while x.shape[1] > width // 8:
+                x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+            out[some] = x
+        return out
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """A lower bound of how many elements only one of the two sets has."""
+        width = np.minimum(self.width[a], self.width[b])
+        out = np.empty(len(a), np.int64)
+        for w in np.unique(width).tolist():
+            some = np.flatnonzero(width == w)
+            for part in np.array_split(some, -(-len(some) * w // (1 << 24))):
+                out[part] = np.bitwise_count(self._at(a[part], w) ^ self._at(b[part], w)).sum(1, dtype=np.int64)
+        return out
+
+
+def _likely(a: np.ndarray, b: np.ndarray, n: np.ndarray, pos: np.ndarray, bitmaps: _Bitmaps, num: int, den: int) -> np.ndarray:
     """Which entry pairs the bounds on size, position and parity bitmap leave over."""
     na, nb = n[a], n[b]
     need = -(-(na + nb) * num // (num + den))
     ok = np.flatnonzero((np.minimum(na, nb) * den >= np.maximum(na, nb) * num) & (np.minimum(na - pos[a], nb - pos[b]) >= need))
     if len(ok):
-        x = bitmap[a[ok]] ^ bitmap[b[ok]]
-        apart = np.bitwise_count(x).sum(1, dtype=np.int64)
-        ok = ok[apart <= (na + nb - 2 * need)[ok]]
+        ok = ok[bitmaps.apart(a[ok], b[ok]) <= (na + nb - 2 * need)[ok]]
     keep = np.zeros(len(a), bool)
     keep[ok] = True
     return keep
@@ -201,9 +268,9 @@ def _candidates(entries: DataFrame, num: int, den: int, first: bool) -> DataFram
             return
         rows = pa.Table.from_batches(held)
         token, node, group, n, pos = (rows.column(i).to_numpy() for i in range(5))
-        bitmap = np.frombuffer(b"".join(rows.column(5).to_pylist()), np.uint8).reshape(-1, BITS // 8)
         order = np.lexsort((node, pos, n, token))
-        token, node, group, n, pos, bitmap = token[order], node[order], group[order], n[order], pos[order], bitmap[order].view(U64)
+        token, node, group, n, pos = token[order], node[order], group[order], n[order], pos[order]
+        bitmap = _Bitmaps(rows.column(5).take(pa.array(order)).to_pylist())
         at = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         count = np.diff(np.append(at, len(token)))
         if first:
@@ -231,7 +298,8 @@ def _verify(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int) -
     """(a, b, linked): the pairs compared on their whole sets. docs: (node, content); of a node with several texts any may link."""
     dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
     asked = dealt.select("a", "salt", F.col("b").alias("node"), F.lit(False).alias("head")).union(dealt.select("a", "salt", F.col("a").alias("node"), F.lit(True).alias("head")).distinct())
-    sent = asked.join(docs, "node").select("a", "salt", "node", "head", "content")
+    asked = materialize(asked)
+    sent = docs.join(small(asked, 500_000)(asked), "node").select("a", "salt", "node", "head", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, group, heads = WordKeys(), None, {}
@@ -262,8 +330,7 @@ def _linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
 
 def join(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; component_id is the smallest doc_id reachable by links, itself included."""
-    frequent = _frequent(docs, width)
-    sets = materialize(_sets(docs, width, num, den, frequent))
+    sets = materialize(_sets(docs, width, num, den))
     usable = sets.filter("n > 0 and doc_id is not null")
     classes = usable.groupBy("digest", "n").agg(F.min("doc_id").alias("node"), F.min_by("prefix", "doc_id").alias("prefix"), F.min_by("bitmap", "doc_id").alias("bitmap"))
     classes = materialize(classes)
@@ -284,3 +351,14 @@ def join(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFra
         linked = linked.union(materialize(_verify(rest, contents, width, num, den)).filter("linked").select("a", "b"))
     ends = components(linked.union(copies))
     return sets.select("doc_id", F.col("n").alias("n_shingles")).join(ends, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """The rows of docs, with all their columns, without those that a document with a smaller doc_id stands for. Of rows alike in doc_id and text one stays; a null doc_id stays."""
+    found = materialize(join(docs, width, num, den).filter("doc_id is not null").select("doc_id", "component_id"))
+    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
+    left = docs.join(small(gone, 1_000_000)(gone), "doc_id", "left_anti").select(*docs.columns)
+    repeated = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id")
+    if not repeated.limit(1).count():
+        return left
+    return left.join(repeated, "doc_id", "left_anti").select(*docs.columns).union(left.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
