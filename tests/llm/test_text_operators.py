@@ -173,6 +173,13 @@ def test_mix_meets_targets(spark, edge, none):
     assert cube.mixed(edge).columns == edge.columns
 
 
+def test_many_rounds_of_flights_end(spark, monkeypatch):
+    monkeypatch.setattr(cube, "BLOCK", 8)
+    rows = [(i, "w " * (1 + i % 97), "ab"[i % 10 == 0]) for i in range(2500)]
+    got = cube.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).groupBy("target").sum("taken").collect()
+    assert len(got) == 2 and all(abs(t - n) <= 0.01 * t for t, n in got)
+
+
 def test_flight_keeps_totals():
     rng = np.random.default_rng(0)
     size = rng.integers(1, 500, 400).astype(float)

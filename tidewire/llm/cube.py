@@ -130,13 +130,13 @@ def settle(before: np.ndarray, p: np.ndarray, size: np.ndarray) -> np.ndarray:
 FLOWN = "doc_id long, source string, size long, p double, h long"
 
 
-def _flight(final: bool):
+def _flight(final: bool, turn: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["size", "h", "doc_id"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
         u = np.random.default_rng(rows["h"].to_numpy()[:8].astype(np.uint64)).random(len(rows))
         size = rows["size"].to_numpy(np.float64)
         before = rows["p"].to_numpy()
-        p, going = before.copy(), np.ones(len(rows), bool) if final else rows["h"].to_numpy() % SPARE != 0
+        p, going = before.copy(), np.ones(len(rows), bool) if final else (rows["h"].to_numpy() >> 5 * turn) % SPARE != 0
         if going.any():
             p[going] = fly(before[going], np.stack([size / size.max(), np.ones(len(size))], 1)[going], u)
         rows["p"] = settle(before, land(p, float(u[-1])), size) if final else p
@@ -155,18 +155,18 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, limit: int = LIMIT)
     shares = wanted.select(*goal)
     dealt = measured.withColumns({"key": F.coalesce("source", F.lit("")), "none": F.col("source").isNull()}).join(few(shares), ["key", "none"])
     units = dealt.filter("size > 0").select("doc_id", "source", "size", (F.col("rate") - F.floor("rate")).alias("p"), F.xxhash64(F.lit("cube"), "doc_id", "source", "size").alias("h"))
-    decided, open_ = None, units
+    decided, open_, turn = None, units, 0
     while True:
         most = open_.groupBy("source").agg(F.count("*").alias("n"))
         blocks = most.select(F.coalesce("source", F.lit("")).alias("key"), F.col("source").isNull().alias("none"), F.ceil(F.col("n") / BLOCK).alias("blocks"))
         final = (blocks.agg(F.max("blocks")).first()[0] or 0) <= 1
         keyed = open_.withColumns({"key": F.coalesce("source", F.lit("")), "none": F.col("source").isNull()}).join(few(blocks), ["key", "none"])
-        flown = materialize(keyed.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "h"), F.col("blocks"))).groupBy("key", "none", "block").applyInPandas(_flight(final), FLOWN))
+        flown = materialize(keyed.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "h"), F.col("blocks"))).groupBy("key", "none", "block").applyInPandas(_flight(final, turn), FLOWN))
         done = flown.filter("p = 0 or p = 1")
         decided = done if decided is None else decided.unionByName(done)
         if final:
             break
-        open_ = flown.filter("p > 0 and p < 1")
+        open_, turn = flown.filter("p > 0 and p < 1"), turn + 1
     all_units = decided.select("doc_id", "source", "size", F.col("p").cast("long").alias("extra")).unionByName(measured.filter("size = 0").select("doc_id", "source", "size", F.lit(0).cast("long").alias("extra")))
     back = wanted.select(F.coalesce("source", F.lit("")).alias("key"), F.col("source").isNull().alias("none"), "source_size", "target", rate.alias("rate"))
     mixed = all_units.withColumns({"key": F.coalesce("source", F.lit("")), "none": F.col("source").isNull()}).join(few(back), ["key", "none"])
