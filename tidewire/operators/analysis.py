@@ -87,3 +87,43 @@ def violations(attempts: DataFrame) -> DataFrame:
 def fact_priority(key: Column) -> Column:
     k = F.lower(key)
     return F.when(k.rlike("date|when|released|published|avail"), 0).when(k.contains("version"), 1).when(k.rlike("disponib|availability|^ga$|preview"), 2).otherwise(3)
+
+
+# The closed sets and budgets of a proposal.
+CATEGORIES = ("model_release", "product_update", "research", "benchmark", "funding_or_corp", "policy_or_safety", "open_source", "other")
+KINDS = ("launch", "update", "acquisition", "paper", "denial", "availability", "correction", "other")
+CHANNELS = ("annonces_majeures", "veille_pertinente", "flux_ia", "none")
+WORTHINESS = ("high", "medium", "low", "none")
+SUPPORT = ("explicit", "inferred")
+BUDGETS = {"summary": (40, 500), "rationale": 280, "entities": 12, "entity": 80, "facts": 8, "fact_key": 64, "fact_value": 200, "secondary": 3}
+
+
+def proposal_verdict(raw: Column) -> Column:
+    """accepted, invalid_json, schema_violation or empty_summary for a proposal as JSON text. Unknown and missing fields are violations; the summary's length is looked at only if the shape is right."""
+    root = F.try_parse_json(raw)
+    true = lambda c: F.coalesce(c, F.lit(False))
+    members = lambda v: v.try_cast("map<string, variant>")
+    at = lambda v, k: F.element_at(members(v), k)
+    shape = lambda v, *keys: true(F.schema_of_variant(v).startswith("OBJECT") & (F.array_sort(F.map_keys(members(v))) == F.array(*(F.lit(k) for k in sorted(keys)))))
+    text = lambda v: F.when(F.schema_of_variant(v) == "STRING", v.try_cast("string"))
+    listed = lambda v: F.when(F.schema_of_variant(v).startswith("ARRAY"), v.try_cast("array<variant>"))
+    among = lambda v, values: true(text(v).isin(*values))
+    number = lambda v: F.when(F.schema_of_variant(v).rlike("^(BIGINT|DOUBLE|DECIMAL)"), v.try_cast("double"))
+    whole = lambda v: true(number(v).between(0, 100) & (number(v) == F.floor(number(v))))
+    grid = lambda v: true(number(v).between(0, 1) & (F.abs(number(v) * 100 - F.round(number(v) * 100)) < 1e-9))
+    every = lambda v, most, rule: true((F.size(listed(v)) <= most) & F.forall(listed(v), rule))
+    c, s, e = at(root, "classification"), at(root, "scoring"), at(root, "editorialProposal")
+    fact = lambda v: shape(v, "key", "value", "support") & true(F.length(F.trim(text(at(v, "key")))).between(1, BUDGETS["fact_key"])) & true(F.length(F.trim(text(at(v, "value")))).between(1, BUDGETS["fact_value"])) & among(at(v, "support"), SUPPORT)
+    ok = shape(root, "schemaVersion", "summary", "classification", "scoring", "entities", "proposedFacts", "editorialProposal", "rationale")
+    for rule in (
+        among(at(root, "schemaVersion"), ("1",)), text(at(root, "summary")).isNotNull(), text(at(root, "rationale")).isNotNull(),
+        shape(c, "primaryCategory", "secondaryCategories", "announcementNature"), among(at(c, "primaryCategory"), CATEGORIES), every(at(c, "secondaryCategories"), BUDGETS["secondary"], lambda v: among(v, CATEGORIES)), among(at(c, "announcementNature"), KINDS),
+        shape(s, "relevance", "impact", "novelty", "confidence"), whole(at(s, "relevance")), whole(at(s, "impact")), whole(at(s, "novelty")), grid(at(s, "confidence")),
+        every(at(root, "entities"), BUDGETS["entities"], lambda v: true(F.length(text(v)) <= BUDGETS["entity"])), every(at(root, "proposedFacts"), BUDGETS["facts"], fact),
+        shape(e, "publishWorthiness", "suggestedChannelRole"), among(at(e, "publishWorthiness"), WORTHINESS), among(at(e, "suggestedChannelRole"), CHANNELS),
+    ):
+        ok &= rule
+    length = F.length(F.trim(text(at(root, "summary"))))
+    second = F.transform(listed(at(c, "secondaryCategories")), text)
+    fine = (length <= BUDGETS["summary"][1]) & (F.length(F.trim(text(at(root, "rationale")))) <= BUDGETS["rationale"]) & ~F.array_contains(second, text(at(c, "primaryCategory"))) & (F.size(F.array_distinct(second)) == F.size(second))
+    return F.when(root.isNull(), "invalid_json").when(~ok, "schema_violation").when(length < BUDGETS["summary"][0], "empty_summary").when(~true(fine), "schema_violation").otherwise("accepted")

@@ -81,3 +81,32 @@ def lease(row: DataFrame, holder: str, now: int, ttl: int) -> DataFrame:
     """The lock row after holder has tried to take it: taken if free, over or its own. One writer at a time is assumed."""
     free = F.col("holder_id").isNull() | (F.col("expires_at") <= now) | (F.col("holder_id") == holder)
     return row.select(F.when(free, holder).otherwise(F.col("holder_id")).alias("holder_id"), F.when(free, F.lit(now + ttl)).otherwise(F.col("expires_at")).alias("expires_at"), free.alias("acquired"), (free & F.col("holder_id").isNotNull() & (F.col("holder_id") != holder)).alias("stolen"))
+
+
+def delete_guard(folders: DataFrame, *dependents: DataFrame) -> DataFrame:
+    """Whether each folder may be deleted: nothing refers to it."""
+    used = None
+    for d in dependents:
+        own = d.select("folder_id").distinct()
+        used = own if used is None else used.union(own)
+    return folders.join(used.distinct().withColumn("used", F.lit(True)), "folder_id", "left").select("folder_id", F.col("used").isNull().alias("deletable"))
+
+
+def merge_state(stored: DataFrame, updates: DataFrame, fields: list[str]) -> DataFrame:
+    """Source states after updates that tell absent (has_<field> false: keep) from null (clear)."""
+    both = stored.alias("s").join(updates.alias("u"), "source_id", "full")
+    value = lambda f: F.when(F.coalesce(F.col(f"u.has_{f}"), F.lit(False)), F.col(f"u.{f}")).otherwise(F.col(f"s.{f}")).alias(f)
+    return both.select("source_id", *map(value, fields))
+
+
+def exhausted_folders(attempts: DataFrame, most: int = 500) -> DataFrame:
+    """Number of folders with an exhausted attempt, counted up to most."""
+    return attempts.filter(F.array_contains("error_codes", "analysis_exhausted")).select("folder_id").distinct().limit(most).agg(F.count("*").alias("folders"))
+
+
+def listing(rows: DataFrame, order: list, most: int = 50, **equal: str) -> DataFrame:
+    """The first rows by order among those equal to the filters given."""
+    for column, value in equal.items():
+        if value is not None:
+            rows = rows.filter(F.col(column) == value)
+    return rows.orderBy(*order).limit(most)

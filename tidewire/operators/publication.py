@@ -78,3 +78,11 @@ def main_message(folders: DataFrame) -> DataFrame:
     room = F.greatest(F.lit(LIMITS["total"]) - F.length("title") - F.length("footer"), F.lit(0))
     body = F.when(F.length("body") > room, F.concat(F.substring(F.col("body"), F.lit(1), room - 1), F.lit("…"))).otherwise(F.col("body"))
     return framed.select("folder_id", "title", body.alias("description"), "footer", (F.length("title") + F.length(body) + F.length("footer")).cast("long").alias("chars"))
+
+
+def enrichment_message(facts: DataFrame, prepared: DataFrame) -> DataFrame:
+    """Description of new facts (folder_id, key, value), one a line in order, with the new sources; folders with neither are left out."""
+    clean = facts.select("folder_id", sanitize(F.col("key")).alias("key"), sanitize(F.col("value")).alias("value")).filter("key <> '' and value <> ''")
+    lines = clean.groupBy("folder_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", "value"))), lambda f: F.concat(F.lit("• "), f["key"], F.lit(": "), f["value"])), "\n").alias("lines"))
+    both = lines.join(sources_field(prepared).select("folder_id", "sources"), "folder_id", "full")
+    return both.select("folder_id", truncate(F.coalesce("lines", F.lit("Nouvelles sources.")), LIMITS["description"]).alias("description"), "sources")
