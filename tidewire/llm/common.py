@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,7 +17,13 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts go to Python: with Spark's usual 10,000 rows a batch, buffers outside the heap grow to hundreds of MB."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -46,7 +54,24 @@ def text_bytes(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")
 
 
-def text_chunks(batches: Iterator[pa.RecordBatch], column: str, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def released(run: Callable) -> Callable:
+    """The same function of batches, after which a worker gives the memory back that it no longer needs: workers stay, and with them what they hold."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):
+                pass
+
+    return whole
+
+
+def text_chunks(batches: Iterator[pa.RecordBatch], column: str, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of whole rows that hold about size bytes of a binary column; a longer row is a slice by itself."""
     for batch in batches:
         if not batch.num_rows:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import materialize, text_bytes, text_chunks
+from tidewire.llm.common import materialize, released, text_bytes, text_chunks
 from tidewire.llm.words import U64, WordKeys, mix, split
 
 BUCKETS, TARGETS, SHARE = 1 << 14, 20_000, 0.85
@@ -55,7 +55,7 @@ def _counts(docs: DataFrame, targets: DataFrame) -> tuple[np.ndarray, np.ndarray
         yield pa.record_batch([pa.array(np.arange(BUCKETS)), pa.array(total[0]), pa.array(total[1])], ["feature", "raw", "target"])
 
     marked = docs.join(F.broadcast(targets.select("doc_id", F.lit(True).alias("good"))), "doc_id", "left").select(F.coalesce("good", F.lit(False)).alias("good"), text_bytes().alias("content"))
-    rows = marked.mapInArrow(run, "feature long, raw long, target long").groupBy("feature").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    rows = marked.mapInArrow(released(run), "feature long, raw long, target long").groupBy("feature").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in rows.collect():
         raw[r["feature"]], target[r["feature"]] = r["raw"], r["target"]
@@ -104,7 +104,7 @@ def resample(docs: DataFrame, labels: DataFrame, share: float = SHARE) -> DataFr
             order = np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits)
             yield pa.record_batch([chunk.column(0), pa.array(n + np.maximum(n - 1, 0)), pa.array(logs), pa.array(key), pa.array(order)], ["doc_id", "n_features", "log_weight", "gumbel_key", "place"])
 
-    scored = materialize(docs.select("doc_id", text_bytes().alias("content")).mapInArrow(run, "doc_id long, n_features long, log_weight double, gumbel_key double, place long"))
+    scored = materialize(docs.select("doc_id", text_bytes().alias("content")).mapInArrow(released(run), "doc_id long, n_features long, log_weight double, gumbel_key double, place long"))
     scored = scored.withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 63))))
     n = scored.count()
     if not n:

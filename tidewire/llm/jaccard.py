@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import materialize, small, text_bytes, text_chunks
+from tidewire.llm.common import materialize, released, small, text_bytes, text_chunks
 from tidewire.llm.components import components
 from tidewire.llm.words import U64, WordKeys, ranges, shingles, split
 
@@ -37,7 +37,7 @@ LEAST_BITS = 512
 #: A shingle in so many documents counts as frequent, if a chunk of text has it in at least LOCAL of its documents.
 FREQUENT, LOCAL, MOST_FREQUENT = 256, 3, 1 << 20
 #: A word counts as common if a chunk of text has it so often; so many of them are told apart by their counts.
-COMMON, MOST_COMMON = 8, 1 << 16
+COMMON, MOST_COMMON = 4, 1 << 16
 #: Entries of a list that are compared with each other in one numpy step.
 BLOCK = 256
 #: Members of a group are verified in so many separate tasks at most.
@@ -77,7 +77,7 @@ def _counted(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, np.nd
             key = np.concatenate([keys[some], words.keys[common]]).view(np.int64)
             yield pa.record_batch([pa.array(np.repeat([False, True], [int(some.sum()), len(common)])), pa.array(key), pa.array(np.concatenate([n[some], times[common]]))], ["word", "key", "n"])
 
-    local = docs.select(text_bytes().alias("content")).mapInArrow(count, "word boolean, key long, n long")
+    local = docs.select(text_bytes().alias("content")).mapInArrow(released(count), "word boolean, key long, n long")
     total = materialize(local.groupBy("word", "key").agg(F.sum("n").alias("n")))
     top = lambda rows, most: rows.orderBy(F.desc("n"), "key").limit(most).select("key", "n").toArrow()
     frequent = top(total.filter(~F.col("word") & (F.col("n") >= FREQUENT)), MOST_FREQUENT).column(0).to_numpy().astype(U64)
@@ -155,7 +155,7 @@ def _sets(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
                 ["doc_id", "n", "digest", "prefix", "bitmap"],
             )
 
-    return docs.select("doc_id", text_bytes().alias("content")).mapInArrow(run, "doc_id long, n long, digest binary, prefix array<long>, bitmap binary")
+    return docs.select("doc_id", text_bytes().alias("content")).mapInArrow(released(run), "doc_id long, n long, digest binary, prefix array<long>, bitmap binary")
 
 
 class _Bitmaps:
@@ -188,7 +188,7 @@ class _Bitmaps:
         out = np.empty(len(a), np.int64)
         for w in np.unique(width).tolist():
             some = np.flatnonzero(width == w)
-            for part in np.array_split(some, -(-len(some) * w // (1 << 24))):
+            for part in np.array_split(some, -(-len(some) * w // (1 << 22))):
                 out[part] = np.bitwise_count(self._at(a[part], w) ^ self._at(b[part], w)).sum(1, dtype=np.int64)
         return out
 
@@ -291,7 +291,7 @@ def _candidates(entries: DataFrame, num: int, den: int, first: bool) -> DataFram
             pairs = np.unique(np.stack([a, b], 1), axis=0)
             yield pa.record_batch([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
 
-    return entries.repartition("token").mapInArrow(run, "a long, b long").distinct()
+    return entries.repartition("token").mapInArrow(released(run), "a long, b long").distinct()
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -317,7 +317,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int) -
             if out:
                 yield pa.record_batch([pa.array(x) for x in zip(*out)], ["a", "b", "linked"])
 
-    return sent.repartition("a", "salt").sortWithinPartitions("a", "salt", F.desc("head"), "node").mapInArrow(run, "a long, b long, linked boolean").groupBy("a", "b").agg(F.bool_or("linked").alias("linked"))
+    return sent.repartition("a", "salt").sortWithinPartitions("a", "salt", F.desc("head"), "node").mapInArrow(released(run), "a long, b long, linked boolean").groupBy("a", "b").agg(F.bool_or("linked").alias("linked"))
 
 
 def _linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
@@ -338,14 +338,18 @@ def join(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFra
     shared = entries.withColumn("held", F.count("*").over(Window.partitionBy("token"))).filter("held > 1").select("token", "node", "n", F.col("pos").cast("long").alias("pos"))
     shared = materialize(shared)
     bitmaps = classes.select("node", F.col("n").alias("bn"), "bitmap")
-    full = shared.join(bitmaps, (shared["node"] == bitmaps["node"]) & (shared["n"] == bitmaps["bn"])).select("token", shared["node"], "n", "pos", "bitmap")
-    first = materialize(_candidates(full.select("token", "node", F.col("node").alias("group"), "n", "pos", "bitmap"), num, den, True))
+    filled = lambda listed: listed.join(bitmaps, (listed["node"] == bitmaps["node"]) & (listed["n"] == bitmaps["bn"])).select("token", listed["node"], "n", "pos", "bitmap")
+    first = materialize(_candidates(filled(shared).select("token", "node", F.col("node").alias("group"), "n", "pos", "bitmap"), num, den, True))
     contents = docs.filter("doc_id is not null").select(F.col("doc_id").alias("node"), text_bytes().alias("content"))
     checked = materialize(_verify(first, contents, width, num, den))
     linked = checked.filter("linked").select("a", "b")
     copies = usable.join(classes.select("digest", "n", "node"), ["digest", "n"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b")).filter("a <> b").distinct()
-    if checked.filter("not linked").limit(1).count():
-        group = components(linked.union(copies.limit(0)))
+    failed = checked.filter("not linked").select(F.col("b").alias("node")).distinct()
+    if failed.limit(1).count():
+        # A pair not connected by its ties has one that failed: only lists with such a set are read again.
+        tokens = materialize(shared.join(small(failed, 500_000)(failed), "node", "left_semi").select("token").distinct())
+        full = filled(shared.join(small(tokens, 500_000)(tokens), "token", "left_semi"))
+        group = components(linked)
         again = full.join(group, "node", "left").select("token", full["node"], F.coalesce("component", full["node"]).alias("group"), "n", "pos", "bitmap")
         rest = _candidates(again, num, den, False).join(checked.select("a", "b"), ["a", "b"], "left_anti")
         linked = linked.union(materialize(_verify(rest, contents, width, num, den)).filter("linked").select("a", "b"))

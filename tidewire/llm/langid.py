@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.llm import vocabulary
-from tidewire.llm.common import text_bytes, text_chunks
+from tidewire.llm.common import released, text_bytes, text_chunks
 from tidewire.llm.words import mix, ranges
 
 SAMPLE, ROUNDS, STRETCH, UNKNOWN, SMOOTH, MOST_LANGUAGES = 1500, 4, 32, 1e-7, 0.01, 2000
@@ -169,7 +169,7 @@ def train(docs: DataFrame, path: str = vocabulary.MODEL) -> tuple[list[str], np.
         p = fit(Lattice(pieces), words["word"].tolist(), words["n"].to_numpy(np.float64))
         return pd.DataFrame({"lang": [words["lang"].iloc[0]], "p": [p]})
 
-    counted = chosen.select("lang", text_bytes().alias("content")).mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counted = chosen.select("lang", text_bytes().alias("content")).mapInArrow(released(count), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     models = {r["lang"]: r["p"] for r in counted.groupBy("lang").applyInPandas(learn, "lang string, p array<double>").collect()}
     langs = sorted(models)
     return langs, np.array([models[x] for x in langs]).reshape(len(langs), -1).T
@@ -178,7 +178,7 @@ def train(docs: DataFrame, path: str = vocabulary.MODEL) -> tuple[list[str], np.
 class Scorer:
     """Log-probabilities of texts under each language; remembers up to limit words."""
 
-    def __init__(self, pieces: list[str], p: np.ndarray, limit: int = 150_000):
+    def __init__(self, pieces: list[str], p: np.ndarray, limit: int = 100_000):
         self.lattice, self.p, self.limit = Lattice(pieces), p, limit
         self._clear()
 
@@ -197,8 +197,8 @@ class Scorer:
         if new := len(self.ids) - len(self.logs):
             fresh = list(islice(reversed(self.ids), new))[::-1]
             logs = []
-            for i in range(0, new, 50_000):
-                parts, first, last, nodes = self.lattice.edges(fresh[i : i + 50_000])
+            for i in range(0, new, 10_000):
+                parts, first, last, nodes = self.lattice.edges(fresh[i : i + 10_000])
                 logs.append(np.log(forward(parts, first, nodes, self.p)[last]))
             self.logs = np.concatenate([self.logs, *logs])
             self.letters = np.concatenate([self.letters, np.fromiter((w.isalpha() or any(map(str.isalpha, w)) for w in fresh), bool, new)])
@@ -234,7 +234,7 @@ def predict(docs: DataFrame, langs: list[str], p: np.ndarray, path: str = vocabu
             yield pa.record_batch([*chunk.columns[: len(keep)], pa.array(pred, pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", lang_pred string, score double"
-    return docs.select(*keep, text_bytes().alias("content")).mapInArrow(run, schema)
+    return docs.select(*keep, text_bytes().alias("content")).mapInArrow(released(run), schema)
 
 
 def identify(docs: DataFrame, path: str = vocabulary.MODEL) -> DataFrame:
@@ -259,4 +259,4 @@ def recognised(docs: DataFrame, least: float = 0.5, path: str = vocabulary.MODEL
                 score = 1 / np.exp(logs - logs.max(1, keepdims=True)).sum(1)
                 yield chunk.filter(pa.array(letters & (score >= least)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)

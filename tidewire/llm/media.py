@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import text_bytes, text_chunks
+from tidewire.llm.common import released, text_bytes, text_chunks
 from tidewire.llm.words import ranges
 
 UNIT = 192
@@ -623,7 +623,7 @@ def store(docs: DataFrame) -> DataFrame:
             media = encode_many([pad(t) for t in texts], [len(t) for t in texts])
             yield pa.record_batch([chunk.column(0), pa.array(media, pa.binary())], ["doc_id", "media"])
 
-    return docs.select("doc_id", text_bytes().alias("content")).mapInArrow(run, "doc_id long, media binary")
+    return docs.select("doc_id", text_bytes().alias("content")).mapInArrow(released(run), "doc_id long, media binary")
 
 
 FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -651,4 +651,4 @@ def features(media: DataFrame) -> DataFrame:
                 rows.append((int(image.comment.split()[1]), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), len(raw), hashlib.sha256(raw).hexdigest(), f"{tensor.shape[1]}x{tensor.shape[0]}:{zlib.crc32(tensor):08x}:{'/'.join(map(str, means))}"))
             yield pa.record_batch([chunk.column(0), *(pa.array(c, pa.string() if i in (2, 5, 6) else pa.int64()) for i, c in enumerate(zip(*rows)))], names)
 
-    return media.select("doc_id", "media").mapInArrow(run, FEATURES)
+    return media.select("doc_id", "media").mapInArrow(released(run), FEATURES)

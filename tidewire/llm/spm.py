@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.llm import vocabulary
-from tidewire.llm.common import text_chunks
+from tidewire.llm.common import released, text_chunks
 from tidewire.llm.words import ranges
 
 MARK = "▁"
@@ -168,7 +168,7 @@ def occurrences(text: np.ndarray, order: np.ndarray, spelling: np.ndarray, lengt
 class Encoder:
     """Encodes texts; remembers the ids of up to limit units and the compatibility of pairs met so far."""
 
-    def __init__(self, pieces: Pieces, limit: int = 200_000):
+    def __init__(self, pieces: Pieces, limit: int = 120_000):
         self.pieces, self.limit = pieces, limit
         self.known, self.verdict = np.empty(0, np.int64), np.empty(0, bool)
         self._clear()
@@ -187,8 +187,8 @@ class Encoder:
         unit = np.fromiter(map(self.units.__getitem__, chain.from_iterable(parts)), np.int64, int(n.sum()))
         if new := len(self.units) - (len(self.at) - 1):
             fresh = list(islice(reversed(self.units), new))[::-1]
-            for i in range(0, new, 100_000):
-                ids, count = self._encode(fresh[i : i + 100_000])
+            for i in range(0, new, 25_000):
+                ids, count = self._encode(fresh[i : i + 25_000])
                 self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(count)])
                 self.ids = np.concatenate([self.ids, ids])
         size = self.at[unit + 1] - self.at[unit]
@@ -292,7 +292,7 @@ class Encoder:
         new = ~held
         if new.any():
             answer[new] = self.pieces.fits(keys[new] // n, keys[new] % n)
-            if len(self.known) < 2_000_000:
+            if len(self.known) < 500_000:
                 place = np.searchsorted(self.known, keys[new])
                 self.known, self.verdict = np.insert(self.known, place, keys[new]), np.insert(self.verdict, place, answer[new])
         return answer[back]
@@ -327,4 +327,4 @@ def encode_documents(docs: DataFrame, path: str = vocabulary.MODEL) -> DataFrame
             lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids, pa.int32()), mask=pa.array(none))
             yield pa.record_batch([chunk.column(0), pa.array(np.diff(at)), pa.array(digest, pa.string()), pa.array(exact, pa.bool_()), lists], ["doc_id", "n_pieces", "ids_sha256", "exact", "ids"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, ENCODED)
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(released(run), ENCODED)

@@ -21,7 +21,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordKeys:
     """Dense ids and xxh3 keys of the words met so far by one Python worker; forgets all when over limit words."""
 
-    def __init__(self, limit: int = 250_000):
+    def __init__(self, limit: int = 150_000):
         self.limit = limit
         self._clear()
 
