@@ -6,31 +6,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.llm import cube, jaccard, langid, pii, spm
-from tidewire.llm.common import materialize, table
+from tidewire.llm.common import bounded_batches, materialize, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without letters, and those whose language no model predicts with a score of a half."""
+    bounded_batches(spark)
     return langid.recognised(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each group linked by five-word shingles at a similarity of 0.8."""
+    bounded_batches(spark)
     return jaccard.one_of_each(docs, width=5, num=4, den=5)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by its kind; n_chars follows the text."""
+    bounded_batches(spark)
     return docs.withColumn("text", pii.redacted(F.col("text"))).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes the documents of each source so often that the sources share the words by their weights."""
+    bounded_batches(spark)
     return cube.mixed(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, checked by decoding them."""
+    bounded_batches(spark)
     return spm.encode_documents(docs)
 
 
