@@ -259,6 +259,35 @@ def test_filter_reads_counts_back():
     assert np.mean(model.probe(1, keys + np.uint64(1)) > 0) < 0.1
 
 
+def test_no_count_is_left_out(spark, monkeypatch):
+    monkeypatch.setattr(bloom_lm, "MOST_BYTES", 2048, raising=False)  # a bound of the whole filter would be met
+    r = random.Random(5)
+    docs = [(i, " ".join(f"w{int(r.paretovariate(0.7)) % 900}" for _ in range(40))) for i in range(300)]
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    c, pairs = Counter(), Counter()
+    for i, t in docs:
+        if not held(i):
+            c.update([*t.split(), None])
+            pairs.update(zip(["", *t.split()], [*t.split(), None]))
+    total, n_docs = sum(c.values()) + len(c) + 1, sum(not held(i) for i, _ in docs)
+    values = [0.0] + [(lambda own: sum(own) / len(own) if own else 1.0)([k for k in range(1, 9000) if int(math.log(k, 1.5) + 1e-9) == j]) for j in range(22)]
+    near = lambda k: values[1 + int(math.log(k, 1.5) + 1e-9)] if k else 0.0
+
+    def wanted(text):
+        tokens = [*text.split(), None]
+        p = 0.0
+        for h, w in zip(["", *tokens], tokens):
+            before, both = near(c[h]) if h else n_docs, near(pairs[h, w])
+            p += math.log10(0.65 * (near(c[w]) + 1) / total + 0.35 * min(1.0, both / max(before, both, 1)))
+        return p
+
+    got = {x["doc_id"]: x["score"] for x in bloom_lm.score_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert sum(n == 1 for n in pairs.values()) > 500
+    # false positives alone, about one in a hundred probes, part the two
+    apart = sorted(abs(got[i] - wanted(t)) / 41 for i, t in docs if not held(i))
+    assert apart[n_docs // 2] < 0.01, apart[n_docs // 2]
+
+
 # --- importance ----------------------------------------------------------------------------------------------------
 
 
