@@ -33,3 +33,10 @@ def test_query(spark, duck, name):
     mine, theirs = QUERIES[name](spark, DATA).toPandas(), duck.execute(ORACLES[name]).df()
     assert sorted(mine.columns) == sorted(theirs.columns)
     assert rows(mine) == rows(theirs)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_every_order_has_a_message(spark):
+    orders = {r[0] for r in spark.read.parquet(f"{DATA}/lineitem.parquet").select("l_orderkey").distinct().collect()}
+    got = [r["folder_id"] for r in QUERIES["q_enrichment_payload_all"](spark, DATA).collect()]
+    assert orders <= set(got) and len(got) == len(set(got))

@@ -54,6 +54,15 @@ def q_enrichment_payload(spark, d):
     return publication.enrichment_message(facts, _prepared(spark, d))
 
 
+@query(f"""WITH {_NAMES}, q AS (SELECT folder_id, string_agg(CASE WHEN url IS NULL THEN name ELSE '[' || name || '](' || url || ')' END, chr(10) ORDER BY place) FILTER (place <= 5) AS s FROM p GROUP BY 1),
+f AS (SELECT l_orderkey AS folder_id, string_agg('• ' || l_returnflag || ': ' || l_linestatus, chr(10) ORDER BY l_returnflag, l_linestatus) AS lines FROM lineitem GROUP BY 1)
+SELECT coalesce(f.folder_id, q.folder_id) AS folder_id, coalesce(lines, 'Nouvelles sources.') AS description, CASE WHEN length(s) > 1024 THEN left(s, 1023) || '…' ELSE s END AS sources FROM f FULL JOIN q ON f.folder_id = q.folder_id""")
+def q_enrichment_payload_all(spark, d):
+    """The messages of every folder; q_enrichment_payload has those of the first orders only."""
+    facts = t.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("folder_id"), F.col("l_returnflag").alias("key"), F.col("l_linestatus").alias("value"))
+    return publication.enrichment_message(facts, _prepared(spark, d))
+
+
 @query("""WITH x AS (SELECT event_id, event_id % 256 AS a, (event_id * 7) % 256 AS b, (event_id * 13) % 256 AS c, event_id % 300 AS e FROM events)
 SELECT event_id, e > 255 OR a IN (0, 10, 127) OR a >= 224 OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 192 AND b = 0 AND c IN (0, 2)) OR (a = 198 AND b IN (18, 19)) OR (a = 198 AND b = 51 AND c = 100) OR (a = 203 AND b = 0 AND c = 113) AS blocked FROM x""")
 def q_blocked_addresses(spark, d):
