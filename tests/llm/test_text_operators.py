@@ -509,3 +509,16 @@ def test_media_of_edge_rows(edge, none):
             assert (r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-16:]))
             assert by_text.setdefault(raw, tuple(r)[1:])[1:] == tuple(r)[2:]
     assert media.features(media.store(none)).count() == 0
+
+
+def test_tensors_are_rows_of_the_output(edge, none, monkeypatch):
+    monkeypatch.setattr(media, "HELD", 1000, raising=False)  # so that a chunk is handed on in parts
+    got = media.tensors(media.store(edge)).collect()
+    assert len(got) == edge.count()
+    for r in got:
+        assert len(r["tensor"]) == r["height"] * r["width"] * 3
+        means = np.frombuffer(bytes(r["tensor"]), np.uint8).reshape(-1, 3).sum(0, dtype=np.int64) * 1000 // (r["height"] * r["width"])
+        assert r["feature"] == f"{r['width']}x{r['height']}:{zlib.crc32(r['tensor']):08x}:{'/'.join(map(str, means.tolist()))}"
+    assert media.tensors(media.store(none)).count() == 0
+    missing = media.tensors(media.store(edge).limit(1).selectExpr("doc_id", "cast(null as binary) as media")).first()
+    assert missing["tensor"] is None and missing["feature"] is None

@@ -627,28 +627,43 @@ def store(docs: DataFrame) -> DataFrame:
 
 
 FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+TENSORS = f"{FEATURES}, height int, width int, tensor binary"
+#: Bytes of tensors after which rows are handed on.
+HELD = 4 << 20
 
 
-def features(media: DataFrame) -> DataFrame:
-    """Decodes the files of a media column whole. feature: size of the RGB tensor, its CRC-32 and the mean of each channel in thousandths. A null file gives nulls."""
+def tensors(media: DataFrame) -> DataFrame:
+    """Decodes the files of a media column whole. tensor: the samples of the full-resolution RGB tensor, by row, column and channel; feature: its size, CRC-32 and the mean of each channel in thousandths. A null file gives nulls."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [f.split()[0] for f in FEATURES.split(", ")]
+        schema = pa.schema([(name, {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}[kind]) for name, kind in (f.split() for f in TENSORS.split(", "))])
+        batch = lambda rows: pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
         for chunk in text_chunks(batches, "media", 2 << 20):
             files = chunk.column(1).to_pylist()
             known = [f for f in files if f is not None]
             images, coef = decode_many(known)
             blocks = samples(images, coef)
             done = iter(zip(images, known))
-            rows = []
-            for f in files:
+            rows, held = [], 0
+            for doc_id, f in zip(chunk.column(0).to_pylist(), files):
                 if f is None:
-                    rows.append((None,) * 7)
+                    rows.append((doc_id, *(None,) * 10))
                     continue
                 image, raw = next(done)
                 data, tensor = payload(image, coef), rgb(image, blocks)
-                means = (tensor.reshape(-1, 3).sum(0, dtype=np.int64) * 1000 // (tensor.shape[0] * tensor.shape[1])).tolist()
-                rows.append((int(image.comment.split()[1]), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), len(raw), hashlib.sha256(raw).hexdigest(), f"{tensor.shape[1]}x{tensor.shape[0]}:{zlib.crc32(tensor):08x}:{'/'.join(map(str, means))}"))
-            yield pa.record_batch([chunk.column(0), *(pa.array(c, pa.string() if i in (2, 5, 6) else pa.int64()) for i, c in enumerate(zip(*rows)))], names)
+                height, width = tensor.shape[:2]
+                means = (tensor.reshape(-1, 3).sum(0, dtype=np.int64) * 1000 // (height * width)).tolist()
+                rows.append((doc_id, int(image.comment.split()[1]), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), len(raw), hashlib.sha256(raw).hexdigest(), f"{width}x{height}:{zlib.crc32(tensor):08x}:{'/'.join(map(str, means))}", height, width, tensor.tobytes()))
+                held += tensor.nbytes
+                if held >= HELD:
+                    yield batch(rows)
+                    rows, held = [], 0
+            if rows:
+                yield batch(rows)
+
+    return media.select("doc_id", "media").mapInArrow(released(run), TENSORS)
 
-    return media.select("doc_id", "media").mapInArrow(released(run), FEATURES)
+
+def features(media: DataFrame) -> DataFrame:
+    """The rows of tensors() without the tensors."""
+    return tensors(media).drop("height", "width", "tensor")
