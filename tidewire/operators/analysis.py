@@ -40,7 +40,7 @@ def anchored_facts(rows: DataFrame) -> DataFrame:
 
 
 def context_budget(articles: DataFrame, most: int = CONTEXT_CHARS, own: int = ARTICLE_CHARS) -> DataFrame:
-    """(folder_id, article_id, chars, kept): bodies are cut to their own limit; the oldest enrichments go first until the rest fits.
+    """(folder_id, article_id, chars, kept): bodies are cut to their own limit; the oldest enrichments go first until the rest fits or none is left. What other bodies exceed stays.
 
     Removing one after the other until it fits is the same as removing those before which the characters removed are less than the excess: a running sum.
     """
