@@ -9,8 +9,10 @@ piece is compatible with the last piece at s, that is, merging by rank would not
 gets one last piece, and walking back from the end of a unit yields the encoding that merging pair by pair would give.
 
 Text is taken as the model takes it: a mark is put before it, blanks become marks, nothing else is normalised; runs of
-marks are merged from the left. Characters without a piece are spelled in bytes. A null text has null ids, an empty one
-none; decoding gives back every text, except that U+2581 is not told from a blank.
+marks are merged from the left. Characters without a piece are spelled in bytes, and so is a U+2581 of the text itself (the
+model would take it for a blank): decoding gives back every text. A null text has null ids, an empty one none. Rows are
+encoded one by one, so repeated rows give repeated results and an empty table an empty one; a very long text is a batch by
+itself and is held, with its edges, by one task.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ from tidewire.llm.common import released, text_chunks
 from tidewire.llm.words import ranges
 
 MARK = "▁"
+#: Stands for a U+2581 of the text; a lone surrogate, which no text has.
+LITERAL = "\udc00"
 _SLOW = re.compile(f"{MARK}+[^{MARK}\n]*|\n[^{MARK}\n]*")
 
 
@@ -201,7 +205,7 @@ class Encoder:
         if not text:
             return []
         if MARK in text:
-            text = text.replace(MARK, " ")
+            text = text.replace(MARK, LITERAL)
         if text[0] == " " or "  " in text:
             return [u[1:] if u[0] == MARK else u for u in _SLOW.findall(MARK + text.replace(" ", MARK))]
         return text.replace("\n", " \n").split(" ")
@@ -211,7 +215,7 @@ class Encoder:
         marks = np.array([0 if u[:1] == "\n" else 1 + len(u) - len(u.lstrip(MARK)) for u in units])
         bare = [u if not m else MARK + u.lstrip(MARK) for u, m in zip(units, marks.tolist())]
         length = np.fromiter(map(len, bare), np.int64, len(bare))
-        code = np.frombuffer("".join(bare).encode("utf-32-le"), np.uint32)
+        code = np.frombuffer("".join(bare).encode("utf-32-le", "surrogatepass"), np.uint32)
         symbol = np.minimum(np.searchsorted(p.chars, code), len(p.chars) - 1)
         symbol = np.where(p.chars[symbol] == code, symbol + 1, len(p.chars) + 1)
         start = np.cumsum(length + 1) - length - 1
@@ -244,7 +248,8 @@ class Encoder:
         code_at[inside] = code
         spelled: dict[int, list[int]] = {}
         for i in np.flatnonzero(number == p.other).tolist():
-            raw = chr(code_at[where[i]]).encode()
+            c = chr(code_at[where[i]])
+            raw = (MARK if c == LITERAL else c).encode()
             ids[i] = p.bytes[raw[0]]
             if len(raw) > 1:
                 spelled[i] = p.bytes[list(raw)].tolist()
@@ -300,10 +305,10 @@ class Encoder:
 
 def decode(pieces: Pieces, ids: list[int]) -> str:
     """The text of ids, without the mark put before it; bytes that are no UTF-8 become U+FFFD."""
-    text = "".join(map(pieces.text.__getitem__, ids))
+    text = "".join(map(pieces.text.__getitem__, ids)).replace(MARK, " ")
     if not text.isascii():
         text = text.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
-    return text.replace(MARK, " ")[1:]
+    return text[1:]
 
 
 ENCODED = "doc_id long, n_pieces long, ids_sha256 string, exact boolean, ids array<int>"
