@@ -8,14 +8,18 @@ Two documents link when |A & B| * den >= |A | B| * num. The stages:
 2. Every document becomes its set's size, digest, prefix and a parity bitmap. Equal sets become one class, whose smallest
    doc_id represents it, so copies cost nothing later on.
 3. Index lists: the prefix entries of each shingle. Lists with one set are skipped at once. Within a list, entries lie by
-   set size and position, and blocks that size, position or bitmap bounds rule out are skipped unread.
-4. Answer-level skipping: sets that a list shows to be very similar are not paired with each other; each is tied to the
-   first of its group alone (its answer derives from that set's), which is what a component needs. Ties are verified
-   against the whole sets. Only where a tie fails are the pairs between groups not yet connected looked at one by one.
+   set size and position in blocks of STEP, and two blocks whose sizes and positions rule out all their pairs are skipped
+   unread; then size, position and bitmap rule out single pairs.
+4. Answer-level skipping: a set that a list shows to be very similar to others gets its answer, the component, from that
+   of its group's first set: it is tied to that one alone, and compared only with sets that its group has not reached.
+   Ties are verified against the whole sets. Lists over SPLIT entries are dealt out in parts by set; the first sets of the
+   parts' groups are grouped in turn. Only lists with a failed tie, and long lists that end in several components, are read
+   again; there sets of different components are compared one by one, the largest component of a long list never with itself.
 5. Components over the verified links.
 
 A document without words, or with a null text, has the size 0 and links with nothing. Rows with one doc_id are one
-document in the graph. A null doc_id links with nothing and has a null component.
+document in the graph. A null doc_id links with nothing and has a null component. An empty table gives an empty one; other
+columns are ignored, whatever their names. A very long text is read whole by one task, its bitmap has at most MOST_BITS.
 """
 
 from __future__ import annotations
@@ -25,21 +29,23 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.llm.common import materialize, released, small, text_bytes, text_chunks
 from tidewire.llm.components import components
 from tidewire.llm.words import U64, WordKeys, ranges, shingles, split
 
-#: Bits of a parity bitmap: LEAST_BITS up to twice as many shingles, above that the next power of two.
-LEAST_BITS = 512
+#: Bits of a parity bitmap: LEAST_BITS up to twice as many shingles, above that the next power of two, of which MOST_BITS are enough.
+LEAST_BITS, MOST_BITS = 512, 1 << 15
 #: A shingle in so many documents counts as frequent, if a chunk of text has it in at least LOCAL of its documents.
 FREQUENT, LOCAL, MOST_FREQUENT = 256, 3, 1 << 20
 #: A word counts as common if a chunk of text has it so often; so many of them are told apart by their counts.
 COMMON, MOST_COMMON = 4, 1 << 16
-#: Entries of a list that are compared with each other in one numpy step.
-BLOCK = 256
+#: Entries in a block of a list; pairs of entries that are compared in one numpy step.
+STEP, PORTION = 16, 1 << 17
+#: A longer list is dealt out to several tasks, in parts of about so many entries.
+SPLIT = 256
 #: Members of a group are verified in so many separate tasks at most.
 SALTS = 64
 
@@ -88,7 +94,7 @@ def _counted(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def _bits(n: np.ndarray) -> np.ndarray:
-    return np.where(n <= 2 * LEAST_BITS, LEAST_BITS, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    return np.where(n <= 2 * LEAST_BITS, LEAST_BITS, np.minimum(MOST_BITS, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64)))
 
 
 class Order:
@@ -205,34 +211,29 @@ def _likely(a: np.ndarray, b: np.ndarray, n: np.ndarray, pos: np.ndarray, bitmap
     return keep
 
 
-def _pairs(list_at: np.ndarray, list_n: np.ndarray, n: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of entries of the same list, in bounded portions; entries of a list lie by set size, so that each one's partners are a range that ends where sets get too large."""
-    size = np.repeat(list_n, list_n)
-    start = np.repeat(list_at, list_n)
-    own = ranges(list_at, list_n)
-    # the last partner by size: found by bisection within the list
-    low, high = own + 1, start + size
-    bound = n[own] * den // num
-    while (low < high).any():
-        mid = (low + high) // 2
-        less = (low < high) & (n[np.minimum(mid, len(n) - 1)] <= bound)
-        low, high = np.where(less, mid + 1, low), np.where(~less & (low < high), mid, high)
-    count = low - own - 1
-    some = count > 0
-    own, count = own[some], count[some]
-    ends = np.cumsum(count)
-    begin = 0
-    while begin < len(own):
-        done = ends[begin - 1] if begin else 0
-        stop = max(begin + 1, int(np.searchsorted(ends, done + BLOCK * BLOCK, "right")))
-        if stop == begin + 1 and count[begin] > BLOCK * BLOCK:
-            for i in range(0, int(count[begin]), BLOCK * BLOCK):
-                b = np.arange(own[begin] + 1 + i, own[begin] + 1 + min(int(count[begin]), i + BLOCK * BLOCK))
-                yield np.full(len(b), own[begin]), b
-        else:
-            a = np.repeat(own[begin:stop], count[begin:stop])
-            yield a, ranges(own[begin:stop] + 1, count[begin:stop])
-        begin = stop
+def _pairs(list_at: np.ndarray, list_n: np.ndarray, n: np.ndarray, pos: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of entries of the same list, in bounded portions. Entries lie by set size and position, and every STEP of them are a block, of which the least and largest size and the longest rest of a set behind its position are known: two blocks that these rule out are skipped unread."""
+    blocks = -(-list_n // STEP)
+    begin = np.repeat(list_at, blocks) + STEP * ranges(np.zeros_like(blocks), blocks)
+    end = np.minimum(begin + STEP, np.repeat(list_at + list_n, blocks))
+    least, most, rest = n[begin], n[end - 1], np.maximum.reduceat(n - pos, begin)
+    own = np.arange(len(begin))
+    count = np.repeat(np.cumsum(blocks), blocks) - own
+    x, y = np.repeat(own, count), ranges(own, count)
+    need = -(-(least[x] + least[y]) * num // (num + den))
+    read = (least[y] * num <= most[x] * den) & (np.minimum(rest[x], rest[y]) >= need)
+    x, y = x[read], y[read]
+    wide = (end - begin)[y]
+    ends = np.cumsum((end - begin)[x] * wide)
+    at = 0
+    while at < len(x):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PORTION, "right")))
+        size = np.diff(ends[at:stop], prepend=ends[at - 1] if at else 0)
+        k = ranges(np.zeros(stop - at, np.int64), size)
+        w = np.repeat(wide[at:stop], size)
+        a, b = np.repeat(begin[x[at:stop]], size) + k // w, np.repeat(begin[y[at:stop]], size) + k % w
+        yield a[a < b], b[a < b]
+        at = stop
 
 
 def _roots(size: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]], likely: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
@@ -259,39 +260,114 @@ def _roots(size: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]], likely: Ca
     return root
 
 
-def _candidates(entries: DataFrame, num: int, den: int, first: bool) -> DataFrame:
-    """(a, b) to verify, from entries (token, node, group, n, pos, bitmap). In the first round one tie for each entry of a group of likely pairs, later all likely pairs between different groups."""
+def _in_whole_lists(batches: Iterator[pa.RecordBatch], rows: int = 8192, size: int = 16 << 20) -> Iterator[pa.Table]:
+    """Sorted entries in tables that hold many whole lists, or parts of lists; only the list that is not complete yet is carried on."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) < rows and sum(b.nbytes for b in held) < size:
+            continue
+        table = pa.Table.from_batches(held)
+        new = np.flatnonzero(_starts(table))
+        cut = int(new[-1])
+        if cut:
+            yield table.slice(0, cut)
+            held = table.slice(cut).combine_chunks().to_batches()
+    if held and (table := pa.Table.from_batches(held)).num_rows:
+        yield table
+
+
+def _starts(table: pa.Table) -> np.ndarray:
+    """Which entries are the first of their list, or part of a list."""
+    first = np.zeros(table.num_rows, bool)
+    first[:1] = True
+    for name in ("token", "low", "high"):
+        column = table.column(name).to_numpy()
+        first[1:] |= column[1:] != column[:-1]
+    return first
+
+
+ENTRY = ["token", "low", "high", "n", "pos", "node", "block", "split", "group", "bitmap"]
+
+
+def _compared(entries: DataFrame, num: int, den: int, ties: bool) -> DataFrame:
+    """From entries with the columns ENTRY, (a, b) to verify: one tie for each entry of a group of likely pairs, or all likely pairs of different groups. A row (token, a) with a null b tells the first of a group in a part of a split list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        rows = pa.Table.from_batches(held)
-        token, node, group, n, pos = (rows.column(i).to_numpy() for i in range(5))
-        order = np.lexsort((node, pos, n, token))
-        token, node, group, n, pos = token[order], node[order], group[order], n[order], pos[order]
-        bitmap = _Bitmaps(rows.column(5).take(pa.array(order)).to_pylist())
-        at = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        count = np.diff(np.append(at, len(token)))
-        if first:
-            root = _roots(len(token), _pairs(at, count, n, num, den), lambda a, b: _likely(a, b, n, pos, bitmap, num, den))
-            least = np.full(len(token), np.iinfo(np.int64).max)
-            np.minimum.at(least, root, node)
-            tied = least[root] != node
-            found = [(least[root][tied], node[tied])]
-        else:
-            found = []
-            for a, b in _pairs(at, count, n, num, den):
-                apart = group[a] != group[b]
-                a, b = a[apart], b[apart]
-                k = _likely(a, b, n, pos, bitmap, num, den)
-                found.append((np.minimum(node[a[k]], node[b[k]]), np.maximum(node[a[k]], node[b[k]])))
-        a, b = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 2
-        if len(a):
-            pairs = np.unique(np.stack([a, b], 1), axis=0)
-            yield pa.record_batch([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
-
-    return entries.repartition("token").mapInArrow(released(run), "a long, b long").distinct()
+        for rows in _in_whole_lists(batches):
+            at = np.flatnonzero(_starts(rows))
+            count = np.diff(np.append(at, rows.num_rows))
+            token, low, high, n, pos, node, block, split, group = (rows.column(c).to_numpy() for c in ENTRY[:-1])
+            bitmap = _Bitmaps(rows.column("bitmap").to_pylist())
+            both_ways = low != high
+
+            def open_(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+                return ~both_ways[a] | (block[a] != block[b])
+
+            pairs = _pairs(at, count, n, pos, num, den)
+            if ties:
+                root = _roots(len(token), pairs, lambda a, b: open_(a, b) & _likely(a, b, n, pos, bitmap, num, den))
+                least = np.full(len(token), np.iinfo(np.int64).max)
+                np.minimum.at(least, root, node)
+                tied = least[root] != node
+                heads = np.unique(np.stack([token[split], least[root[split]]], 1), axis=0)
+                found = [(np.zeros(int(tied.sum()), np.int64), least[root[tied]], node[tied]), (heads[:, 0], heads[:, 1], np.full(len(heads), -1))]
+            else:
+                found = []
+                for a, b in pairs:
+                    apart = (group[a] != group[b]) & open_(a, b)
+                    a, b = a[apart], b[apart]
+                    k = _likely(a, b, n, pos, bitmap, num, den)
+                    found.append((np.zeros(int(k.sum()), np.int64), np.minimum(node[a[k]], node[b[k]]), np.maximum(node[a[k]], node[b[k]])))
+            if found and sum(len(f[0]) for f in found):
+                t, a, b = (np.concatenate(x) for x in zip(*found))
+                is_head = np.arange(len(t)) >= len(found[0][0]) if ties else np.zeros(len(t), bool)
+                distinct = np.unique(np.stack([is_head, t, a, b], 1), axis=0)
+                yield pa.record_batch([pa.array(distinct[:, 1].copy()), pa.array(distinct[:, 2].copy()), pa.array(distinct[:, 3].copy(), mask=distinct[:, 0] == 1)], ["token", "a", "b"])
+
+    order = ["token", "low", "high"]
+    return entries.select(*ENTRY).repartition(*order).sortWithinPartitions(*order, "n", "pos", "node").mapInArrow(released(run), "token long, a long, b long")
+
+
+def _in_parts(entries: DataFrame, level: int, pairs: bool) -> DataFrame:
+    """Entries (token, size, node, ...) of lists over SPLIT dealt by node into parts of about SPLIT: by themselves, or, if pairs, a part with every other one."""
+    parts = F.ceil(F.col("size") / SPLIT)
+    own = F.when(F.col("size") > SPLIT, F.pmod(F.xxhash64(F.lit(level), "node"), parts)).otherwise(F.lit(0)).cast("long")
+    dealt = entries.withColumn("block", own)
+    if not pairs:
+        return dealt.withColumns({"low": F.col("block"), "high": F.col("block"), "split": F.col("size") > SPLIT})
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("size") > SPLIT, parts - 1).otherwise(F.lit(0)).cast("long"))))
+    return met.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other"), "split": F.lit(False)})
+
+
+def _ties(shared: DataFrame, filled: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
+    """(a, b) to verify, which leave no likely pair of a list of at most SPLIT entries unconnected. Of longer lists the parts are grouped by themselves, then the first ones of their groups in the same way, until a list is short or its first ones no longer get fewer; these are compared part with part."""
+    at, found, before, level = shared, None, None, 0
+    while True:
+        long = at.filter(F.col("size") > SPLIT).count()
+        pairs = before is not None and 2 * long > before
+        out = materialize(_compared(filled(_in_parts(at, level, pairs).withColumn("group", F.col("node"))), num, den, True))
+        ties = out.filter("b is not null").select("a", "b")
+        found = ties if found is None else found.union(ties)
+        if not long or pairs:
+            return found.distinct()
+        heads = materialize(out.filter("b is null").select("token", F.col("a").alias("node")).distinct())
+        sizes = heads.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1")
+        at = materialize(shared.drop("size").join(heads, ["token", "node"], "left_semi").join(sizes, "token"))
+        before, level = long, level + 1
+
+
+def _between_groups(entries: DataFrame) -> DataFrame:
+    """Entries (token, size, node, group, ...) of lists with several groups, in parts. In a list over SPLIT the largest group is not compared with itself: its parts meet those of the other groups alone."""
+    members = entries.groupBy("token", "group").agg(F.count("*").alias("n_group"))
+    main = members.groupBy("token").agg(F.max(F.struct("n_group", "group")).alias("main"), F.sum("n_group").alias("size"), F.count("*").alias("groups")).filter("groups > 1")
+    several = entries.drop("size").join(main.select("token", "size", F.col("main.group").alias("main"), F.ceil(F.col("main.n_group") / SPLIT).alias("parts"), F.ceil((F.col("size") - F.col("main.n_group")) / SPLIT).alias("others")), "token")
+    long, hashed = F.col("size") > SPLIT, F.xxhash64(F.lit("group"), "node")
+    own = F.when(F.col("group") == F.col("main"), F.pmod(hashed, F.col("parts"))).otherwise(F.col("parts") + F.pmod(hashed, F.col("others")))
+    first = F.when(F.col("group") == F.col("main"), F.col("parts")).otherwise(F.lit(0))
+    dealt = several.withColumn("block", F.when(long, own).otherwise(F.lit(0)).cast("long"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.when(long, first).otherwise(F.lit(0)).cast("long"), F.when(long, F.col("parts") + F.col("others") - 1).otherwise(F.lit(0)).cast("long"))))
+    return met.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other"), "split": F.lit(False)})
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -334,24 +410,22 @@ def join(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFra
     usable = sets.filter("n > 0 and doc_id is not null")
     classes = usable.groupBy("digest", "n").agg(F.min("doc_id").alias("node"), F.min_by("prefix", "doc_id").alias("prefix"), F.min_by("bitmap", "doc_id").alias("bitmap"))
     classes = materialize(classes)
-    entries = classes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = entries.withColumn("held", F.count("*").over(Window.partitionBy("token"))).filter("held > 1").select("token", "node", "n", F.col("pos").cast("long").alias("pos"))
-    shared = materialize(shared)
+    entries = classes.select("node", "n", F.posexplode("prefix").alias("pos", "token")).withColumn("pos", F.col("pos").cast("long"))
+    lists = materialize(entries.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1"))
+    shared = materialize(entries.join(lists, "token").select("token", "node", "n", "pos", "size"))
     bitmaps = classes.select("node", F.col("n").alias("bn"), "bitmap")
-    filled = lambda listed: listed.join(bitmaps, (listed["node"] == bitmaps["node"]) & (listed["n"] == bitmaps["bn"])).select("token", listed["node"], "n", "pos", "bitmap")
-    first = materialize(_candidates(filled(shared).select("token", "node", F.col("node").alias("group"), "n", "pos", "bitmap"), num, den, True))
+    filled = lambda listed: listed.join(bitmaps, (listed["node"] == bitmaps["node"]) & (listed["n"] == bitmaps["bn"])).select(*(listed[c] for c in ENTRY[:-1]), "bitmap")
+    first = materialize(_ties(shared, filled, num, den))
     contents = docs.filter("doc_id is not null").select(F.col("doc_id").alias("node"), text_bytes().alias("content"))
     checked = materialize(_verify(first, contents, width, num, den))
     linked = checked.filter("linked").select("a", "b")
     copies = usable.join(classes.select("digest", "n", "node"), ["digest", "n"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b")).filter("a <> b").distinct()
     failed = checked.filter("not linked").select(F.col("b").alias("node")).distinct()
-    if failed.limit(1).count():
-        # A pair not connected by its ties has one that failed: only lists with such a set are read again.
-        tokens = materialize(shared.join(small(failed, 500_000)(failed), "node", "left_semi").select("token").distinct())
-        full = filled(shared.join(small(tokens, 500_000)(tokens), "token", "left_semi"))
-        group = components(linked)
-        again = full.join(group, "node", "left").select("token", full["node"], F.coalesce("component", full["node"]).alias("group"), "n", "pos", "bitmap")
-        rest = _candidates(again, num, den, False).join(checked.select("a", "b"), ["a", "b"], "left_anti")
+    # A pair that its ties leave unconnected has one that failed, or lies in a split list: only such lists are read again.
+    tokens = materialize(shared.join(small(failed, 500_000)(failed), "node", "left_semi").select("token").union(shared.filter(F.col("size") > SPLIT).select("token")).distinct())
+    if tokens.limit(1).count():
+        again = shared.join(small(tokens, 500_000)(tokens), "token", "left_semi").join(components(linked), "node", "left").select("token", "node", "n", "pos", "size", F.coalesce("component", "node").alias("group"))
+        rest = _compared(filled(_between_groups(materialize(again))), num, den, False).select("a", "b").distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
         linked = linked.union(materialize(_verify(rest, contents, width, num, den)).filter("linked").select("a", "b"))
     ends = components(linked.union(copies))
     return sets.select("doc_id", F.col("n").alias("n_shingles")).join(ends, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
