@@ -32,11 +32,12 @@ def source_health(sources: DataFrame, state: DataFrame, now: int) -> DataFrame:
 
 
 def cycle_timing(runs: DataFrame, most: int = 20) -> DataFrame:
-    """Over the last finished runs: their number, mean and last duration in ms, and the last success."""
-    top = runs.filter("finished_at is not null").orderBy(F.desc("started_at"), F.desc("run_id")).limit(most)
+    """Over the runs that ended last: their number, the mean and the latest duration in ms (negative ones aside), and the last success. A run that is still going, or was given up, does not count."""
+    ended = runs.filter("finished_at is not null").filter(F.col("status").isin("completed", "degraded", "failed"))
+    top = ended.orderBy(F.desc("finished_at"), F.desc("run_id")).limit(most)
     took = F.when(F.col("finished_at") >= F.col("started_at"), F.col("finished_at") - F.col("started_at"))
     return top.agg(
-        F.count("*").alias("runs"), F.round(F.avg(took)).cast("long").alias("mean_ms"), F.max_by(took, F.struct("started_at", "run_id")).alias("last_ms"),
+        F.count("*").alias("runs"), F.round(F.avg(took)).cast("long").alias("mean_ms"), F.max_by(took, F.when(took.isNotNull(), F.struct("finished_at", "run_id"))).alias("last_ms"),
         F.max(F.when(F.col("status") == "completed", F.col("finished_at"))).alias("last_success_at"),
     )
 

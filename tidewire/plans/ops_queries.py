@@ -362,12 +362,12 @@ def q_source_health(spark, d):
     return ops.source_health(s, _state(spark, d), NOW).select("source_id", "in_backoff", "health")
 
 
-@query("""WITH r AS (SELECT o_orderkey AS run_id, epoch_ms(o_orderdate) AS s, CASE WHEN o_orderkey % 10 <> 0 THEN epoch_ms(o_orderdate) + CAST(o_custkey * 1000 AS BIGINT) - 50000 END AS f, o_orderstatus = 'F' AS ok FROM orders),
-x AS (SELECT * FROM r WHERE f IS NOT NULL ORDER BY s DESC, run_id DESC LIMIT 20)
-SELECT count(*) AS runs, CAST(round(avg(CASE WHEN f >= s THEN f - s END)) AS BIGINT) AS mean_ms, (SELECT f - s FROM x WHERE f >= s ORDER BY s DESC, run_id DESC LIMIT 1) AS last_ms, max(CASE WHEN ok THEN f END) AS last_success_at FROM x""")
+@query("""WITH r AS (SELECT o_orderkey AS run_id, epoch_ms(o_orderdate) AS s, CASE WHEN o_orderkey % 10 <> 0 THEN epoch_ms(o_orderdate) + CAST(o_custkey * 1000 AS BIGINT) - 50000 END AS f, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'P' THEN 'running' ELSE 'degraded' END AS status FROM orders),
+x AS (SELECT * FROM r WHERE f IS NOT NULL AND status <> 'running' ORDER BY f DESC, run_id DESC LIMIT 20)
+SELECT count(*) AS runs, CAST(round(avg(CASE WHEN f >= s THEN f - s END)) AS BIGINT) AS mean_ms, (SELECT f - s FROM x WHERE f >= s ORDER BY f DESC, run_id DESC LIMIT 1) AS last_ms, max(CASE WHEN status = 'completed' THEN f END) AS last_success_at FROM x""")
 def q_cycle_timing(spark, d):
     tms = t.millis("o_orderdate")
-    runs = t.read(spark, d, "orders").select(F.col("o_orderkey").alias("run_id"), tms.alias("started_at"), F.when(F.col("o_orderkey") % 10 != 0, tms + F.col("o_custkey") * 1000 - 50000).alias("finished_at"), F.when(F.col("o_orderstatus") == "F", "completed").otherwise("degraded").alias("status"))
+    runs = t.read(spark, d, "orders").select(F.col("o_orderkey").alias("run_id"), tms.alias("started_at"), F.when(F.col("o_orderkey") % 10 != 0, tms + F.col("o_custkey") * 1000 - 50000).alias("finished_at"), F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "P", "running").otherwise("degraded").alias("status"))
     return ops.cycle_timing(runs)
 
 
