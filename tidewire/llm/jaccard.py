@@ -288,10 +288,11 @@ def _starts(table: pa.Table) -> np.ndarray:
 
 
 ENTRY = ["token", "low", "high", "n", "pos", "node", "block", "split", "group", "bitmap"]
+FOUND = "a long, b long, token long, n long, pos long, bitmap binary"
 
 
 def _compared(entries: DataFrame, num: int, den: int, ties: bool) -> DataFrame:
-    """From entries with the columns ENTRY, (a, b) to verify: one tie for each entry of a group of likely pairs, or all likely pairs of different groups. A row (token, a) with a null b tells the first of a group in a part of a split list."""
+    """From entries with the columns ENTRY, (a, b) to verify: one tie for each entry of a group of likely pairs, or all likely pairs of different groups. Rows with a null b are the entries (of the set a) that stand for a group in a part of a split list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _in_whole_lists(batches):
@@ -310,23 +311,25 @@ def _compared(entries: DataFrame, num: int, den: int, ties: bool) -> DataFrame:
                 least = np.full(len(token), np.iinfo(np.int64).max)
                 np.minimum.at(least, root, node)
                 tied = least[root] != node
-                heads = np.unique(np.stack([token[split], least[root[split]]], 1), axis=0)
-                found = [(np.zeros(int(tied.sum()), np.int64), least[root[tied]], node[tied]), (heads[:, 0], heads[:, 1], np.full(len(heads), -1))]
+                found = [(least[root[tied]], node[tied])]
+                stands = np.flatnonzero(split & ~tied)
             else:
-                found = []
+                found, stands = [], np.empty(0, np.int64)
                 for a, b in pairs:
                     apart = (group[a] != group[b]) & open_(a, b)
                     a, b = a[apart], b[apart]
                     k = _likely(a, b, n, pos, bitmap, num, den)
-                    found.append((np.zeros(int(k.sum()), np.int64), np.minimum(node[a[k]], node[b[k]]), np.maximum(node[a[k]], node[b[k]])))
-            if found and sum(len(f[0]) for f in found):
-                t, a, b = (np.concatenate(x) for x in zip(*found))
-                is_head = np.arange(len(t)) >= len(found[0][0]) if ties else np.zeros(len(t), bool)
-                distinct = np.unique(np.stack([is_head, t, a, b], 1), axis=0)
-                yield pa.record_batch([pa.array(distinct[:, 1].copy()), pa.array(distinct[:, 2].copy()), pa.array(distinct[:, 3].copy(), mask=distinct[:, 0] == 1)], ["token", "a", "b"])
+                    found.append((np.minimum(node[a[k]], node[b[k]]), np.maximum(node[a[k]], node[b[k]])))
+            two = np.unique(np.concatenate([np.stack(f, 1) for f in found]), axis=0) if found else np.empty((0, 2), np.int64)
+            if len(two) + len(stands):
+                rest = lambda x, t: pa.concat_arrays([pa.nulls(len(two), t), pa.array(x, t)])
+                own = [rest(c[stands], pa.int64()) for c in (token, n, pos)]
+                kept = rest(rows.column("bitmap").take(pa.array(stands)).to_pylist(), pa.binary())
+                ends = pa.concat_arrays([pa.array(two[:, 1].copy()), pa.nulls(len(stands), pa.int64())])
+                yield pa.record_batch([pa.array(np.concatenate([two[:, 0], node[stands]])), ends, *own, kept], ["a", "b", "token", "n", "pos", "bitmap"])
 
     order = ["token", "low", "high"]
-    return entries.select(*ENTRY).repartition(*order).sortWithinPartitions(*order, "n", "pos", "node").mapInArrow(released(run), "token long, a long, b long")
+    return entries.select(*ENTRY).repartition(*order).sortWithinPartitions(*order, "n", "pos", "node").mapInArrow(released(run), FOUND)
 
 
 def _in_parts(entries: DataFrame, level: int, pairs: bool) -> DataFrame:
@@ -340,28 +343,28 @@ def _in_parts(entries: DataFrame, level: int, pairs: bool) -> DataFrame:
     return met.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other"), "split": F.lit(False)})
 
 
-def _ties(shared: DataFrame, filled: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
-    """(a, b) to verify, which leave no likely pair of a list of at most SPLIT entries unconnected. Of longer lists the parts are grouped by themselves, then the first ones of their groups in the same way, until a list is short or its first ones no longer get fewer; these are compared part with part."""
+def _ties(shared: DataFrame, long: int, num: int, den: int) -> tuple[DataFrame, int]:
+    """(a, b) to verify, which leave no likely pair of a list of at most SPLIT entries unconnected, and the number of levels. Of longer lists, with so many entries, the parts are grouped by themselves, then the sets that stand for their groups in the same way, until a list is short or these no longer get fewer; then they are compared part with part."""
     at, found, before, level = shared, None, None, 0
     while True:
-        long = at.filter(F.col("size") > SPLIT).count()
         pairs = before is not None and 2 * long > before
-        out = materialize(_compared(filled(_in_parts(at, level, pairs).withColumn("group", F.col("node"))), num, den, True))
+        out = materialize(_compared(_in_parts(at, level, pairs).withColumn("group", F.col("node")), num, den, True))
         ties = out.filter("b is not null").select("a", "b")
-        found = ties if found is None else found.union(ties)
+        found, level = ties if found is None else found.union(ties), level + 1
         if not long or pairs:
-            return found.distinct()
-        heads = materialize(out.filter("b is null").select("token", F.col("a").alias("node")).distinct())
-        sizes = heads.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1")
-        at = materialize(shared.drop("size").join(heads, ["token", "node"], "left_semi").join(sizes, "token"))
-        before, level = long, level + 1
+            return found.distinct(), level
+        heads = out.filter("b is null").select("token", F.col("a").alias("node"), "n", "pos", "bitmap")
+        sizes = materialize(heads.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1"))
+        at = heads.join(small(sizes)(sizes), "token")
+        before, long = long, sizes.filter(F.col("size") > SPLIT).agg(F.sum("size")).first()[0] or 0
 
 
 def _between_groups(entries: DataFrame) -> DataFrame:
     """Entries (token, size, node, group, ...) of lists with several groups, in parts. In a list over SPLIT the largest group is not compared with itself: its parts meet those of the other groups alone."""
     members = entries.groupBy("token", "group").agg(F.count("*").alias("n_group"))
     main = members.groupBy("token").agg(F.max(F.struct("n_group", "group")).alias("main"), F.sum("n_group").alias("size"), F.count("*").alias("groups")).filter("groups > 1")
-    several = entries.drop("size").join(main.select("token", "size", F.col("main.group").alias("main"), F.ceil(F.col("main.n_group") / SPLIT).alias("parts"), F.ceil((F.col("size") - F.col("main.n_group")) / SPLIT).alias("others")), "token")
+    main = materialize(main.select("token", "size", F.col("main.group").alias("main"), F.ceil(F.col("main.n_group") / SPLIT).alias("parts"), F.ceil((F.col("size") - F.col("main.n_group")) / SPLIT).alias("others")))
+    several = entries.drop("size").join(small(main)(main), "token")
     long, hashed = F.col("size") > SPLIT, F.xxhash64(F.lit("group"), "node")
     own = F.when(F.col("group") == F.col("main"), F.pmod(hashed, F.col("parts"))).otherwise(F.col("parts") + F.pmod(hashed, F.col("others")))
     first = F.when(F.col("group") == F.col("main"), F.col("parts")).otherwise(F.lit(0))
@@ -412,23 +415,42 @@ def join(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFra
     classes = materialize(classes)
     entries = classes.select("node", "n", F.posexplode("prefix").alias("pos", "token")).withColumn("pos", F.col("pos").cast("long"))
     lists = materialize(entries.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1"))
-    shared = materialize(entries.join(lists, "token").select("token", "node", "n", "pos", "size"))
+    shared = materialize(entries.join(small(lists, 1_000_000)(lists), "token").select("token", "node", "n", "pos", "size"))
     bitmaps = classes.select("node", F.col("n").alias("bn"), "bitmap")
-    filled = lambda listed: listed.join(bitmaps, (listed["node"] == bitmaps["node"]) & (listed["n"] == bitmaps["bn"])).select(*(listed[c] for c in ENTRY[:-1]), "bitmap")
-    first = materialize(_ties(shared, filled, num, den))
+    shared = materialize(shared.join(bitmaps, (shared["node"] == bitmaps["node"]) & (shared["n"] == bitmaps["bn"])).select("token", shared["node"], "n", "pos", "size", "bitmap"))
+    long = lists.filter(F.col("size") > SPLIT)
+    ties, levels = _ties(shared, long.agg(F.sum("size")).first()[0] or 0, num, den)
     contents = docs.filter("doc_id is not null").select(F.col("doc_id").alias("node"), text_bytes().alias("content"))
-    checked = materialize(_verify(first, contents, width, num, den))
+    checked = materialize(_verify(materialize(ties), contents, width, num, den))
     linked = checked.filter("linked").select("a", "b")
-    copies = usable.join(classes.select("digest", "n", "node"), ["digest", "n"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b")).filter("a <> b").distinct()
     failed = checked.filter("not linked").select(F.col("b").alias("node")).distinct()
     # A pair that its ties leave unconnected has one that failed, or lies in a split list: only such lists are read again.
-    tokens = materialize(shared.join(small(failed, 500_000)(failed), "node", "left_semi").select("token").union(shared.filter(F.col("size") > SPLIT).select("token")).distinct())
+    tokens = materialize(shared.join(small(failed, 500_000)(failed), "node", "left_semi").select("token").union(long.select("token")).distinct())
     if tokens.limit(1).count():
-        again = shared.join(small(tokens, 500_000)(tokens), "token", "left_semi").join(components(linked), "node", "left").select("token", "node", "n", "pos", "size", F.coalesce("component", "node").alias("group"))
-        rest = _compared(filled(_between_groups(materialize(again))), num, den, False).select("a", "b").distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
+        group = _followed(linked, levels)
+        again = shared.join(small(tokens, 500_000)(tokens), "token", "left_semi").join(small(group, 500_000)(group), "node", "left").withColumn("group", F.coalesce("first", "node")).drop("first")
+        rest = _compared(_between_groups(materialize(again)), num, den, False).select("a", "b").distinct()
+        rest = rest.join(small(checked, 500_000)(checked.select("a", "b")), ["a", "b"], "left_anti")
         linked = linked.union(materialize(_verify(rest, contents, width, num, den)).filter("linked").select("a", "b"))
-    ends = components(linked.union(copies))
-    return sets.select("doc_id", F.col("n").alias("n_shingles")).join(ends, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    # Documents with one id, but with rows of several classes, connect these.
+    of_class = classes.select("digest", "n", "node")
+    torn = usable.select("doc_id", "digest", "n").distinct().groupBy("doc_id").agg(F.count("*").alias("classes")).filter("classes > 1").select("doc_id")
+    torn = materialize(usable.join(torn, "doc_id").join(of_class, ["digest", "n"]).select("doc_id", "node"))
+    if torn.limit(1).count():
+        linked = linked.union(torn.join(torn.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").select("a", F.col("node").alias("b")))
+    ends = components(linked).withColumnRenamed("node", "end")
+    ends = of_class.join(ends, F.col("node") == F.col("end"), "left").select("digest", "n", F.coalesce("component", "node").alias("component"), F.lit(True).alias("usable"))
+    known = sets.select("doc_id", "n", "digest", ((F.col("n") > 0) & F.col("doc_id").isNotNull()).alias("usable"))
+    return known.join(ends, ["digest", "n", "usable"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def _followed(linked: DataFrame, levels: int) -> DataFrame:
+    """(node, first): the set that verified ties lead to from each set in so many steps; sets with one first set are connected."""
+    up = materialize(linked.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("first")))
+    for _ in range(levels):
+        further = up.select(F.col("node").alias("first"), F.col("first").alias("next"))
+        up = materialize(up.join(small(further, 500_000)(further), "first", "left").select("node", F.coalesce("next", "first").alias("first")))
+    return up
 
 
 def one_of_each(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
