@@ -106,6 +106,33 @@ def test_vectors_equal_all_pairs(spark, monkeypatch, block, bucket):
     assert itq.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("dim", [64, 128, 384])
+def test_recall_at_each_width(dim):
+    """Pairs at a cosine of 0.98, the least that links: the share that agrees in enough code bytes."""
+    rng = np.random.default_rng(dim)
+    x = rng.standard_normal((20_000, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    noise = rng.standard_normal(x.shape)
+    noise -= (noise * x).sum(1, keepdims=True) * x
+    y = 0.98 * x + np.sqrt(1 - 0.98**2) * noise / np.linalg.norm(noise, axis=1, keepdims=True)
+    model = itq.fit(x[:5000])
+    same = (itq.codes(x, model) == itq.codes(y, model)).sum(1)
+    assert all((same >= r).mean() >= 0.95 for r in range(itq.MOST + 1)), [(same >= r).mean() for r in range(itq.MOST + 1)]
+
+
+@pytest.mark.parametrize("bucket", [8, 0.1, 0.0005])
+def test_width_follows_the_label(spark, monkeypatch, bucket):
+    """One label with most vectors, and many small ones, at each width; huge and tiny vectors keep their links."""
+    monkeypatch.setattr(itq, "BUCKET", bucket)
+    rng = np.random.default_rng(5)
+    rows = [(2 * i + k, (v * s + k * 1e-3 * s * rng.standard_normal(96)).tolist(), 0 if i < 60 else i) for i in range(90) for v in [rng.standard_normal(96)] for s in [(1.0, 1e200, 1e-200)[i % 3]] for k in (0, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in itq.near_duplicates(df).collect()}
+    assert got == {i: (1, i - i % 2) for i in range(180)}
+    widths = {r["r"] for r in df.groupBy("label").count().select(itq._width(itq.F.col("count")).alias("r")).collect()}
+    assert max(widths) == {8: 1, 0.1: 2, 0.0005: 3}[bucket]
+
+
 def test_bits_are_balanced():
     x = np.random.default_rng(1).standard_normal((500, 96))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
