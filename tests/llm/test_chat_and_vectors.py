@@ -51,6 +51,27 @@ def test_order_is_topological(spark, seed):
     assert {got[2, k]["level"] for k in "pqs"} == {-1}
 
 
+def test_long_runs_take_few_rounds(spark, monkeypatch):
+    """A chain of 300 calls, each waiting for the next; one that leads into a cycle; and calls with two dependencies on top."""
+    wrote = []
+    real = chat.materialize
+    monkeypatch.setattr(chat, "materialize", lambda df: (wrote.append(1), real(df))[1])
+    calls = [(1, f"c{i}", i, "find", '{"query": "x"}', [f"c{i + 1}"] if i < 299 else []) for i in range(300)]
+    calls += [(2, "a", 0, "find", "{}", ["b"]), (2, "b", 1, "find", "{}", ["c"]), (2, "c", 2, "find", "{}", ["b"]), (2, "d", 3, "find", "{}", ["a", "e"]), (2, "e", 4, "find", "{}", []), (2, "f", 5, "find", "{}", ["e"]), (2, "g", 1, "find", "{}", ["e", "f"]), (2, "h", 0, "find", "{}", ["g"])]
+    got = linked(spark, calls, [])
+    assert all((got[1, f"c{i}"]["place"], got[1, f"c{i}"]["level"]) == (299, 299 - i) for i in range(300))
+    assert {k: (got[2, k]["place"], got[2, k]["level"]) for k in "abcdefgh"} == {"a": (0, -1), "b": (1, -1), "c": (2, -1), "d": (3, -1), "e": (4, 0), "f": (5, 1), "g": (5, 2), "h": (5, 3)}
+    assert len(wrote) < 25
+
+
+def test_conversations_as_tool_calls(spark):
+    rows = [(c, t, ("user", "assistant")[t % 2], None if (c, t) == (4, 0) else f"t{c}") for c in range(12) for t in range(9)] + [(None, 0, "user", "x"), (1, None, "user", "x")]
+    got = {(x["conv_id"], x["turn"]): x for x in chat.link(*chat.tool_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")), chat.TOOLS).collect()}
+    assert [got[3, t]["level"] for t in (0, 2, 4, 6, 8)] == [4, 3, 2, 1, 0] and got[3, 0]["place"] == 8 and got[3, 8]["errors"].endswith("depends_on: no 3:10")
+    assert {got[5, t]["level"] for t in (0, 2, 4, 6, 8)} == {-1} and [got[4, t]["level"] for t in (0, 2, 4, 6)] == [0, 1, 2, 3]
+    assert got[4, 0]["errors"] == "prompt: missing" and "limit: not integer" in got[5, 0]["errors"] and {x["tool"] if "tool" in x else json.loads(x["message"])["tool"] for x in got.values() if x["status"] != "orphan"} == {"reply", "search", "rate", "translate"}
+
+
 def test_plain_conversations(spark):
     rows = spark.createDataFrame([(1, 0, "system", "s"), (1, 1, "user", "hello \"x\""), (1, 2, "assistant", "hi"), (1, 3, "user", None), (None, 1, "user", "x"), (2, None, "user", "x"), (2, 5, "assistant", "late")], "conv_id long, turn long, role string, text string")
     got = {(x["conv_id"], x["call_id"]): x for x in chat.link(*chat.turns(rows), chat.REPLY).collect()}

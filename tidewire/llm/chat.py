@@ -5,12 +5,14 @@ content); arguments is JSON text. Rows are one for each (conv_id, call_id) that
 
 * status: linked, unanswered (no result), orphan (no call). Of several calls, or results, with one id the first by turn,
   then by content counts, and n_calls and n_results tell how many there were.
-* position: place, level. Calls are ordered by turn, unless they depend on a call that comes later: then they are placed
-  with the latest call that they wait for, level by level. Those that wait for themselves have the level -1.
+* position: place, the latest turn of a call and of all calls that it depends on, directly or not; level, how many calls the
+  longest chain of dependencies before it has. In order of place and level every call comes after those it depends on.
+  Calls that wait for themselves, or for such a call, keep their own turn and have the level -1.
 * errors: of the arguments against the tool's parameters, and dependencies that are missing, in a fixed order.
 * message: canonical JSON, keys sorted, no blanks, null fields left out.
 
-Null ids link with nothing and are left out. Nothing is gathered by conversation, so a conversation may be of any length.
+Null ids link with nothing and are left out. Nothing is gathered by conversation, so a conversation may be of any length. An
+empty table on either side gives the other side's rows alone; other columns are ignored; a very long text stays in one row.
 """
 
 from __future__ import annotations
@@ -52,39 +54,49 @@ def argument_errors(tool: Column, parsed: Column, tools: Tools) -> Column:
 
 
 def order(calls: DataFrame, depends: DataFrame) -> DataFrame:
-    """(conv_id, call_id, place, level) for calls (conv_id, call_id, turn) and depends (conv_id, call_id, on). Rounds are spent only on what is out of order."""
+    """(conv_id, call_id, place, level) for calls (conv_id, call_id, turn) and depends (conv_id, call_id, on).
+
+    Runs of calls with one dependency each are followed by pointer doubling, to the call without or with several ones where
+    they lead: rounds by the logarithm of their length. Only calls with several dependencies take a round for each level at
+    which they are nested.
+    """
     keys = ["conv_id", "call_id"]
-    known = depends.join(calls.select("conv_id", F.col("call_id").alias("on"), F.col("turn").alias("on_turn")), ["conv_id", "on"]).join(calls, keys)
-    at = calls.select(*keys, F.col("turn").alias("place"))
-    late = known.filter("on_turn >= turn")
-    if not late.limit(1).count():
-        return at.withColumn("level", F.lit(0).cast("long"))
-    edges = materialize(known.select(*keys, "on"))
-    at = materialize(at)
-    while True:
-        on = at.select("conv_id", F.col("call_id").alias("on"), F.col("place").alias("on_place"))
-        raised = edges.join(on, ["conv_id", "on"]).groupBy(*keys).agg(F.max("on_place").alias("after"))
-        nxt = materialize(at.join(raised, keys, "left").select(*keys, F.greatest("place", "after").alias("place"), (F.coalesce("after", "place") > F.col("place")).alias("moved")))
-        at = nxt.drop("moved")
-        if not nxt.filter("moved").limit(1).count():
-            break
-    on = at.select("conv_id", F.col("call_id").alias("on"), F.col("place").alias("on_place"))
-    waits = materialize(edges.join(on, ["conv_id", "on"]).join(at, keys).filter("on_place = place").select(*keys, "on").distinct())
-    done, level = None, 0
-    open_ = materialize(waits.select(*keys).distinct())
-    while True:
-        blocked = waits.join(open_.withColumnRenamed("call_id", "on"), ["conv_id", "on"], "left_semi").select(*keys).distinct()
-        ready = materialize(open_.join(blocked, keys, "left_anti")) if level else open_.limit(0)
-        level += 1
-        if level > 1 and not ready.limit(1).count():
+    known = depends.join(calls.select("conv_id", F.col("call_id").alias("on"), F.col("turn").alias("on_turn")), ["conv_id", "on"])
+    known = materialize(known.join(calls.select(*keys), keys, "left_semi").select(*keys, "on", "on_turn"))
+    if not known.limit(1).count():
+        return calls.select(*keys, F.col("turn").alias("place"), F.lit(0).cast("long").alias("level"))
+    counted = known.groupBy(*keys).agg(F.count("*").alias("deps"), F.min("on").alias("to"), F.min("on_turn").alias("top"))
+    nodes = materialize(calls.select(*keys, "turn").join(counted, keys, "left").withColumn("deps", F.coalesce("deps", F.lit(0).cast("long"))))
+    longest = nodes.groupBy("conv_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    paths = materialize(nodes.filter("deps = 1").select(*keys, "turn", "to", "top", F.lit(1).cast("long").alias("steps"), F.lit(True).alias("moved")))
+    for _ in range(longest.bit_length() + 1):
+        on = paths.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("next"), F.col("top").alias("next_top"), F.col("steps").alias("more"))
+        further = paths.join(on, ["conv_id", "to"], "left")
+        paths = materialize(further.select(*keys, "turn", F.coalesce("next", "to").alias("to"), F.greatest("top", "next_top").alias("top"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("next").isNotNull().alias("moved")))
+        if not paths.filter("moved").limit(1).count():
             break
-        if level > 1:
-            marked = ready.withColumn("level", F.lit(level - 1).cast("long"))
-            done = marked if done is None else done.union(marked)
-            open_ = materialize(open_.join(ready, keys, "left_anti"))
-    cyclic = open_.withColumn("level", F.lit(-1).cast("long"))
-    levels = cyclic if done is None else done.union(cyclic)
-    return at.join(levels, keys, "left").select(*keys, "place", F.coalesce("level", F.lit(0).cast("long")).alias("level"))
+    # What still moves after more steps than the conversation has calls goes round in a cycle.
+    ended = paths.filter("not moved")
+    done = nodes.filter("deps = 0").select(*keys, F.lit(0).cast("long").alias("level"), F.col("turn").alias("place"))
+    several = nodes.filter("deps > 1").select(*keys, "turn", "deps")
+    by_path = ended.select("conv_id", F.col("call_id").alias("on"), F.col("to").alias("end"), F.col("top").alias("end_top"), "steps")
+    stuck = paths.filter("moved").select("conv_id", F.col("call_id").alias("on"))
+    routes = several.join(known, keys).join(by_path, ["conv_id", "on"], "left").join(stuck, ["conv_id", "on"], "left_anti")
+    routes = routes.select(*keys, "turn", "deps", F.coalesce("end", "on").alias("end"), F.greatest("on_turn", "end_top").alias("top"), (F.coalesce("steps", F.lit(0)) + 1).alias("steps"))
+    if several.limit(1).count():
+        routes, done = materialize(routes), materialize(done)
+        while True:
+            ends = done.select("conv_id", F.col("call_id").alias("end"), F.col("level").alias("end_level"), F.col("place").alias("end_place"))
+            met = routes.join(done.select(*keys), keys, "left_anti").join(ends, ["conv_id", "end"]).groupBy(*keys, "turn", "deps")
+            ready = met.agg(F.count("*").alias("n"), F.max(F.col("end_level") + F.col("steps")).alias("level"), F.max(F.greatest("top", "end_place")).alias("latest")).filter("n = deps")
+            ready = materialize(ready.select(*keys, "level", F.greatest("turn", "latest").alias("place")))
+            if not ready.limit(1).count():
+                break
+            done = done.union(ready)
+    ends = done.select("conv_id", F.col("call_id").alias("to"), F.col("level").alias("end_level"), F.col("place").alias("end_place"))
+    runs = ended.join(ends, ["conv_id", "to"]).select(*keys, (F.col("end_level") + F.col("steps")).alias("level"), F.greatest("turn", "top", "end_place").alias("place"))
+    placed = calls.select(*keys, "turn").join(done.union(runs), keys, "left")
+    return placed.select(*keys, F.coalesce("place", "turn").alias("place"), F.coalesce("level", F.lit(-1).cast("long")).alias("level"))
 
 
 def link(calls: DataFrame, results: DataFrame, tools: Tools) -> DataFrame:
@@ -137,3 +149,40 @@ def turns(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     answers = conversations.filter("role = 'assistant' and conv_id is not null and turn is not null")
     return calls, answers.select("conv_id", name(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
+
+
+#: Tools of tool_turns.
+TOOLS: Tools = {
+    "reply": REPLY["reply"],
+    "search": {"query": ("string", True), "limit": ("integer", False)},
+    "rate": {"value": ("number", True), "tags": ("array", False)},
+}
+
+
+def tool_turns(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Calls and results of plain conversations seen as a mix of tools, one of which is not known, with arguments some of which are wrong.
+
+    A user's turn is a call, the assistant's next turn its result. By conv_id modulo 6, calls depend on the call before (0 to
+    2), on the call after (3), on the two before at every third call (4), or the first two on each other (5).
+    """
+    name = lambda turn: F.concat_ws(":", F.col("conv_id").cast("string"), turn.cast("string"))
+    turn, conv = F.col("turn"), F.col("conv_id")
+    asks = conversations.filter("role = 'user' and conv_id is not null and turn is not null")
+    kind, pick = F.pmod(conv, F.lit(6)), F.pmod(conv + F.floor(turn / 2), F.lit(4))
+    tool = F.element_at(F.array(*(F.lit(x) for x in ("reply", "search", "rate", "translate"))), (pick + 1).cast("int"))
+    none = F.array().cast("array<string>")
+    before = F.when(turn >= 2, F.array(name(turn - 2))).otherwise(none)
+    first = F.when(turn == 0, F.array(name(turn + 2))).otherwise(before)
+    depends = F.when(kind == 3, F.array(name(turn + 2))).when((kind == 4) & (turn % 6 == 4), F.array(name(turn - 2), name(turn - 4))).when(kind == 5, first).otherwise(before)
+    text = lambda c: F.col("text").alias(c)
+    as_text = lambda c: turn.cast("string").alias(c)
+    tags = F.array(F.lit("a"), F.lit("b")).alias("tags")
+    value = F.when(turn % 8 == 6, F.to_json(F.struct(as_text("value"), tags))).when(conv % 3 == 0, F.to_json(F.struct(turn.alias("value"), F.lit("x").alias("mood"), tags))).otherwise(F.to_json(F.struct(turn.alias("value"), tags)))
+    arguments = (
+        F.when(pick == 0, F.to_json(F.struct("turn", text("prompt"))))
+        .when(pick == 1, F.when(conv % 5 == 0, F.to_json(F.struct(text("query"), as_text("limit")))).otherwise(F.to_json(F.struct(text("query"), turn.alias("limit")))))
+        .when(pick == 2, value)
+        .otherwise(F.when(conv % 2 == 0, F.to_json(F.struct(text("text")))).otherwise(F.lit("as above")))
+    )
+    calls = asks.select("conv_id", name(turn).alias("call_id"), "turn", tool.alias("tool"), arguments.alias("arguments"), depends.alias("depends_on"))
+    return calls, turns(conversations)[1]

@@ -11,7 +11,7 @@ from tidewire.llm.common import table
 
 
 def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.link(*chat.turns(table(spark, sf_dir, "conversations")), chat.REPLY)
+    return chat.link(*chat.tool_turns(table(spark, sf_dir, "conversations")), chat.TOOLS)
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,24 +65,42 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLES: dict[str, str] = {
     "op1_chat": """
-WITH calls AS (
-  SELECT conv_id, turn, conv_id || ':' || turn AS call_id, min(text) AS prompt, count(*) AS n_calls
-  FROM conversations WHERE role = 'user' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
+WITH RECURSIVE asked AS (
+  SELECT conv_id, turn, min(text) AS text, count(*) AS n_calls FROM conversations WHERE role = 'user' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
+calls AS (
+  SELECT *, conv_id || ':' || turn AS call_id, (conv_id + turn // 2) % 4 AS pick, conv_id % 6 AS kind, count(*) OVER (PARTITION BY conv_id) AS size FROM asked),
+depends AS (
+  SELECT conv_id, turn, unnest(CASE WHEN kind = 3 OR (kind = 5 AND turn = 0) THEN [turn + 2] WHEN kind = 4 AND turn % 6 = 4 THEN [turn - 2, turn - 4] WHEN turn >= 2 THEN [turn - 2] ELSE [] END) AS on_turn FROM calls),
+known AS (SELECT d.* FROM depends d JOIN calls c ON c.conv_id = d.conv_id AND c.turn = d.on_turn),
+lost AS (
+  SELECT conv_id, turn, string_agg('depends_on: no ' || conv_id || ':' || on_turn, '; ' ORDER BY conv_id || ':' || on_turn) AS missing
+  FROM depends d WHERE NOT EXISTS (SELECT 1 FROM calls c WHERE c.conv_id = d.conv_id AND c.turn = d.on_turn) GROUP BY ALL),
+walk(conv_id, turn, size, at_turn, steps) AS (
+  SELECT conv_id, turn, size, turn, 0::BIGINT FROM calls
+  UNION SELECT w.conv_id, w.turn, w.size, k.on_turn, w.steps + 1 FROM walk w JOIN known k ON k.conv_id = w.conv_id AND k.turn = w.at_turn WHERE w.steps < w.size),
+placed AS (
+  SELECT conv_id, turn, CASE WHEN max(steps) >= any_value(size) THEN turn ELSE max(at_turn) END AS place, CASE WHEN max(steps) >= any_value(size) THEN -1 ELSE max(steps) END AS level FROM walk GROUP BY conv_id, turn),
+checked AS (
+  SELECT c.*, place, level, missing, ['reply', 'search', 'rate', 'translate'][1 + pick] AS tool,
+    CASE pick WHEN 0 THEN CASE WHEN text IS NULL THEN 'prompt: missing' END
+      WHEN 1 THEN nullif(concat_ws('; ', CASE WHEN c.conv_id % 5 = 0 THEN 'limit: not integer' END, CASE WHEN text IS NULL THEN 'query: missing' END), '')
+      WHEN 2 THEN CASE WHEN c.turn % 8 = 6 THEN 'value: not number' WHEN c.conv_id % 3 = 0 THEN 'mood: unknown' END
+      ELSE CASE WHEN c.conv_id % 2 = 0 THEN 'tool: unknown' ELSE 'arguments: no JSON' END END AS wrong,
+    CASE pick WHEN 0 THEN '{' || concat_ws(',', '"prompt":' || CAST(to_json(text) AS VARCHAR), '"turn":' || c.turn) || '}'
+      WHEN 1 THEN '{' || concat_ws(',', '"limit":' || CASE WHEN c.conv_id % 5 = 0 THEN '"' || c.turn || '"' ELSE '' || c.turn END, '"query":' || CAST(to_json(text) AS VARCHAR)) || '}'
+      WHEN 2 THEN CASE WHEN c.turn % 8 = 6 THEN '{"tags":["a","b"],"value":"' || c.turn || '"}' WHEN c.conv_id % 3 = 0 THEN '{"mood":"x","tags":["a","b"],"value":' || c.turn || '}' ELSE '{"tags":["a","b"],"value":' || c.turn || '}' END
+      ELSE CASE WHEN c.conv_id % 2 = 0 THEN '{' || coalesce('"text":' || CAST(to_json(text) AS VARCHAR), '') || '}' ELSE '"as above"' END END AS arguments
+  FROM calls c JOIN placed p ON p.conv_id = c.conv_id AND p.turn = c.turn LEFT JOIN lost l ON l.conv_id = c.conv_id AND l.turn = c.turn),
 results AS (
   SELECT conv_id, turn AS result_turn, conv_id || ':' || (turn - 1) AS call_id, min(text) AS content, count(*) AS n_results
   FROM conversations WHERE role = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL)
 SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, c.turn AS turn,
-  coalesce(c.turn, r.result_turn) AS place, 0::BIGINT AS level,
+  coalesce(place, r.result_turn) AS place, coalesce(level, 0) AS level,
   CASE WHEN c.n_calls IS NULL THEN 'orphan' WHEN n_results IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
-  coalesce(c.n_calls, 0) AS n_calls, coalesce(n_results, 0) AS n_results,
-  CASE WHEN c.n_calls IS NULL THEN '' ELSE concat_ws('; ', CASE WHEN c.prompt IS NULL THEN 'prompt: missing' END,
-    CASE WHEN c.turn >= 2 AND p.call_id IS NULL THEN 'depends_on: no ' || c.conv_id || ':' || (c.turn - 2) END) END AS errors,
-  '{' || concat_ws(',',
-    CASE WHEN c.n_calls IS NOT NULL THEN '"arguments":{' || concat_ws(',', '"prompt":' || CAST(to_json(c.prompt) AS VARCHAR), '"turn":' || c.turn) || '}' END,
-    '"call_id":' || CAST(to_json(coalesce(c.call_id, r.call_id)) AS VARCHAR), '"result":' || CAST(to_json(content) AS VARCHAR),
-    CASE WHEN c.n_calls IS NOT NULL THEN '"tool":"reply"' END) || '}' AS message
-FROM calls c FULL JOIN results r ON c.conv_id = r.conv_id AND c.call_id = r.call_id
-LEFT JOIN calls p ON p.conv_id = c.conv_id AND p.turn = c.turn - 2""",
+  coalesce(c.n_calls, 0) AS n_calls, coalesce(n_results, 0) AS n_results, concat_ws('; ', wrong, missing) AS errors,
+  '{' || concat_ws(',', '"arguments":' || arguments, '"call_id":' || CAST(to_json(coalesce(c.call_id, r.call_id)) AS VARCHAR),
+    '"result":' || CAST(to_json(content) AS VARCHAR), '"tool":"' || tool || '"') || '}' AS message
+FROM checked c FULL JOIN results r ON c.conv_id = r.conv_id AND c.call_id = r.call_id""",
     "op8_jaccard": f"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
 s AS (
