@@ -61,7 +61,28 @@ def test_long_runs_take_few_rounds(spark, monkeypatch):
     got = linked(spark, calls, [])
     assert all((got[1, f"c{i}"]["place"], got[1, f"c{i}"]["level"]) == (299, 299 - i) for i in range(300))
     assert {k: (got[2, k]["place"], got[2, k]["level"]) for k in "abcdefgh"} == {"a": (0, -1), "b": (1, -1), "c": (2, -1), "d": (3, -1), "e": (4, 0), "f": (5, 1), "g": (5, 2), "h": (5, 3)}
-    assert len(wrote) < 25
+    assert len(wrote) < 40
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_levels_equal_longest_chains(spark, seed):
+    """Random dependencies, some in cycles, and a run in which every third call has two; against a plain walk."""
+    r = random.Random(40 + seed)
+    on = {i: sorted({r.randrange(30) if r.random() < 0.04 else r.randrange(i) for _ in range(r.choice([0, 1, 1, 2, 3]))}) if i else [] for i in range(30)}
+    on |= {i: [i - 1, i - 2] if i % 3 == 2 else [i - 1] for i in range(102, 160)} | {100: [], 101: [100]}
+    turn = {i: r.randrange(50) for i in on}
+
+    def walk(i, above=()):
+        if i in above:
+            return None
+        under = [walk(j, (*above, i)) for j in on[i]] if i < 100 else [plain[j] for j in on[i]]
+        return None if None in under else (1 + max((u[0] for u in under), default=-1), max([turn[i], *(u[1] for u in under)]))
+
+    plain = {}
+    for i in sorted(on):
+        plain[i] = walk(i)
+    got = linked(spark, [(1 if i < 100 else 2, f"c{i}", turn[i], "find", "{}", [f"c{j}" for j in on[i]]) for i in on], [])
+    assert {k[1]: (x["level"], x["place"]) for k, x in got.items()} == {f"c{i}": (p or (-1, turn[i])) for i, p in plain.items()}
 
 
 def test_conversations_as_tool_calls(spark):

@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import materialize
+from tidewire.llm.common import appended, materialize
 
 #: Parameter kinds, and the SQL names of the types that values of theirs have.
 KINDS = {"string": "STRING", "integer": "BIGINT", "number": "BIGINT|DOUBLE|DECIMAL.*", "boolean": "BOOLEAN", "array": "ARRAY.*", "object": "OBJECT.*"}
@@ -56,47 +56,54 @@ def argument_errors(tool: Column, parsed: Column, tools: Tools) -> Column:
 def order(calls: DataFrame, depends: DataFrame) -> DataFrame:
     """(conv_id, call_id, place, level) for calls (conv_id, call_id, turn) and depends (conv_id, call_id, on).
 
-    Runs of calls with one dependency each are followed by pointer doubling, to the call without or with several ones where
-    they lead: rounds by the logarithm of their length. Only calls with several dependencies take a round for each level at
-    which they are nested.
+    A waiting call has routes to others: (end, steps, top: latest turn on the way, least: level that it has in any case).
+    Each round ends the calls all of whose ends are done. Those that wait for one end alone are followed by pointer doubling,
+    so a run of them takes rounds by the logarithm of its length; then the other calls' routes are led on through them, and
+    of several routes to one end the longest counts, which often leaves a call with one. What no round ends is in a cycle.
     """
     keys = ["conv_id", "call_id"]
-    known = depends.join(calls.select("conv_id", F.col("call_id").alias("on"), F.col("turn").alias("on_turn")), ["conv_id", "on"])
-    known = materialize(known.join(calls.select(*keys), keys, "left_semi").select(*keys, "on", "on_turn"))
-    if not known.limit(1).count():
-        return calls.select(*keys, F.col("turn").alias("place"), F.lit(0).cast("long").alias("level"))
-    counted = known.groupBy(*keys).agg(F.count("*").alias("deps"), F.min("on").alias("to"), F.min("on_turn").alias("top"))
-    nodes = materialize(calls.select(*keys, "turn").join(counted, keys, "left").withColumn("deps", F.coalesce("deps", F.lit(0).cast("long"))))
-    longest = nodes.groupBy("conv_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
-    paths = materialize(nodes.filter("deps = 1").select(*keys, "turn", "to", "top", F.lit(1).cast("long").alias("steps"), F.lit(True).alias("moved")))
+    known = depends.join(calls.select("conv_id", F.col("call_id").alias("on"), F.col("turn").alias("on_turn")), ["conv_id", "on"]).join(calls.select(*keys, "turn"), keys)
+    zero = F.lit(0).cast("long")
+    route = [*keys, "end", "steps", "top", "least"]
+    routes = materialize(known.select(*keys, F.col("on").alias("end"), (zero + 1).alias("steps"), F.greatest("on_turn", "turn").alias("top"), zero.alias("least")))
+    if not routes.limit(1).count():
+        return calls.select(*keys, F.col("turn").alias("place"), zero.alias("level"))
+    longest = calls.groupBy("conv_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    done, path = appended(calls.join(routes.select(*keys).distinct(), keys, "left_anti").select(*keys, zero.alias("level"), F.col("turn").alias("place")))
+    while True:
+        ends = done.select("conv_id", F.col("call_id").alias("end"), "level", F.col("place").alias("end_place"))
+        met = routes.join(ends, ["conv_id", "end"], "left")
+        state = materialize(met.groupBy(*keys).agg(F.max(F.greatest("least", F.col("level") + F.col("steps"))).alias("floor"), F.max(F.greatest("top", "end_place")).alias("place"), F.count_if(F.col("level").isNull()).alias("open")))
+        ready = state.filter("open = 0").select(*keys, F.col("floor").alias("level"), "place")
+        if not ready.limit(1).count():
+            break
+        rest = materialize(met.filter("level is null").select(*keys, "end", "steps").join(state, keys).select(*keys, "end", "steps", F.col("place").alias("top"), F.col("floor").alias("least"), "open"))
+        done, path = appended(ready, path)
+        if not rest.limit(1).count():
+            break
+        runs = _followed(rest.filter("open = 1").select(*route), longest)
+        through = runs.select("conv_id", F.col("call_id").alias("end"), F.col("end").alias("to"), F.col("steps").alias("more"), F.col("top").alias("end_top"), F.col("least").alias("end_least"))
+        led = rest.filter("open > 1").join(through, ["conv_id", "end"], "left")
+        led = led.select(*keys, F.coalesce("to", "end").alias("end"), (F.col("steps") + F.coalesce("more", zero)).alias("steps"), F.greatest("top", "end_top").alias("top"), F.greatest("least", F.col("end_least") + F.col("steps")).alias("least"))
+        routes = materialize(runs.unionByName(led.groupBy(*keys, "end").agg(*(F.max(c).alias(c) for c in ("steps", "top", "least")))))
+    return calls.select(*keys, "turn").join(done, keys, "left").select(*keys, F.coalesce("place", "turn").alias("place"), F.coalesce("level", zero - 1).alias("level"))
+
+
+def _followed(single: DataFrame, longest: int) -> DataFrame:
+    """Routes of calls with one route each, led on to the first end that is not such a call itself. Those that go round in a cycle are left out: they have taken more steps than a conversation has calls."""
+    keys = ["conv_id", "call_id"]
+    at = single.withColumn("moved", F.lit(True))
+    at = materialize(at)
     for _ in range(longest.bit_length() + 1):
-        on = paths.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("next"), F.col("top").alias("next_top"), F.col("steps").alias("more"))
-        further = paths.join(on, ["conv_id", "to"], "left")
-        paths = materialize(further.select(*keys, "turn", F.coalesce("next", "to").alias("to"), F.greatest("top", "next_top").alias("top"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("next").isNotNull().alias("moved")))
-        if not paths.filter("moved").limit(1).count():
+        on = at.select("conv_id", F.col("call_id").alias("end"), F.col("end").alias("next"), F.col("top").alias("next_top"), F.col("steps").alias("more"), F.col("least").alias("next_least"))
+        at = at.join(on, ["conv_id", "end"], "left").select(
+            *keys, F.coalesce("next", "end").alias("end"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.greatest("top", "next_top").alias("top"),
+            F.greatest("least", F.col("next_least") + F.col("steps")).alias("least"), F.col("next").isNotNull().alias("moved"),
+        )
+        at = materialize(at)
+        if not at.filter("moved").limit(1).count():
             break
-    # What still moves after more steps than the conversation has calls goes round in a cycle.
-    ended = paths.filter("not moved")
-    done = nodes.filter("deps = 0").select(*keys, F.lit(0).cast("long").alias("level"), F.col("turn").alias("place"))
-    several = nodes.filter("deps > 1").select(*keys, "turn", "deps")
-    by_path = ended.select("conv_id", F.col("call_id").alias("on"), F.col("to").alias("end"), F.col("top").alias("end_top"), "steps")
-    stuck = paths.filter("moved").select("conv_id", F.col("call_id").alias("on"))
-    routes = several.join(known, keys).join(by_path, ["conv_id", "on"], "left").join(stuck, ["conv_id", "on"], "left_anti")
-    routes = routes.select(*keys, "turn", "deps", F.coalesce("end", "on").alias("end"), F.greatest("on_turn", "end_top").alias("top"), (F.coalesce("steps", F.lit(0)) + 1).alias("steps"))
-    if several.limit(1).count():
-        routes, done = materialize(routes), materialize(done)
-        while True:
-            ends = done.select("conv_id", F.col("call_id").alias("end"), F.col("level").alias("end_level"), F.col("place").alias("end_place"))
-            met = routes.join(done.select(*keys), keys, "left_anti").join(ends, ["conv_id", "end"]).groupBy(*keys, "turn", "deps")
-            ready = met.agg(F.count("*").alias("n"), F.max(F.col("end_level") + F.col("steps")).alias("level"), F.max(F.greatest("top", "end_place")).alias("latest")).filter("n = deps")
-            ready = materialize(ready.select(*keys, "level", F.greatest("turn", "latest").alias("place")))
-            if not ready.limit(1).count():
-                break
-            done = done.union(ready)
-    ends = done.select("conv_id", F.col("call_id").alias("to"), F.col("level").alias("end_level"), F.col("place").alias("end_place"))
-    runs = ended.join(ends, ["conv_id", "to"]).select(*keys, (F.col("end_level") + F.col("steps")).alias("level"), F.greatest("turn", "top", "end_place").alias("place"))
-    placed = calls.select(*keys, "turn").join(done.union(runs), keys, "left")
-    return placed.select(*keys, F.coalesce("place", "turn").alias("place"), F.coalesce("level", F.lit(-1).cast("long")).alias("level"))
+    return at.filter("not moved").drop("moved")
 
 
 def link(calls: DataFrame, results: DataFrame, tools: Tools) -> DataFrame:

@@ -44,6 +44,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def appended(rows: DataFrame, path: str | None = None) -> tuple[DataFrame, str]:
+    """The rows of a table that grows from round to round, these included, and its path: its plan stays one scan."""
+    spark = rows.sparkSession
+    path = path or f"{shared_dir(spark)}/tidewire/{uuid.uuid4().hex}"
+    rows.write.mode("append").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path), path
+
+
 def small(rows: DataFrame, most: int = 100_000) -> Callable[[DataFrame], DataFrame]:
     """A hint for tables with as many rows as these (slim ones): broadcast if counted to be few, else left to a shuffle."""
     return F.broadcast if rows.limit(most + 1).count() <= most else lambda df: df
