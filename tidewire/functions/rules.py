@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions.signals import TIERS, tier_rank
@@ -38,8 +39,19 @@ MATERIAL_TYPES = ("correction", "denial", "availability", "update", "launch")
 BACKOFF_MS = (60_000, 300_000, 900_000, 3_600_000, 21_600_000)
 
 
-def _any(text: Column, patterns: list[str]) -> Column:
-    return reduce(lambda x, y: x | y, (text.rlike(js(p)) for p in patterns))
+def _word(pattern: str) -> str | None:
+    """The letters that a text must contain to match, if the pattern begins with some."""
+    bare = re.sub(r"\([^()]*\)", "", re.sub(r"\[[^\]]*\]", "", pattern))
+    m = re.match(r"\\b([a-z]{3,})", pattern)
+    if not m or "|" in bare:
+        return None
+    return m[1][:-1] if pattern[m.end() : m.end() + 1] in ("?", "*", "{") else m[1]
+
+
+def _any(text: Column, patterns: list[str], low: Column | None = None) -> Column:
+    """Whether one of the patterns matches. With the text in lower case, one is only tried where its first word occurs."""
+    tried = lambda p: text.rlike(js(p)) if low is None or not (w := _word(p)) else F.contains(low, F.lit(w)) & text.rlike(js(p))
+    return reduce(lambda x, y: x | y, map(tried, patterns))
 
 
 def _clamp(c: Column) -> Column:
@@ -85,10 +97,13 @@ def publisher(source_id: Column) -> Column:
     return reduce(lambda x, kv: x.when(source_id == kv[0], F.lit(kv[1])), PUBLISHERS.items(), F.when(F.lit(False), F.lit("")))
 
 
-def importance(text: Column, source_id: Column, tier: Column) -> Column:
-    """(level, signals) of a text from a source."""
+FAMILIES = {"model": NEW_MODEL, "family": NEW_FAMILY, "announced": ANNOUNCEMENT, "available": AVAILABLE, "launched": LAUNCH}
+
+
+def importance(text: Column, source_id: Column, tier: Column, families: dict[str, Column] | None = None) -> Column:
+    """(level, signals) of a text from a source. families: whether each family of patterns is in it, as columns of their own where each is to be looked for once."""
     official, top = publisher(source_id).isNotNull(), F.coalesce(tier.isin("S", "A"), F.lit(False))
-    model, family, announced, available, launched = (_any(text, p) for p in (NEW_MODEL, NEW_FAMILY, ANNOUNCEMENT, AVAILABLE, LAUNCH))
+    model, family, announced, available, launched = (_any(text, p) if families is None else families[k] for k, p in FAMILIES.items())
     major = model | family | (announced & (available | launched))
     critical = (official & top & major) | (official & model & (announced | launched | available))
     high = (official & (announced | launched | available | model)) | (top & (major | announced))
@@ -98,6 +113,13 @@ def importance(text: Column, source_id: Column, tier: Column) -> Column:
     return F.struct(level.alias("level"), signals.alias("signals"))
 
 
+def with_importance(rows: DataFrame, text: Column, source_id: str, tier: str) -> DataFrame:
+    """rows with the column importance; each family of patterns is looked for once a row."""
+    held = rows.withColumn("_text", text).withColumn("_low", F.lower("_text"))
+    flags = held.withColumns({f"_{k}": _any(F.col("_text"), p, F.col("_low")) for k, p in FAMILIES.items()})
+    return flags.withColumn("importance", importance(F.col("_text"), F.col(source_id), F.col(tier), {k: F.col(f"_{k}") for k in FAMILIES})).drop("_text", "_low", *(f"_{k}" for k in FAMILIES))
+
+
 def announcement_rule(text: Column, source_id: Column, tier: Column, has_main: Column) -> Column:
     """Rule by which a text is published without a model's opinion, or why it is not."""
     phrase, model, tool = _any(text, MAJOR_PHRASE), _any(text, MAJOR_MODEL), _any(text, TOOL_VERSION)

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from tidewire.functions.text import collapse, collect_text, js, normalize_token
 from tidewire.functions.urls import matching_url
 
-# Tiers from best to worst; announcement natures with their words, the first match counts; organisations in
-# the order in which they are looked for; labels that are no entities; natures that exclude each other.
+# Fixed values, down to the day and length limits: tiers from best to worst; announcement natures with their words, the first
+# match counts; organisations in the order in which they are looked for; labels that are no entities; natures that exclude
+# each other; patterns of versions, proper names, dates, regions, prices, availability and status.
 TIERS = "SABCDE"
 NATURES = {
     "denial": r"\b(deny|denies|denied|démenti|dementi|false\s+rumor)\b",
@@ -70,16 +71,22 @@ def entities(text: Column, of_product: Column, of_version: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(F.array_compact(F.array(of_product, of_version)), proper)))
 
 
-def facts(text: Column, of_nature: Column, of_version: Column) -> Column:
-    """Array of (key, value) in a fixed order."""
+def fact_values(text: Column) -> dict[str, Column]:
+    """What facts() reads from the text, each pattern looked for once."""
+    found = lambda p, i: normalize_token(F.nullif(F.regexp_extract(text, js(p), i), F.lit("")))
+    price = F.regexp_replace(F.regexp_substr(text, F.lit(js(PRICE))), r"^[^0-9]*", "")
+    return {"event_date": found(EVENT_DATE, 2), "region": found(REGION, 1), "price": F.nullif(normalize_token(price), F.lit(""))}
+
+
+def facts(text: Column, of_nature: Column, of_version: Column, values: dict[str, Column] | None = None) -> Column:
+    """Array of (key, value) in a fixed order. values: those of fact_values(), as columns of their own where each is to be computed once."""
+    values = fact_values(text) if values is None else values
     fact = lambda key, value: F.struct(key.alias("key"), value.alias("value"))
     keyed = lambda prefix, value: F.when(value.isNotNull(), fact(F.concat(F.lit(prefix), value), value))
     flag = lambda rule: F.when(text.rlike(js(rule[2])), fact(F.lit(rule[0]), F.lit(rule[1])))
-    found = lambda p, i: F.when(text.rlike(js(p)), normalize_token(F.regexp_extract(text, js(p), i)))
-    price = F.when(text.rlike(js(PRICE)), normalize_token(F.concat(F.regexp_extract(text, js(PRICE), 1), F.regexp_extract(text, js(PRICE), 2))))
     return F.array_compact(F.array(
-        keyed("version:", of_version), keyed("event_date:", found(EVENT_DATE, 2)), *map(flag, FLAGS), keyed("region:", found(REGION, 1)),
-        keyed("price:", F.nullif(price, F.lit(""))), *map(flag, STATUSES),
+        keyed("version:", of_version), keyed("event_date:", values["event_date"]), *map(flag, FLAGS), keyed("region:", values["region"]),
+        keyed("price:", values["price"]), *map(flag, STATUSES),
         F.when(of_nature == "denial", fact(F.lit("correction:denial"), F.lit("denial"))),
         F.when(of_nature == "correction", fact(F.lit("correction:erratum"), F.lit("correction"))),
     ))
@@ -92,13 +99,14 @@ def categories(labels: Column) -> Column:
 def with_signals(articles):
     """Articles with the columns of their fingerprint; every pattern is evaluated once per article, never per pair."""
     text = articles.withColumn("_text", collect_text(F.col("title"), F.col("summary"), F.col("content")))
-    base = text.withColumns({"version": version(F.col("_text")), "nature": nature(F.col("_text")), "product": product(F.col("_text"))})
+    values = fact_values(F.col("_text"))
+    base = text.withColumns({"version": version(F.col("_text")), "nature": nature(F.col("_text")), "product": product(F.col("_text"))} | {f"_{k}": v for k, v in values.items()})
     full = base.withColumns({
-        "entities": entities(F.col("_text"), F.col("product"), F.col("version")), "facts": facts(F.col("_text"), F.col("nature"), F.col("version")),
+        "entities": entities(F.col("_text"), F.col("product"), F.col("version")), "facts": facts(F.col("_text"), F.col("nature"), F.col("version"), {k: F.col(f"_{k}") for k in values}),
         "labels": categories(F.col("categories")), "canonical": matching_url(F.col("url")),
     })
     known = (F.size("entities") > 0) | F.col("product").isNotNull() | (F.col("nature") != "other") | F.col("version").isNotNull()
-    return full.withColumn("primary", (F.length(collapse(F.col("_text"))) >= TEXT_LENGTH) & known).drop("_text")
+    return full.withColumn("primary", (F.length(collapse(F.col("_text"))) >= TEXT_LENGTH) & known).drop("_text", *(f"_{k}" for k in values))
 
 
 def exclusive(a: Column, b: Column) -> Column:
@@ -111,31 +119,35 @@ def enrichment_type(of_nature: Column, keys: Column) -> Column:
     return F.when(of_nature.isin("denial", "correction"), "correction").when(has("status:"), "status_change").when(has("availability:"), "availability").when(has("version:"), "version").otherwise("fact_update")
 
 
-def compare(a: dict[str, Column], f: dict[str, Column]) -> dict[str, Column]:
-    """Signals of an article a against a fingerprint f; both have entities, product, nature, version, labels, urls, date (ms), tier, keys."""
+# Names of what speaks for and against a match, by code point; a pair's are held as bits of a number.
+FAVORABLE = ("category_overlap", "higher_source_tier", "same_announcement_nature", "same_canonical_url", "same_entities", "same_product_org", "same_version", "temporal_proximity")
+UNFAVORABLE = ("different_entities", "different_product_org", "different_version", "incompatible_announcement_nature", "insufficient_event_identity", "theme_or_category_only")
+
+
+def named(bits: Column, names: tuple[str, ...]) -> Column:
+    return F.array_compact(F.array(*(F.when(bits.bitwiseAND(F.lit(1 << i)) != 0, F.lit(n)) for i, n in enumerate(names))))
+
+
+def compare(a: dict[str, Column], f: dict[str, Column], url: Column, ent: Column, cat: Column) -> dict[str, Column]:
+    """blocked, level, favorable and unfavorable (as bits) of an article a against a fingerprint f; both have product, nature, version, date (ms), tier and some (whether there are entities). url, ent, cat: whether they share a URL, an entity, a label."""
     true = lambda c: F.coalesce(c, F.lit(False))
-    url, ent = F.arrays_overlap(a["urls"], f["urls"]), F.arrays_overlap(a["entities"], f["entities"])
-    url, ent = true(url), true(ent)
     prod, ver = true(a["product"] == f["product"]), true(a["version"] == f["version"])
     nat = true((a["nature"] == f["nature"]) & (a["nature"] != "other"))
-    cat, near = true(F.arrays_overlap(a["labels"], f["labels"])), true(F.abs(a["date"] - f["date"]) <= PROXIMITY_DAYS * 86_400_000)
+    near = true(F.abs(a["date"] - f["date"]) <= PROXIMITY_DAYS * 86_400_000)
     higher = true(tier_rank(a["tier"]) > tier_rank(f["tier"]))
     anchored = a["product"].isNotNull() | f["product"].isNotNull() | a["version"].isNotNull() | f["version"].isNotNull()
-    blocks = {
-        "different_product_org": true(a["product"] != f["product"]), "incompatible_announcement_nature": exclusive(a["nature"], f["nature"]),
-        "different_version": true(a["version"] != f["version"]), "different_entities": ~ent & (F.size(a["entities"]) > 0) & (F.size(f["entities"]) > 0) & ~prod & anchored,
-    }
-    blocked = reduce(lambda x, y: x | y, blocks.values())
+    others = ~ent & a["some"] & f["some"] & ~prod & anchored
+    product, release, kind = true(a["product"] != f["product"]), true(a["version"] != f["version"]), exclusive(a["nature"], f["nature"])
+    blocked = others | product | release | kind
     strong = url | (ent & nat & ver) | (prod & nat & ver) | (ent & ver & prod)
     medium = (ent & nat) | (ent & ver) | (prod & nat & near) | url
     weak = ent | prod | cat | near
     theme = ~ent & ~prod & ~nat & ~ver & ~url
     level = F.when(blocked, 0).when(strong, 3).when(medium, 2).when(weak, 1).otherwise(0)
-    name = lambda cond, text: F.when(cond, F.lit(text))
-    favorable = F.array_compact(F.array(name(cat, "category_overlap"), name(higher, "higher_source_tier"), name(nat, "same_announcement_nature"), name(url, "same_canonical_url"), name(ent, "same_entities"), name(prod, "same_product_org"), name(ver, "same_version"), name(near, "temporal_proximity")))
-    unfavorable = F.array_compact(F.array(
-        name(blocks["different_entities"], "different_entities"), name(blocks["different_product_org"], "different_product_org"), name(blocks["different_version"], "different_version"),
-        name(blocks["incompatible_announcement_nature"], "incompatible_announcement_nature"), name((level == 1) & theme, "insufficient_event_identity"), name((level == 1) & theme, "theme_or_category_only"),
-    ))
-    novel = F.filter(F.array_except(a["keys"], f["keys"]), lambda k: ~k.startswith("url:") & ~k.startswith("date:"))
-    return {"blocked": blocked, "level": level, "favorable": favorable, "unfavorable": unfavorable, "novel": novel}
+    bits = lambda flags: reduce(lambda x, y: x + y, (c.cast("int") * (1 << i) for i, c in enumerate(flags)))
+    vague = ~blocked & ~strong & ~medium & weak & theme
+    return {"blocked": blocked, "level": level, "favorable": bits((cat, higher, nat, url, ent, prod, ver, near)), "unfavorable": bits((others, product, release, kind, vague, vague))}
+
+
+def novel_keys(own: Column, known: Column) -> Column:
+    return F.filter(F.array_except(own, known), lambda k: ~k.startswith("url:") & ~k.startswith("date:"))

@@ -15,3 +15,8 @@ def latest_by(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
 
 def numbered(rows: DataFrame, keys: list[str], order: list[Column], name: str = "number") -> DataFrame:
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
+
+
+def few(rows: DataFrame, most: int = 200_000) -> DataFrame:
+    """rows, marked for a broadcast if counted to be few."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewire.functions.signals import compare, with_signals
+from tidewire.functions.signals import FAVORABLE, UNFAVORABLE, compare, named, novel_keys, with_signals
+from tidewire.operators.common import few
+from tidewire.storage import materialize
 
 CANDIDATES = 500
 
@@ -30,19 +32,50 @@ def folder_fingerprints(folders: DataFrame, members: DataFrame, articles: DataFr
     return joined.withColumns({c: F.coalesce(c, none) for c in ("entities", "labels", "urls", "keys")})
 
 
-def pairs(articles: DataFrame, fingerprints: DataFrame) -> DataFrame:
-    """Every article with signals and enough content against every candidate that is not closed. fingerprints must be bounded, see candidate_folders."""
-    f = F.broadcast(fingerprints.filter("status <> 'closed'").select(F.struct(*fingerprints.columns).alias("f")))
-    both = articles.filter("primary").join(f)
+def _tokens(urls: Column, entities: Column, labels: Column) -> Column:
+    mark = lambda kind, values: F.transform(values, lambda x: F.concat(F.lit(kind), x))
+    return F.explode(F.array_distinct(F.concat(mark("u", urls), mark("e", entities), mark("c", labels))))
+
+
+def _shared(articles: DataFrame, numbered: DataFrame, words: int) -> DataFrame:
+    """(article_id, url, ent, cat): which candidates share a URL, an entity or a label with an article, as a bit for each candidate in 64-bit words. An inverted index of the candidates meets each token of an article once, however many candidates have it."""
+    held = numbered.select("word", "mask", _tokens(F.col("urls"), F.col("entities"), F.col("labels")).alias("token"))
+    columns = [f"w{w}" for w in range(words)]
+    index = materialize(held.groupBy("token").agg(*(F.coalesce(F.bit_or(F.when(F.col("word") == w, F.col("mask"))), F.lit(0).cast("long")).alias(c) for w, c in enumerate(columns))))
     none = F.array().cast("array<string>")
-    a = {"urls": F.when(F.col("canonical").isNotNull(), F.array("canonical")).otherwise(none), "entities": F.col("entities"), "product": F.col("product"), "nature": F.col("nature"), "version": F.col("version"), "labels": F.col("labels"), "date": F.col("published_at"), "tier": F.col("source_tier"), "keys": F.col("facts.key")}
-    g = {k: F.col(f"f.{k}") for k in ("urls", "entities", "product", "nature", "version", "labels", "date", "tier", "keys")}
-    found = compare(a, g)
-    return both.select("article_id", F.col("f.folder_id").alias("folder_id"), *(c.alias(k) for k, c in found.items()))
+    own = articles.select("article_id", _tokens(F.when(F.col("canonical").isNotNull(), F.array("canonical")).otherwise(none), F.col("entities"), F.col("labels")).alias("token"))
+    met = own.join(few(index), "token").groupBy("article_id")
+    of = lambda kind: F.array(*(F.coalesce(F.bit_or(F.when(F.col("token").startswith(kind), F.col(c))), F.lit(0).cast("long")) for c in columns))
+    return met.agg(of("u").alias("url"), of("e").alias("ent"), of("c").alias("cat"))
+
+
+def _compared(articles: DataFrame, fingerprints: DataFrame) -> DataFrame:
+    """article_id, folder_id, blocked, level, favorable and unfavorable (as bits) of every pair, over scalars alone."""
+    live = fingerprints.filter("status <> 'closed'")
+    place = F.row_number().over(Window.orderBy("folder_id")) - 1
+    numbered = materialize(live.withColumn("place", place).withColumns({"word": F.floor(F.col("place") / 64).cast("int"), "mask": F.expr("shiftleft(1L, place % 64)")}))
+    words = max(1, -(-numbered.count() // 64))
+    f = numbered.select(F.struct("folder_id", "product", "nature", "version", "date", "tier", (F.size("entities") > 0).alias("some"), "word", "mask").alias("f"))
+    enough = articles.filter("primary")
+    slim = enough.select("article_id", "product", "nature", "version", F.col("published_at").alias("date"), F.col("source_tier").alias("tier"), (F.size("entities") > 0).alias("some"))
+    both = slim.join(_shared(enough, numbered, words), "article_id", "left").join(F.broadcast(f))
+    bit = lambda c: F.coalesce(F.get(c, F.col("f.word")).bitwiseAND(F.col("f.mask")) != 0, F.lit(False))
+    flagged = both.withColumns({"url": bit("url"), "ent": bit("ent"), "cat": bit("cat")})
+    keys = ("product", "nature", "version", "date", "tier", "some")
+    found = compare({k: F.col(k) for k in keys}, {k: F.col(f"f.{k}") for k in keys}, F.col("url"), F.col("ent"), F.col("cat"))
+    return flagged.select("article_id", F.col("f.folder_id").alias("folder_id"), *(c.alias(k) for k, c in found.items()))
+
+
+def pairs(articles: DataFrame, fingerprints: DataFrame) -> DataFrame:
+    """Every article with signals and enough content against every candidate that is not closed, with all it shows. fingerprints must be bounded, see candidate_folders."""
+    own = articles.select("article_id", F.col("facts.key").alias("own_keys"))
+    known = fingerprints.select("folder_id", F.col("keys").alias("known_keys"))
+    wide = _compared(articles, fingerprints).join(own, "article_id").join(few(known), "folder_id")
+    return wide.select("article_id", "folder_id", "blocked", "level", named(F.col("favorable"), FAVORABLE).alias("favorable"), named(F.col("unfavorable"), UNFAVORABLE).alias("unfavorable"), novel_keys(F.col("own_keys"), F.col("known_keys")).alias("novel"))
 
 
 def decide(articles: DataFrame, compared: DataFrame) -> DataFrame:
-    """issue, folder_id, confidence, motive, favorable, unfavorable and facts of each article.
+    """issue, folder_id, confidence, motive, favorable, unfavorable and facts of each article, from pairs().
 
     Thin content comes first, then a tie of the best folders, the best folder (with or without novel facts), a weak match, and
     a new dossier last. One grouped aggregate over the pairs; no pair is sorted.
@@ -55,7 +88,25 @@ def decide(articles: DataFrame, compared: DataFrame) -> DataFrame:
         F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(F.col("level") == 2, F.col("favorable")))))).alias("f2"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(F.col("blocked"), F.col("unfavorable")))))).alias("barred"), F.bool_or("blocked").alias("any_blocked"),
     )
-    e = articles.join(own, "article_id", "left")
+    return _outcome(articles.join(own, "article_id", "left"))
+
+
+def resolve(articles: DataFrame, fingerprints: DataFrame) -> DataFrame:
+    """decide() over all pairs, which are held as bits: names and novel facts are only built for the folders that come out best."""
+    bits, level = _compared(articles, fingerprints), F.col("level")
+    best = F.struct((-level).alias("l"), "folder_id", "favorable", "unfavorable")
+    own = bits.groupBy("article_id").agg(
+        F.min(F.when(level >= 2, best)).alias("t"), F.count_if(level == 3).alias("n3"), F.count_if(level == 2).alias("n2"), F.min(F.when(level == 1, best)).alias("w"),
+        F.bit_or(F.when(level == 3, F.col("favorable"))).alias("f3"), F.bit_or(F.when(level == 2, F.col("favorable"))).alias("f2"), F.bit_or(F.when(F.col("blocked"), F.col("unfavorable"))).alias("barred"), F.bool_or("blocked").alias("any_blocked"),
+    )
+    known = few(fingerprints.select(F.col("folder_id").alias("known_id"), F.col("keys").alias("known_keys")))
+    e = articles.join(own, "article_id", "left").join(known, F.col("t.folder_id") == F.col("known_id"), "left")
+    spelt = lambda c, more: F.when(F.col(c).isNotNull(), F.struct(F.col(f"{c}.l").alias("l"), F.col(f"{c}.folder_id").alias("folder_id"), named(F.col(f"{c}.favorable"), FAVORABLE).alias("favorable"), named(F.col(f"{c}.unfavorable"), UNFAVORABLE).alias("unfavorable"), more.alias("novel")))
+    names = lambda c, all_: F.when(F.col(c).isNotNull(), named(F.col(c), all_))
+    return _outcome(e.withColumns({"top": spelt("t", novel_keys(F.col("facts.key"), F.col("known_keys"))), "weak": spelt("w", F.array().cast("array<string>")), "f3": names("f3", FAVORABLE), "f2": names("f2", FAVORABLE), "barred": names("barred", UNFAVORABLE)}))
+
+
+def _outcome(e: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     tied = F.when(F.col("n3") > 0, F.col("n3") > 1).otherwise(F.coalesce(F.col("n2") > 1, F.lit(False)))
     tied_favorable = F.when(F.col("n3") > 0, F.col("f3")).otherwise(F.col("f2"))
@@ -78,9 +129,46 @@ def decide(articles: DataFrame, compared: DataFrame) -> DataFrame:
     )
 
 
+def justification(decisions: DataFrame) -> DataFrame:
+    """decisions with the line that explains each."""
+    listed = lambda c: F.coalesce(F.nullif(F.array_join(c, ","), F.lit("")), F.lit("none"))
+    part = lambda name, c: F.concat(F.lit(f"{name}="), c)
+    return decisions.withColumn("justification", F.concat_ws("; ", part("issue", F.col("issue")), part("confidence", F.col("confidence")), part("folder", F.coalesce("folder_id", F.lit("none"))), part("motives", F.col("motive")), part("favorable", listed("favorable")), part("unfavorable", listed("unfavorable"))))
+
+
+def violations(decisions: DataFrame, folders: DataFrame) -> DataFrame:
+    """Decisions (article_id, issue, folder_id, title) that cannot be stored, and why: a dossier without a title, a match without a dossier, or with one that is absent or closed."""
+    state = folders.select("folder_id", "status")
+    e = decisions.join(state, "folder_id", "left")
+    matched = F.col("issue").isin("attach_enrich", "duplicate_editorial")
+    broken = (
+        F.when((F.col("issue") == "create_dossier") & (F.coalesce("title", F.lit("")) == ""), "title_missing")
+        .when(matched & F.col("folder_id").isNull(), "folder_missing")
+        .when((F.col("issue") == "attach_enrich") & F.col("status").isNull(), "folder_absent")
+        .when((F.col("issue") == "attach_enrich") & (F.col("status") == "closed"), "folder_closed")
+        .when(~F.col("issue").isin("create_dossier", "attach_enrich", "duplicate_editorial", "ambiguous_no_action"), "issue_unknown")
+    )
+    return e.withColumn("broken", broken).filter("broken is not null").select("article_id", "issue", "folder_id", "broken")
+
+
+def attach_effects(decisions: DataFrame, folders: DataFrame, decided_at: int) -> DataFrame:
+    """The folders (folder_id, status, last_activity) after a cycle: those that an article was attached to are active now, and open if they were idle; closed ones stay as they are."""
+    touched = decisions.filter("issue = 'attach_enrich'").select("folder_id", F.lit(True).alias("touched")).distinct()
+    live = F.coalesce("touched", F.lit(False)) & (F.col("status") != "closed")
+    joined = folders.join(touched, "folder_id", "left")
+    return joined.select("folder_id", F.when(live & (F.col("status") == "idle"), "open").otherwise(F.col("status")).alias("status"), F.when(live, F.lit(decided_at)).otherwise(F.col("last_activity")).alias("last_activity"))
+
+
 def match(articles: DataFrame, fingerprints: DataFrame) -> DataFrame:
-    signals = with_signals(articles)
-    return decide(signals, pairs(signals, fingerprints))
+    return resolve(with_signals(articles), fingerprints)
+
+
+def skipped(articles: DataFrame, members: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Articles that are not to be matched (again), with the reason: a membership counts before a decision."""
+    member = members.select("article_id", F.lit(True).alias("member")).distinct()
+    decided = decisions.select("article_id", F.lit(True).alias("decided")).distinct()
+    reason = F.when(F.col("member"), "already_processed").when(F.col("decided"), "terminal_state")
+    return articles.join(member, "article_id", "left").join(decided, "article_id", "left").withColumn("reason", reason).filter("reason is not null").drop("member", "decided")
 
 
 def unprocessed(articles: DataFrame, members: DataFrame, decisions: DataFrame) -> DataFrame:

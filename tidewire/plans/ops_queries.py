@@ -171,8 +171,7 @@ def _ruled(spark, d):
   WHEN top OR ann OR lau THEN 'medium' ELSE 'low' END AS level, concat_ws('|', CASE WHEN off THEN 'official_publisher' END, CASE source_tier WHEN 'S' THEN 'tier_s' WHEN 'A' THEN 'tier_a' END, CASE WHEN mod THEN 'new_model' END, CASE WHEN fam THEN 'new_family' END,
   CASE WHEN ann THEN 'official_announcement' END, CASE WHEN av THEN 'general_availability' END, CASE WHEN lau THEN 'launch' END) AS signals FROM r1""")
 def q_importance(spark, d):
-    i = R.importance(F.col("txt"), F.col("source_id"), F.col("source_tier"))
-    return _ruled(spark, d).withColumn("i", i).select("article_id", "i.level", F.array_join("i.signals", "|").alias("signals"))
+    return R.with_importance(_ruled(spark, d), F.col("txt"), "source_id", "source_tier").select("article_id", "importance.level", F.array_join("importance.signals", "|").alias("signals"))
 
 
 @query(f"""WITH {_RULES} SELECT article_id, CASE WHEN length(title) % 5 = 0 THEN 'has_main_publication' WHEN NOT (off OR source_tier = 'S') THEN 'source_not_whitelisted' WHEN mm AND phr THEN 'major_model_announcement' WHEN tv OR (phr AND tools) THEN 'major_tool_release'

@@ -234,7 +234,7 @@ def _fingerprints(spark, d, of):
 
 def _matched(spark, d):
     of = materialize(_signals(spark, d))
-    return matching.decide(of, matching.pairs(of, materialize(_fingerprints(spark, d, of))))
+    return matching.resolve(of, materialize(_fingerprints(spark, d, of)))
 
 
 @query(f"WITH {MATCH_SQL} SELECT folder_id, status, array_to_string(entities, '|') AS entities, array_to_string(urls, '|') AS urls, array_to_string(keys, '|') AS keys, product, version, nature, tier, date FROM fp")
