@@ -44,6 +44,46 @@ def test_added_spans_need_confirmation():
     assert not pii.find("the year 123456789 of mine")
 
 
+def plain_added(text):
+    """Account codes by trying every start and the country's length; then account numbers, as the docstring tells."""
+    base, found = [(a, b) for _, a, b in plain_pii(text)], []
+    for i in range(len(text)):
+        if (i and text[i - 1].isascii() and text[i - 1].isalnum()) or not re.match("[A-Z]{2}[0-9]{2}", text[i : i + 4]) or any(a <= i < b for _, a, b in found):
+            continue
+        n, j, code = pii.IBAN_LENGTHS[text[i : i + 2]] if text[i : i + 2] in pii.IBAN_LENGTHS else None, i + 4, text[i : i + 4]
+        while n and len(code) < n and (m := re.match(" ?([A-Z0-9])", text[j:])):
+            code, j = code + m[1], j + m.end()
+        if n and len(code) == n and not re.match("[A-Za-z0-9]", text[j:]) and pii.mod97(code):
+            found.append(("iban", i, j))
+    held = base + [(a, b) for _, a, b in found]
+    for m in re.finditer(r"[0-9](?:[ -]?[0-9])*", text):
+        near = text[max(0, m.start() - 40) : m.start()] + " " + text[m.end() : m.end() + 40]
+        beside = re.search("[A-Za-z.+-]", text[max(0, m.start() - 1) : m.start()]) or text[m.end() : m.end() + 1].isalpha()
+        free = all(b <= m.start() or m.end() <= a for a, b in held)
+        if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 19 and free and not beside and re.search(r"\b(?:card|account)\b", near):
+            found.append(("account", m.start(), m.end()))
+    return found
+
+
+def test_added_spans_equal_plain_search():
+    r = random.Random(9)
+    parts = ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "NO93 8601 1117 947", "DE88 3704 0044 0532 0130 00", "EUR 50", "account", "card", "123456789", "1234 5678 9012", "A1", "x", ",", "a@b.co", "10.0.0.1", "+1 222 333 4444", "4111 1111 1111 1111", "ref-77"]
+    for _ in range(4000):
+        text = r.choice(["", " "]).join(r.choice(parts) + r.choice([" ", " ", ", ", ""]) for _ in range(r.randrange(1, 9)))
+        assert [s[:3] for s in pii.find(text) if s[0] not in pii.BASE] == plain_added(text), text
+
+
+def test_context_moves_every_score():
+    for kind, alone, said in (("email", "x a@b.co", "mail a@b.co"), ("ip", "x 10.0.0.1", "host 10.0.0.1"), ("card", "x 4111 1111 1111 1111", "visa 4111 1111 1111 1111"), ("phone", "x +1 222 333 4444", "call +1 222 333 4444"), ("iban", "x DE89370400440532013000", "iban DE89370400440532013000")):
+        low, high = ([s[3] for s in pii.find(t) if s[0] == kind] for t in (alone, said))
+        assert len(low) == len(high) == 1 and low[0] < high[0] == 1.0, kind
+
+
+def test_overlapping_spans_are_redacted_together():
+    assert pii.redact("at 10.0.0.0 4111 1111 1111 1111 now") == "at <ip><card> now"
+    assert pii.redact("IBAN DE89 3704 0044 0532 0130 00 EUR 50") == "IBAN <iban> EUR 50"
+
+
 def test_long_runs_stay_linear():
     for piece in ("1 ", "a@", "+1", "1.", "A1"):
         pii.find(piece * 100_000)
@@ -331,6 +371,42 @@ def test_resampling(spark, edge, none):
     assert importance.resample(none, labels.limit(0)).count() == 0
 
 
+def test_weights_and_draw_equal_plain_ones(spark):
+    """Log-weights, noise and selection against whole numbers of Python; rows that share an id and a text tie."""
+    import xxhash
+
+    full = 2**64 - 1
+
+    def mixed(x):
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & full
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & full
+        return x ^ (x >> 31)
+
+    r = random.Random(3)
+    docs = [(i, " ".join(f"w{int(r.paretovariate(0.8)) % 60}" for _ in range(r.randrange(0, 40)))) for i in range(120)] + [(7, "twice the same"), (7, "twice the same"), (None, "no id"), (500, None)]
+    labels = [(i, int(i % 3 == 0), int(i % 15 == 0)) for i in range(100)]
+    good = {i for i, q, t in labels if q == 1 and t != 1}
+    features = {}
+    for _, t in docs:
+        k = [xxhash.xxh3_64_intdigest(w.encode()) for w in words(t)]
+        features[t] = [mixed(x) >> 50 for x in k] + [mixed((a * 0x9E3779B97F4A7C15 + b) & full) >> 50 for a, b in zip(k, k[1:])]
+    raw, target = Counter(), Counter()
+    for i, t in docs:
+        raw.update(features[t])
+        if i in good:
+            target.update(features[t])
+    n = 1 << 14
+    weigh = lambda t: sum(math.log((target[f] + 1) / (target.total() + n)) - math.log((raw[f] + 1) / (raw.total() + n)) for f in features[t])
+    noise = lambda i: -math.log(-math.log(((mixed((mixed(((i or 0) + 0x9E3779B97F4A7C15) & full) + 1) & full) >> 11) + 0.5) / 2**53))
+    wanted = sorted(((weigh(t) + noise(i), -(2**63) if i is None else i) for i, t in docs), reverse=True)
+    last = wanted[math.ceil(0.5 * len(docs)) - 1]
+    got = importance.resample(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), share=0.5).collect()
+    assert len(got) == len(docs)
+    keys = sorted((x["gumbel_key"], -(2**63) if x["doc_id"] is None else x["doc_id"]) for x in got)
+    assert all(math.isclose(a[0], b[0], rel_tol=1e-9, abs_tol=1e-9) and a[1] == b[1] for a, b in zip(keys, sorted(wanted)))
+    assert sum(x["selected"] for x in got) >= math.ceil(0.5 * len(docs)) and all(x["selected"] == (x["gumbel_key"] >= last[0] - 1e-9) for x in got)
+
+
 def test_kth_largest(spark):
     r = random.Random(2)
     x = [(r.choice([-(2**62), -5, -1, 0, 3, 2**62]) + r.randrange(3), r.randrange(-4, 4)) for _ in range(500)]
@@ -526,6 +602,25 @@ def test_payloads_come_back():
         assert tensor.shape == (image.height, image.width, 3)
 
 
+def test_rgb_equals_plain_conversion():
+    """Chroma samples repeated over two by two pixels, then the usual formula pixel by pixel."""
+    rng = np.random.default_rng(12)
+    files = media.encode_many([media.pad(rng.bytes(n)) for n in (5, 700, 3000)], [5, 700, 3000])
+    images, coef = media.decode_many(files)
+    blocks = media.samples(images, coef).reshape(-1, 8, 8)
+    for image in images:
+        plane = []
+        for first, (w, h) in zip(image.first, image.padded):
+            plane.append([[int(blocks[first + (y // 8) * w + x // 8][y % 8][x % 8]) for x in range(8 * w)] for y in range(8 * h)])
+        got = media.rgb(image, media.samples(images, coef))
+        across, down = (image.sampling[0][i] // image.sampling[1][i] for i in (0, 1))
+        for y in range(image.height):
+            for x in range(image.width):
+                l, b, r = plane[0][y][x], plane[1][y // down][x // across] - 128, plane[2][y // down][x // across] - 128
+                plain = (l + 1.402 * r, l - 0.344136286 * b - 0.714136286 * r, l + 1.772 * b)
+                assert all(abs(min(255, max(0, p)) - int(g)) <= 1 for p, g in zip(plain, got[y, x]))
+
+
 def test_inverse_transform():
     rng = np.random.default_rng(7)
     coef = rng.integers(-129, 130, (20, 64)).astype(np.int16)

@@ -7,7 +7,9 @@ the same lattice, on a documented bounded sample: about SAMPLE documents of each
 
 Words are runs of letters in lower case, scored in stretches of at most STRETCH letters. Letters that no piece covers have
 one small probability in all languages. A null text, and one without a letter, is "und" with score 0; so is every text if
-there is nothing to learn from. Ties go to the language first by code point. Repeated rows are predicted alike.
+there is nothing to learn from. Ties go to the language first by code point. Repeated rows are predicted alike, an empty
+table gives an empty one, other columns are ignored. A very long text is read whole by one task. More than MOST_LANGUAGES
+values of lang are an error, as the models of all languages are held by each task.
 """
 
 from __future__ import annotations
@@ -245,7 +247,7 @@ def identify(docs: DataFrame, path: str = vocabulary.MODEL) -> DataFrame:
 
 
 def recognised(docs: DataFrame, least: float = 0.5, path: str = vocabulary.MODEL) -> DataFrame:
-    """The rows of docs, with all their columns, whose language is predicted with at least that score; learns from all rows with a lang."""
+    """The rows of docs, with all their columns, whose language is predicted with at least that score; learns from all rows with a lang. Without any, all texts with a letter are kept: there is nothing to reject them by."""
     langs, p = train(docs.select("doc_id", "text", "lang"), path)
     model = docs.sparkSession.sparkContext.broadcast((piece_list(path), langs, p))
     text = docs.columns.index("text")
@@ -258,5 +260,7 @@ def recognised(docs: DataFrame, least: float = 0.5, path: str = vocabulary.MODEL
                 logs, letters = scorer(chunk.column(text).to_pylist())
                 score = 1 / np.exp(logs - logs.max(1, keepdims=True)).sum(1)
                 yield chunk.filter(pa.array(letters & (score >= least)))
+            else:
+                yield chunk.filter(pa.array([bool(t and _WORDS.search(t)) for t in chunk.column(text).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(released(run), docs.schema)
