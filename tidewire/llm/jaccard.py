@@ -343,8 +343,8 @@ def _in_parts(entries: DataFrame, level: int, pairs: bool) -> DataFrame:
     return met.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other"), "split": F.lit(False)})
 
 
-def _ties(shared: DataFrame, long: int, num: int, den: int) -> tuple[DataFrame, int]:
-    """(a, b) to verify, which leave no likely pair of a list of at most SPLIT entries unconnected, and the number of levels. Of longer lists, with so many entries, the parts are grouped by themselves, then the sets that stand for their groups in the same way, until a list is short or these no longer get fewer; then they are compared part with part."""
+def _ties(shared: DataFrame, long: int, num: int, den: int) -> DataFrame:
+    """(a, b) to verify, which leave no likely pair of a list of at most SPLIT entries unconnected. Of longer lists, with so many entries, the parts are grouped by themselves, then the sets that stand for their groups in the same way, until a list is short or these no longer get fewer; then they are compared part with part."""
     at, found, before, level = shared, None, None, 0
     while True:
         pairs = before is not None and 2 * long > before
@@ -352,7 +352,7 @@ def _ties(shared: DataFrame, long: int, num: int, den: int) -> tuple[DataFrame,
         ties = out.filter("b is not null").select("a", "b")
         found, level = ties if found is None else found.union(ties), level + 1
         if not long or pairs:
-            return found.distinct(), level
+            return found.distinct()
         heads = out.filter("b is null").select("token", F.col("a").alias("node"), "n", "pos", "bitmap")
         sizes = materialize(heads.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1"))
         at = heads.join(small(sizes)(sizes), "token")
@@ -415,44 +415,41 @@ def join(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFra
     classes = materialize(classes)
     entries = classes.select("node", "n", F.posexplode("prefix").alias("pos", "token")).withColumn("pos", F.col("pos").cast("long"))
     lists = materialize(entries.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1"))
-    shared = materialize(entries.join(small(lists, 1_000_000)(lists), "token").select("token", "node", "n", "pos", "size"))
-    bitmaps = classes.select("node", F.col("n").alias("bn"), "bitmap")
-    shared = materialize(shared.join(bitmaps, (shared["node"] == bitmaps["node"]) & (shared["n"] == bitmaps["bn"])).select("token", shared["node"], "n", "pos", "size", "bitmap"))
+    bitmaps = classes.select(F.col("node").alias("bitmap_node"), F.col("n").alias("bitmap_n"), "bitmap")
+    held = entries.join(lists, "token").join(bitmaps, (F.col("node") == F.col("bitmap_node")) & (F.col("n") == F.col("bitmap_n")))
+    shared = materialize(held.select("token", "node", "n", "pos", "size", "bitmap"))
     long = lists.filter(F.col("size") > SPLIT)
-    ties, levels = _ties(shared, long.agg(F.sum("size")).first()[0] or 0, num, den)
+    ties = _ties(shared, long.agg(F.sum("size")).first()[0] or 0, num, den)
     contents = docs.filter("doc_id is not null").select(F.col("doc_id").alias("node"), text_bytes().alias("content"))
     checked = materialize(_verify(materialize(ties), contents, width, num, den))
-    linked = checked.filter("linked").select("a", "b")
+    # Documents with one id, but with rows of several classes, connect these.
+    of_class = classes.select("digest", "n", "node")
+    torn = usable.select("doc_id", "digest", "n").distinct().groupBy("doc_id").agg(F.count("*").alias("classes")).filter("classes > 1").select("doc_id")
+    torn = materialize(usable.join(torn, "doc_id").join(of_class, ["digest", "n"]).select("doc_id", "node"))
+    linked = checked.filter("linked").select("a", "b").union(torn.join(torn.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").select("a", F.col("node").alias("b")))
+    group = materialize(components(linked))
+    near = small(group, 500_000)
     failed = checked.filter("not linked").select(F.col("b").alias("node")).distinct()
     # A pair that its ties leave unconnected has one that failed, or lies in a split list: only such lists are read again.
     tokens = materialize(shared.join(small(failed, 500_000)(failed), "node", "left_semi").select("token").union(long.select("token")).distinct())
+    ends = group.select(F.col("node").alias("end"), "component")
     if tokens.limit(1).count():
-        group = _followed(linked, levels)
-        again = shared.join(small(tokens, 500_000)(tokens), "token", "left_semi").join(small(group, 500_000)(group), "node", "left").withColumn("group", F.coalesce("first", "node")).drop("first")
+        again = shared.join(small(tokens, 500_000)(tokens), "token", "left_semi").join(near(group), "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
         rest = _compared(_between_groups(materialize(again)), num, den, False).select("a", "b").distinct()
         rest = rest.join(small(checked, 500_000)(checked.select("a", "b")), ["a", "b"], "left_anti")
-        linked = linked.union(materialize(_verify(rest, contents, width, num, den)).filter("linked").select("a", "b"))
-    # Documents with one id, but with rows of several classes, connect these.
-    of_class = classes.select("digest", "n", "node")
-    torn = usable.select("doc_id", "digest", "n").distinct().groupBy("doc_id").agg(F.count("*").alias("classes")).filter("classes > 1").select("doc_id")
-    torn = materialize(usable.join(torn, "doc_id").join(of_class, ["digest", "n"]).select("doc_id", "node"))
-    if torn.limit(1).count():
-        linked = linked.union(torn.join(torn.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").select("a", F.col("node").alias("b")))
-    ends = components(linked).withColumnRenamed("node", "end")
+        more = materialize(_verify(rest, contents, width, num, den).filter("linked").select("a", "b"))
+        if more.limit(1).count():
+            of = lambda c: group.select(F.col("node").alias(c), F.col("component").alias(f"{c}_group"))
+            joined = more.join(near(of("a")), "a", "left").join(near(of("b")), "b", "left").select(F.coalesce("a_group", "a").alias("a"), F.coalesce("b_group", "b").alias("b"))
+            wider = components(joined).select(F.col("node").alias("component"), F.col("component").alias("wider"))
+            alone = wider.join(group.select("component"), "component", "left_anti")
+            grown = group.join(wider, "component", "left").select("node", F.coalesce("wider", "component").alias("component"))
+            ends = materialize(grown.union(alone.select("component", "wider"))).select(F.col("node").alias("end"), "component")
     ends = of_class.join(ends, F.col("node") == F.col("end"), "left").select("digest", "n", F.coalesce("component", "node").alias("component"), F.lit(True).alias("usable"))
     known = sets.select("doc_id", "n", "digest", ((F.col("n") > 0) & F.col("doc_id").isNotNull()).alias("usable"))
     return known.join(ends, ["digest", "n", "usable"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _followed(linked: DataFrame, levels: int) -> DataFrame:
-    """(node, first): the set that verified ties lead to from each set in so many steps; sets with one first set are connected."""
-    up = materialize(linked.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("first")))
-    for _ in range(levels):
-        further = up.select(F.col("node").alias("first"), F.col("first").alias("next"))
-        up = materialize(up.join(small(further, 500_000)(further), "first", "left").select("node", F.coalesce("next", "first").alias("first")))
-    return up
-
-
 def one_of_each(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """The rows of docs, with all their columns, without those that a document with a smaller doc_id stands for. Of rows alike in doc_id and text one stays; a null doc_id stays."""
     found = materialize(join(docs, width, num, den).filter("doc_id is not null").select("doc_id", "component_id"))
