@@ -118,3 +118,12 @@ def test_message_stays_within_limits(spark):
     rows = spark.createDataFrame([("fld_abcdefghijklmnop", "", "word " * 3000), ("fld_2", "<b>Title</b> @everyone", "x")], "folder_id string, title string, summary string")
     for r in publication.main_message(rows).collect():
         assert r["chars"] <= publication.LIMITS["total"] and len(r["title"]) <= 256 and len(r["description"]) <= 4096 and "@everyone" not in r["title"] and r["title"]
+
+
+def test_total_shrinks_part_by_part(spark):
+    parts = "array<struct<name:string,value:string,inline:boolean>>"
+    rows = [(1, "t" * 200, "d" * 4000, [("f", "v" * 1000, True)] * 2, "foot"), (2, "t" * 200, "d" * 4000, [("f", "v" * 1000, True)] * 7, "foot"), (3, "t", "d", [], "foot")]
+    done = {r["id"]: r for r in publication.within_total(spark.createDataFrame([(*r, []) for r in rows], f"id int, title string, description string, fields {parts}, footer string, warnings array<string>")).collect()}
+    assert len(done[1]["description"]) == 6000 - 200 - 2002 - 4 and done[1]["warnings"] == ["embed_total_truncated:description"]
+    assert done[2]["description"] is None and len(done[2]["fields"]) == 5 and done[2]["warnings"] == ["embed_total_truncated:description_removed"] + ["field_omitted:f", "embed_total_truncated:field_dropped"] * 2
+    assert done[3]["description"] == "d" and done[3]["warnings"] == []

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewire.functions.rules import best_tier
+from tidewire.functions.rules import best_tier, scoring
 from tidewire.functions.signals import tier_rank
 from tidewire.operators.common import latest_by
 
@@ -85,8 +85,133 @@ def violations(attempts: DataFrame) -> DataFrame:
 
 
 def fact_priority(key: Column) -> Column:
+    """Rank in which facts are kept when there is no room for all: dates, versions, availability, others."""
     k = F.lower(key)
-    return F.when(k.rlike("date|when|released|published|avail"), 0).when(k.contains("version"), 1).when(k.rlike("disponib|availability|^ga$|preview"), 2).otherwise(3)
+    return F.when(k.rlike("date|when|released|published|avail"), 0).when(k.rlike("version|ver|v[0-9]"), 1).when(k.rlike("disponib|availability|ga|preview"), 2).otherwise(3)
+
+
+# Headings of a context.
+ARTICLES_HEADING, FACTS_HEADING = "## Articles", "## Faits d'enrichissement retenus"
+
+
+def context(folders: DataFrame, articles: DataFrame, facts: DataFrame, most: int = CONTEXT_CHARS, own: int = ARTICLE_CHARS, fact_chars: int = FACT_CHARS) -> tuple[DataFrame, DataFrame]:
+    """(contexts, bodies): what of each folder (folder_id, title) goes into a bounded context, all lengths being those of the rendered text.
+
+    articles: folder_id, article_id, role, source_tier, title, url, content, attached_at; facts: folder_id, seq, key, value.
+    Bodies are cut to their own limit and facts, by priority, to theirs. While it is too long, the bodies of the oldest
+    enrichments go, one by one; then the body of the first primary article; then the room for facts is halved until it
+    fits or nothing is left. contexts: folder_id, chars, fact_chars (the room that facts had in the end), verdict (ok or
+    context_too_large). bodies: folder_id, article_id, chars, kept. Each step is a running sum; nothing is rendered.
+    """
+    line = F.length(F.concat(F.trim("key"), F.lit("="), F.trim("value")))
+    place = Window.partitionBy("folder_id").orderBy("priority", F.lower("key"), "key", "seq")
+    lines = facts.filter((F.trim("key") != "") | (F.trim("value") != "")).withColumns({"priority": fact_priority(F.col("key")), "line": line})
+    ends = lines.withColumn("end", F.sum(F.col("line") + 1).over(place.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 1)
+    rooms = [fact_chars >> i for i in range(fact_chars.bit_length())]
+    held = ends.groupBy("folder_id").agg(*(F.coalesce(F.max(F.when(F.col("end") <= r, F.col("end"))), F.lit(0)).alias(f"room_{r}") for r in rooms))
+    head = F.length(F.concat_ws("\n", *(F.concat(F.lit(f"{n}="), F.coalesce(F.col(c).cast("string"), F.lit(""))) for n, c in (("articleId", "article_id"), ("role", "role"), ("tier", "source_tier"), ("title", "title"), ("url", "url")))))
+    body = F.least(F.length(F.trim(F.coalesce("content", F.lit("")))), F.lit(own))
+    cut = articles.withColumns({"head": head, "chars": body.cast("long")}).drop("content")
+    cut = cut.withColumn("extra", F.when(F.col("chars") > 0, F.col("chars") + len("\nbody:\n")).otherwise(F.lit(0)).cast("long"))
+    by_age = Window.partitionBy("folder_id").orderBy("attached_at", "article_id")
+    older = by_age.rowsBetween(Window.unboundedPreceding, -1)
+    enrichment, primary = F.col("role") == "enrichment", F.col("role") == "primary"
+    spread = cut.withColumns({"before": F.coalesce(F.sum(F.when(enrichment, F.col("extra")).otherwise(0)).over(older), F.lit(0)), "first": primary & (F.coalesce(F.sum(F.when(primary, 1).otherwise(0)).over(older), F.lit(0)) == 0)})
+    text = spread.groupBy("folder_id").agg(F.sum(F.col("head") + F.col("extra")).alias("blocks"), F.count("*").alias("n"), F.sum(F.when(enrichment, F.col("extra")).otherwise(0)).alias("enrichments"), F.coalesce(F.sum(F.when(F.col("first"), F.col("extra"))), F.lit(0)).alias("main"))
+    zero = F.lit(0).cast("long")
+    e = folders.join(text, "folder_id", "left").join(held, "folder_id", "left").na.fill(0, ["blocks", "n", "enrichments", "main", *(f"room_{r}" for r in rooms)])
+    title = F.length(F.concat(F.lit("folderId="), F.col("folder_id").cast("string"))) + F.length(F.concat(F.lit("folderTitle="), F.coalesce("title", F.lit("")))) + len(ARTICLES_HEADING) + 4
+    with_facts = lambda r: F.when(F.col(f"room_{r}") > 0, F.col(f"room_{r}") + len(FACTS_HEADING) + 3).otherwise(zero)
+    e = e.withColumn("bare", title + F.col("blocks") + 2 * F.greatest(F.col("n") - 1, zero))
+    e = e.withColumn("excess", F.col("bare") + with_facts(rooms[0]) - most)
+    # the enrichments that go are those before which less than the excess has gone
+    gone = spread.join(e.select("folder_id", "excess"), "folder_id").withColumn("gone", enrichment & (F.col("before") < F.col("excess")))
+    saved = gone.groupBy("folder_id").agg(F.sum(F.when(F.col("gone"), F.col("extra")).otherwise(0)).alias("saved"))
+    e = e.join(saved, "folder_id", "left").withColumn("left", F.col("bare") - F.coalesce("saved", zero))
+    e = e.withColumn("no_main", F.col("left") + with_facts(rooms[0]) > most).withColumn("left", F.when(F.col("no_main"), F.col("left") - F.col("main")).otherwise(F.col("left")))
+    room = F.coalesce(*(F.when(F.col("left") + with_facts(r) <= most, F.lit(r)) for r in rooms), zero)
+    chars = F.col("left") + F.coalesce(*(F.when(F.col("left") + with_facts(r) <= most, with_facts(r)) for r in rooms), zero)
+    contexts = e.select("folder_id", chars.alias("chars"), room.cast("long").alias("fact_chars"), F.when(chars <= most, "ok").otherwise("context_too_large").alias("verdict"))
+    bodies = gone.join(e.select("folder_id", "no_main"), "folder_id").select("folder_id", "article_id", "chars", (~(F.col("gone") | (F.col("first") & F.col("no_main")))).alias("kept"))
+    return contexts, bodies
+
+
+def distinct_names(names: Column) -> tuple[Column, Column]:
+    """(names without blanks at the ends, empty and repeated ones, case aside; whether one was repeated)."""
+    plain = F.filter(F.transform(names, lambda x: F.trim(x)), lambda x: F.coalesce(x, F.lit("")) != "")
+    low = F.transform(plain, F.lower)
+    return F.filter(plain, lambda x, i: F.array_position(low, F.lower(x)) == i + 1), F.size(F.array_distinct(low)) < F.size(low)
+
+
+def parsed_facts(raw: Column) -> Column:
+    """Array of (key, value) from JSON text {"facts": [...]}, whose entries are objects or texts "key: value"; all others are passed over."""
+    text = lambda v: F.when(F.schema_of_variant(v) == "STRING", v.try_cast("string"))
+    listed = F.element_at(F.try_parse_json(raw).try_cast("map<string, variant>"), "facts").try_cast("array<variant>")
+    fact = lambda k, v: F.struct(k.alias("key"), v.alias("value"))
+
+    def one(v: Column) -> Column:
+        own = v.try_cast("map<string, variant>")
+        key, value = text(F.element_at(own, "key")), text(F.element_at(own, "value"))
+        said = text(v)
+        at = F.instr(said, ":")
+        return F.when(own.isNotNull(), F.when((F.trim(key) != "") & (F.trim(value) != ""), fact(key, value))).when(at > 1, fact(F.trim(F.substring(said, F.lit(1), at - 1)), F.trim(F.substring(said, at + 1, F.length(said)))))
+
+    return F.filter(F.transform(listed, one), lambda f: f.isNotNull() & (f["key"] != "") & (f["value"] != ""))
+
+
+def folder_facts(members: DataFrame) -> DataFrame:
+    """Facts (folder_id, seq, key, value) of the enrichments among members (folder_id, article_id, role, attached_at, facts as JSON), in order, each pair of key and value once, case aside."""
+    found = members.filter("role = 'enrichment'").select("folder_id", "article_id", "attached_at", F.posexplode(parsed_facts(F.col("facts"))).alias("pos", "f"))
+    same = Window.partitionBy("folder_id", F.lower(F.trim("f.key")), F.lower(F.trim("f.value"))).orderBy("attached_at", "article_id", "pos")
+    first = found.withColumn("rn", F.row_number().over(same)).filter("rn = 1")
+    seq = F.row_number().over(Window.partitionBy("folder_id").orderBy("attached_at", "article_id", "pos"))
+    return first.select("folder_id", seq.cast("long").alias("seq"), "article_id", F.col("f.key").alias("key"), F.col("f.value").alias("value"))
+
+
+def previous_keys(members: DataFrame, triggers: DataFrame) -> DataFrame:
+    """(folder_id, key): lower-case fact keys that a folder's enrichments had before the article (folder_id, article_id) that triggers an analysis."""
+    others = members.filter("role = 'enrichment'").join(triggers.select("folder_id", "article_id"), ["folder_id", "article_id"], "left_anti")
+    return others.select("folder_id", F.explode(parsed_facts(F.col("facts"))).alias("f")).select("folder_id", F.lower(F.trim("f.key")).alias("key")).distinct()
+
+
+# What each rule of an announcement makes of it; scores given without a model's opinion; channels.
+RULE_KINDS = {"major_model_announcement": ("model_release", "launch"), "major_tool_release": ("product_update", "launch"), "open_weight_release": ("open_source", "availability"), "official_introducing_phrase": ("product_update", "launch")}
+RULE_SCORES = {"relevance": 90, "impact": 88, "novelty": 85}
+
+
+def fallback_proposal(rule: Column, title: Column, tier: Column) -> Column:
+    """summary, category, nature, composite, channel and rationale of an announcement that a rule publishes; null if none does."""
+    pick = lambda i: F.element_at(F.create_map(*(F.lit(x) for k, v in RULE_KINDS.items() for x in (k, v[i]))), rule)
+    base = F.trim(F.concat(F.lit("Annonce officielle majeure détectée (mode dégradé, règle "), rule, F.lit(") : "), F.coalesce(title, F.lit(""))))
+    composite = scoring(*(F.lit(v) for v in RULE_SCORES.values()), tier)["composite"]
+    channel = F.when(composite >= 85, "annonces_majeures").otherwise("veille_pertinente")
+    rationale = F.concat(F.lit("Deterministic fallback matched rule "), rule, F.lit(" on official source (tier "), tier, F.lit(")."))
+    return F.when(rule.isin(*RULE_KINDS), F.struct(F.substring(base, 1, 500).alias("summary"), pick(0).alias("category"), pick(1).alias("nature"), composite.alias("composite"), channel.alias("channel"), rationale.alias("rationale")))
+
+
+# Codes of an analysis as a cycle tells them.
+CYCLE_ERRORS = {
+    "ollama_unavailable": "ollama_unavailable", "server_unreachable": "ollama_unavailable", "http_error": "ollama_unavailable", "model_absent": "ollama_unavailable", "inference_timeout": "inference_timeout", "timeout": "inference_timeout",
+    "invalid_json": "invalid_json", "empty_response": "invalid_json", "schema_violation": "schema_violation", "schema_validation": "schema_violation", "empty_summary": "empty_summary", "queue_timeout": "queue_timeout",
+    "lease_or_queue_timeout": "queue_timeout", "model_mismatch": "model_mismatch", "analysis_exhausted": "analysis_exhausted", "context_too_large": "context_too_large",
+}
+
+
+def cycle_error(code: Column) -> Column:
+    return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in CYCLE_ERRORS.items() for x in kv)), code), F.lit("analysis_failed"))
+
+
+def logged_error(code: Column, message: Column, status: Column, stage: Column) -> Column:
+    """The code under which an error of the model's server is logged."""
+    low = F.lower(F.coalesce(message, F.lit("")))
+    absent = F.contains(low, F.lit("model")) & (F.contains(low, F.lit("not found")) | F.contains(low, F.lit("does not exist")) | F.contains(low, F.lit("pull")))
+    is_ = lambda c, v: F.coalesce(c == v, F.lit(False))
+    return (
+        F.when(absent, "model_absent").when(is_(stage, "timeout") | is_(code, "inference_timeout"), "timeout")
+        .when(is_(stage, "transport") | is_(code, "ollama_unavailable"), F.when(status >= 400, "http_error").otherwise("server_unreachable"))
+        .when(code == "queue_timeout", "lease_or_queue_timeout").when(code == "invalid_json", F.when(F.contains(low, F.lit("empty")), "empty_response").otherwise("invalid_json"))
+        .when(code.isin("schema_violation", "empty_summary"), "schema_validation").otherwise(code)
+    )
 
 
 # The closed sets and budgets of a proposal.

@@ -111,3 +111,22 @@ def listing(rows: DataFrame, order: list, most: int = 50, **equal: str) -> DataF
         if value is not None:
             rows = rows.filter(F.col(column) == value)
     return rows.orderBy(*order).limit(most)
+
+
+def run_error_codes(runs: DataFrame, most: int = 20) -> DataFrame:
+    """(run_id, codes): the first error codes in a run's summary (JSON with errorCodes), texts only; a run that has none but an error message has run_error_message."""
+    listed = F.element_at(F.try_parse_json("summary").try_cast("map<string, variant>"), "errorCodes").try_cast("array<variant>")
+    texts = F.slice(F.filter(F.transform(listed, lambda v: F.when(F.schema_of_variant(v) == "STRING", v.try_cast("string"))), lambda x: x.isNotNull()), 1, most)
+    codes = F.coalesce(texts, F.array().cast("array<string>"))
+    said = F.trim(F.coalesce("error_message", F.lit(""))) != ""
+    return runs.select("run_id", F.when((F.size(codes) == 0) & said, F.array(F.lit("run_error_message"))).otherwise(codes).alias("codes"))
+
+
+def in_backoff(state: DataFrame, now: int) -> DataFrame:
+    """Sources (source_id, next_eligible_at) that may not be fetched yet, those that wait least first."""
+    return state.filter(F.col("next_eligible_at") > now).orderBy("next_eligible_at", "source_id")
+
+
+def lookup(wanted: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """rows by key in the order of wanted (seq, key): as often as asked for, without those that are missing."""
+    return wanted.join(rows, key).orderBy("seq")

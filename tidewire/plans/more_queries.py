@@ -46,21 +46,16 @@ def q_proposal_validate(spark, d):
     return rows.select("id", analysis.proposal_verdict(F.col("raw")).alias("verdict"))
 
 
-@query(f"""WITH {_NAMES}, q AS (SELECT folder_id, string_agg(CASE WHEN url IS NULL THEN name ELSE '[' || name || '](' || url || ')' END, chr(10) ORDER BY place) FILTER (place <= 5) AS s FROM p GROUP BY 1),
-f AS (SELECT l_orderkey AS folder_id, string_agg('• ' || l_returnflag || ': ' || l_linestatus, chr(10) ORDER BY l_returnflag, l_linestatus) AS lines FROM lineitem WHERE l_orderkey < 60 GROUP BY 1)
+@query(f"""WITH {_NAMES}, q AS (SELECT folder_id, string_agg(CASE WHEN url IS NULL THEN name ELSE name || ' — ' || url END, chr(10) ORDER BY place) FILTER (place <= 5) AS s FROM p GROUP BY 1),
+f AS (SELECT l_orderkey AS folder_id, string_agg('• ' || l_returnflag || ': ' || l_linestatus, chr(10) ORDER BY l_returnflag, l_linestatus) AS lines FROM lineitem GROUP BY 1)
 SELECT coalesce(f.folder_id, q.folder_id) AS folder_id, coalesce(lines, 'Nouvelles sources.') AS description, CASE WHEN length(s) > 1024 THEN left(s, 1023) || '…' ELSE s END AS sources FROM f FULL JOIN q ON f.folder_id = q.folder_id""")
 def q_enrichment_payload(spark, d):
-    facts = t.read(spark, d, "lineitem").filter("l_orderkey < 60").select(F.col("l_orderkey").alias("folder_id"), F.col("l_returnflag").alias("key"), F.col("l_linestatus").alias("value"))
+    facts = t.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("folder_id"), F.col("l_returnflag").alias("key"), F.col("l_linestatus").alias("value"))
     return publication.enrichment_message(facts, _prepared(spark, d))
 
 
-@query(f"""WITH {_NAMES}, q AS (SELECT folder_id, string_agg(CASE WHEN url IS NULL THEN name ELSE '[' || name || '](' || url || ')' END, chr(10) ORDER BY place) FILTER (place <= 5) AS s FROM p GROUP BY 1),
-f AS (SELECT l_orderkey AS folder_id, string_agg('• ' || l_returnflag || ': ' || l_linestatus, chr(10) ORDER BY l_returnflag, l_linestatus) AS lines FROM lineitem GROUP BY 1)
-SELECT coalesce(f.folder_id, q.folder_id) AS folder_id, coalesce(lines, 'Nouvelles sources.') AS description, CASE WHEN length(s) > 1024 THEN left(s, 1023) || '…' ELSE s END AS sources FROM f FULL JOIN q ON f.folder_id = q.folder_id""")
-def q_enrichment_payload_all(spark, d):
-    """The messages of every folder; q_enrichment_payload has those of the first orders only."""
-    facts = t.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("folder_id"), F.col("l_returnflag").alias("key"), F.col("l_linestatus").alias("value"))
-    return publication.enrichment_message(facts, _prepared(spark, d))
+#: The name under which the query was first run over the facts of every order.
+QUERIES["q_enrichment_payload_all"], ORACLES["q_enrichment_payload_all"] = QUERIES["q_enrichment_payload"], ORACLES["q_enrichment_payload"]
 
 
 @query("""WITH x AS (SELECT event_id, event_id % 256 AS a, (event_id * 7) % 256 AS b, (event_id * 13) % 256 AS c, event_id % 300 AS e FROM events)

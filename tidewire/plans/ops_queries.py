@@ -307,7 +307,7 @@ def q_sources_prepared(spark, d):
     return _prepared(spark, d).select("folder_id", "name", "url", "place")
 
 
-@query(f"""WITH {_NAMES}, q AS (SELECT folder_id, string_agg(CASE WHEN url IS NULL THEN name ELSE '[' || name || '](' || url || ')' END, chr(10) ORDER BY place) FILTER (place <= 5) AS s, max(place) > 5 AS more FROM p GROUP BY 1)
+@query(f"""WITH {_NAMES}, q AS (SELECT folder_id, string_agg(CASE WHEN url IS NULL THEN name ELSE name || ' — ' || url END, chr(10) ORDER BY place) FILTER (place <= 5) AS s, max(place) > 5 AS more FROM p GROUP BY 1)
 SELECT folder_id, CASE WHEN length(s) > 1024 THEN left(s, 1023) || '…' ELSE s END AS sources, more FROM q""")
 def q_sources_field(spark, d):
     return publication.sources_field(_prepared(spark, d))
@@ -317,7 +317,7 @@ _PLAIN = squash(r"regexp_replace(regexp_replace(text, '</?[a-zA-Z][^>]*>', ' ',
 
 
 @query(rf"""WITH m AS (SELECT doc_id, {squash("split_part(text, chr(10), 1)")} AS ti, trim(regexp_replace(text, '[ \t]+', ' ', 'g'), ' ' || chr(10)) AS s FROM documents),
-n AS (SELECT doc_id, CASE WHEN length(ti) > 256 THEN left(ti, 255) || '…' ELSE ti END AS title, CASE WHEN length(s) > 4096 THEN left(s, 4095) || '…' ELSE s END AS body, 'dossier ' || right('fld_' || lpad(CAST(doc_id AS VARCHAR), 10, '0'), 8) AS footer FROM m)
+n AS (SELECT doc_id, CASE WHEN length(ti) > 256 THEN left(ti, 255) || '…' ELSE ti END AS title, CASE WHEN length(s) > 4096 THEN left(s, 4095) || '…' ELSE s END AS body, 'dossier:' || right('fld_' || lpad(CAST(doc_id AS VARCHAR), 10, '0'), 8) AS footer FROM m)
 SELECT doc_id, title, body AS description, footer, length(title) + length(body) + length(footer) AS chars FROM n""")
 def q_main_payload(spark, d):
     docs = t.read(spark, d, "documents")

@@ -36,13 +36,30 @@ def enabled(registry: DataFrame) -> DataFrame:
     return registry.filter(F.col("reject").isNull() & F.col("enabled")).withColumn("expected_format", F.element_at(F.create_map(*(F.lit(x) for kv in EXPECTED.items() for x in kv)), F.col("provider")))
 
 
-def blocked_address(ip: Column) -> Column:
-    """Whether an IPv4 address is private, reserved or no address; other forms count as blocked."""
-    ok = ip.rlike(r"^(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)$")
+def _blocked_v4(ip: Column) -> Column:
     part = lambda i: F.split(ip, r"\.").getItem(i).cast("int")
     a, b, c = part(0), part(1), part(2)
-    inner = a.isin(0, 10, 127) | (a >= 224) | ((a == 100) & b.between(64, 127)) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 192) & (b == 0) & c.isin(0, 2)) | ((a == 198) & b.isin(18, 19)) | ((a == 198) & (b == 51) & (c == 100)) | ((a == 203) & (b == 0) & (c == 113))
-    return F.when(F.coalesce(ok, F.lit(False)), inner).otherwise(True)
+    return a.isin(0, 10, 127) | (a >= 224) | ((a == 100) & b.between(64, 127)) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 192) & (b == 0) & c.isin(0, 2)) | ((a == 198) & b.isin(18, 19)) | ((a == 198) & (b == 51) & (c == 100)) | ((a == 203) & (b == 0) & (c == 113))
+
+
+def blocked_address(ip: Column) -> Column:
+    """Whether an IPv4 or IPv6 address is local, private, reserved, or no address. An IPv4 address written as an IPv6 one counts as what it is."""
+    octet = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+    four = rf"(?:{octet}\.){{3}}{octet}"
+    mapped = F.regexp_extract(F.lower(ip), rf"^::ffff:({four})$", 1)
+    # groups on both sides of a double colon, which stands for as many zeros as are missing
+    low = F.lower(ip)
+    sides = F.split(low, "::")
+    groups = lambda side: F.filter(F.split(side, ":"), lambda g: g != "")
+    left, right = groups(sides.getItem(0)), F.when(F.size(sides) > 1, groups(sides.getItem(1))).otherwise(F.array().cast("array<string>"))
+    n = F.size(left) + F.size(right)
+    fine = low.rlike("^[0-9a-f:]+$") & ~low.rlike(":::|[0-9a-f]{5}") & ~low.rlike("^:[^:]|[^:]:$") & (((F.size(sides) == 1) & (n == 8)) | ((F.size(sides) == 2) & (n <= 7)))
+    full = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(8 - n, F.lit(0))), right)
+    first = F.conv(F.get(full, 0), 16, 10).cast("int")
+    zeros = F.forall(F.slice(full, 1, 7), lambda g: g.rlike("^0+$")) & F.get(full, 7).rlike("^0*[01]$")
+    six = zeros | first.between(0xFE80, 0xFEBF) | first.between(0xFC00, 0xFDFF) | (first >= 0xFF00)
+    is_ = lambda c: F.coalesce(c, F.lit(False))
+    return F.when(is_(ip.rlike(f"^{four}$")), _blocked_v4(ip)).when(is_(mapped != ""), _blocked_v4(mapped)).when(is_(fine), six).otherwise(True)
 
 
 def local_host(host: Column) -> Column:

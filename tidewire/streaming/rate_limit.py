@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState
@@ -14,24 +15,35 @@ DEFAULT = 5000
 OUT = "actor string, operation string, `at` long, call_id long, accepted boolean"
 
 
-def _accept(calls: pd.DataFrame, last: int | None) -> tuple[list[bool], int | None]:
-    wait = COOLDOWNS.get(calls["operation"].iloc[0], DEFAULT)
-    out = []
-    for at in calls["at"]:
-        ok = last is None or at - last >= wait
-        out.append(ok)
-        last = int(at) if ok else last
+def _accept(calls: pd.DataFrame, last: int | None) -> tuple[np.ndarray, int | None]:
+    """Which of one key's calls, in order, are accepted: from each accepted one the search goes on where its wait ends."""
+    wait, at = COOLDOWNS.get(calls["operation"].iloc[0], DEFAULT), calls["at"].to_numpy()
+    out = np.zeros(len(at), bool)
+    i = 0 if last is None else int(np.searchsorted(at, last + wait))
+    while i < len(at):
+        out[i], last = True, int(at[i])
+        i = int(np.searchsorted(at, last + wait))
     return out, last
 
 
 def limited(calls: DataFrame) -> DataFrame:
-    """accepted for each call (actor, operation, at, call_id) of a table. Rejected calls do not extend the wait."""
-
-    def run(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values(["at", "call_id"])
-        return own.assign(accepted=_accept(own, None)[0])[["actor", "operation", "at", "call_id", "accepted"]]
-
-    return calls.select("actor", "operation", "at", "call_id").groupBy("actor", "operation").applyInPandas(run, OUT)
+    """accepted for each call (actor, operation, at, call_id) of a table. Rejected calls do not extend the wait. A key's calls pass through its task in order and in batches; only the time of the last accepted one is carried on."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, last = None, None
+        for batch in batches:
+            parts = []
+            new = (batch[["actor", "operation"]] != batch[["actor", "operation"]].shift()).any(axis=1).cumsum()
+            for _, own in batch.groupby(new, sort=False):
+                own_key = tuple(own[["actor", "operation"]].iloc[0])
+                accepted, last = _accept(own, last if own_key == key else None)
+                key = own_key
+                parts.append(own.assign(accepted=accepted))
+            if parts:
+                yield pd.concat(parts)
+
+    sorted_calls = calls.select("actor", "operation", "at", "call_id").repartition("actor", "operation").sortWithinPartitions("actor", "operation", "at", "call_id")
+    return sorted_calls.mapInPandas(run, OUT)
 
 
 def limited_stream(calls: DataFrame) -> DataFrame:
