@@ -10,8 +10,8 @@ Two documents link when |A & B| * den >= |A | B| * num. The stages:
 3. Index lists: the prefix entries of each shingle. Lists with one set are skipped at once. Within a list, entries lie by
    set size and position in blocks of STEP, and two blocks whose sizes and positions rule out all their pairs are skipped
    unread; then size, position and bitmap rule out single pairs.
-4. Answer-level skipping: a set that a list shows to be very similar to others gets its answer, the component, from that
-   of its group's first set: it is tied to that one alone, and compared only with sets that its group has not reached.
+4. Answer-level skipping: a set that a list shows to be very similar to others gets its answer, the component, from one of
+   them: it is tied to that one alone, the smallest if it can be, and compared only with sets its group has not reached.
    Ties are verified against the whole sets. Lists over SPLIT entries are dealt out in parts by set; the first sets of the
    parts' groups are grouped in turn. Only lists with a failed tie, and long lists that end in several components, are read
    again; there sets of different components are compared one by one, the largest component of a long list never with itself.
@@ -236,28 +236,30 @@ def _pairs(list_at: np.ndarray, list_n: np.ndarray, n: np.ndarray, pos: np.ndarr
         at = stop
 
 
-def _roots(size: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]], likely: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
-    """For each entry, the first entry that is reached from it by likely pairs. Pairs already connected are not compared."""
-    root = np.arange(size)
+def _forest(rank: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]], likely: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Likely pairs (a, b) that connect the entries as all likely pairs do, one for each entry but the first by rank of each group, and which entries are these first ones. Pairs already connected are not compared."""
+    root, ends = np.arange(len(rank)), [(np.empty(0, np.int64), np.empty(0, np.int64))]
     for a, b in pairs:
-        new = root[a] != root[b]
+        new = root[rank[a]] != root[rank[b]]
         a, b = a[new], b[new]
         keep = likely(a, b)
         a, b = a[keep], b[keep]
         while len(a):
-            ra, rb = root[a], root[b]
+            ra, rb = root[rank[a]], root[rank[b]]
             low, high = np.minimum(ra, rb), np.maximum(ra, rb)
             apart = low < high
-            if not apart.any():
-                break
-            np.minimum.at(root, high[apart], low[apart])
+            a, b, low, high = a[apart], b[apart], low[apart], high[apart]
+            np.minimum.at(root, high, low)
+            joined = np.flatnonzero(root[high] == low)
+            joined = joined[np.unique(high[joined], return_index=True)[1]]
+            ends.append((a[joined], b[joined]))
             while True:
                 up = root[root]
                 if (up == root).all():
                     break
                 root = up
-            a, b = a[apart], b[apart]
-    return root
+    a, b = (np.concatenate(e) for e in zip(*ends))
+    return a, b, root[rank] == rank
 
 
 def _in_whole_lists(batches: Iterator[pa.RecordBatch], rows: int = 8192, size: int = 16 << 20) -> Iterator[pa.Table]:
@@ -292,7 +294,7 @@ FOUND = "a long, b long, token long, n long, pos long, bitmap binary"
 
 
 def _compared(entries: DataFrame, num: int, den: int, ties: bool) -> DataFrame:
-    """From entries with the columns ENTRY, (a, b) to verify: one tie for each entry of a group of likely pairs, or all likely pairs of different groups. Rows with a null b are the entries (of the set a) that stand for a group in a part of a split list."""
+    """From entries with the columns ENTRY, (a, b) to verify: the ties, one for each further entry of a group of likely pairs, or all likely pairs of different groups. Rows with a null b are the entries (of the set a) that stand for a group in a part of a split list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _in_whole_lists(batches):
@@ -307,12 +309,13 @@ def _compared(entries: DataFrame, num: int, den: int, ties: bool) -> DataFrame:
 
             pairs = _pairs(at, count, n, pos, num, den)
             if ties:
-                root = _roots(len(token), pairs, lambda a, b: open_(a, b) & _likely(a, b, n, pos, bitmap, num, den))
-                least = np.full(len(token), np.iinfo(np.int64).max)
-                np.minimum.at(least, root, node)
-                tied = least[root] != node
-                found = [(least[root[tied]], node[tied])]
-                stands = np.flatnonzero(split & ~tied)
+                rank = np.empty(len(token), np.int64)
+                rank[np.lexsort((node, np.repeat(at, count)))] = np.arange(len(token))
+                a, b, first = _forest(rank, pairs, lambda a, b: open_(a, b) & _likely(a, b, n, pos, bitmap, num, den))
+                other = node[a] != node[b]
+                a, b = node[a[other]], node[b[other]]
+                found = [(np.minimum(a, b), np.maximum(a, b))]
+                stands = np.flatnonzero(split & first)
             else:
                 found, stands = [], np.empty(0, np.int64)
                 for a, b in pairs:
