@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 from tidewire.llm import bloom_lm, cube, importance, jaccard, langid, media, pii, spm, vocabulary
 from tidewire.llm.words import WordKeys, shingles, split
@@ -199,6 +200,33 @@ def test_shingle_keys_do_not_depend_on_the_batch():
     assert keys[to[2]] == keys[to[3]] and set(keys[to[0] : to[1]]) <= set(keys[to[4] :])
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_keys_of_a_text_do_not_depend_on_what_was_read_before(seed):
+    r = random.Random(seed)
+    texts = [" ".join(f"w{r.randrange(60)}" for _ in range(r.randrange(1, 50))).encode() for _ in range(12)]
+    counts = Counter(w for t in texts for w in t.split())
+    common = np.sort(np.array([xxhash.xxh3_64_intdigest(w) for w in counts], np.uint64))
+    of = {xxhash.xxh3_64_intdigest(w): n for w, n in counts.items()}
+    counted = np.empty(0, np.uint64), common, np.array([16 * of[int(k)] for k in common], np.int64)
+    fresh = [jaccard.Order(counted, 3)([t])[0].tolist() for t in texts]
+    for limit in (1, 5, 20, 1000):
+        order = jaccard.Order(counted, 3, WordKeys(limit))
+        for i in [r.randrange(len(texts)) for _ in range(60)]:
+            assert order([texts[i]])[0].tolist() == fresh[i]
+
+
+def test_equal_texts_link_after_a_worker_forgot_its_words(spark):
+    second = " the ".join(f"b{i}" for i in range(160_000))
+    docs = spark.createDataFrame([(1, " ".join(f"a{i}" for i in range(150_500))), (2, second), (3, "short text here"), (4, second)], "doc_id long, text string").coalesce(1)
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.join(docs, 3, 9, 10).collect()} == {1: 1, 2: 2, 3: 3, 4: 2}
+
+
+def test_importance_ignores_columns_that_clash(spark):
+    docs = spark.createDataFrame([(i, f"text of {i}", True, False, 1) for i in range(20)], "doc_id long, text string, good boolean, quality boolean, toxic int")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(5)], "doc_id long, quality int, toxic int")
+    assert importance.resample(docs, labels).count() == 20
+
+
 # --- mixing --------------------------------------------------------------------------------------------------------
 
 

@@ -54,7 +54,7 @@ def _counts(docs: DataFrame, targets: DataFrame) -> tuple[np.ndarray, np.ndarray
                     total[kind] += np.bincount(f[f >= 0], minlength=BUCKETS)
         yield pa.record_batch([pa.array(np.arange(BUCKETS)), pa.array(total[0]), pa.array(total[1])], ["feature", "raw", "target"])
 
-    marked = docs.join(F.broadcast(targets.select("doc_id", F.lit(True).alias("good"))), "doc_id", "left").select(F.coalesce("good", F.lit(False)).alias("good"), text_bytes().alias("content"))
+    marked = docs.select("doc_id", "text").join(F.broadcast(targets.select("doc_id", F.lit(True).alias("good"))), "doc_id", "left").select(F.coalesce("good", F.lit(False)).alias("good"), text_bytes().alias("content"))
     rows = marked.mapInArrow(released(run), "feature long, raw long, target long").groupBy("feature").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in rows.collect():

@@ -100,9 +100,10 @@ def _bits(n: np.ndarray) -> np.ndarray:
 class Order:
     """The global order of shingles. Keys in it: a bit for frequent shingles, 6 bits of the words' counts, 57 bits of hash."""
 
-    def __init__(self, counted: tuple[np.ndarray, np.ndarray, np.ndarray], width: int):
+    def __init__(self, counted: tuple[np.ndarray, np.ndarray, np.ndarray], width: int, words: WordKeys | None = None):
         self.frequent, self.common, self.weight = counted
-        self.width, self.words = width, WordKeys()
+        self.width, self.words = width, words or WordKeys()
+        self.generation = self.words.generation
         self.filter = np.zeros(1 << 22, bool)
         self.filter[self.frequent >> U64(41)] = True
         self.known = np.empty(0, np.int64)
@@ -111,8 +112,8 @@ class Order:
         """Keys of the distinct shingles of each text, in order, and their offsets."""
         flat, at = split(texts)
         ids = self.words.lookup(flat)
-        if len(self.known) > len(self.words.keys):
-            self.known = np.empty(0, np.int64)
+        if self.generation != self.words.generation:
+            self.known, self.generation = np.empty(0, np.int64), self.words.generation
         if len(fresh := self.words.keys[len(self.known) :]):
             weight = np.zeros(len(fresh), np.int64)
             if len(self.common):

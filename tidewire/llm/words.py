@@ -19,16 +19,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class WordKeys:
-    """Dense ids and xxh3 keys of the words met so far by one Python worker; forgets all when over limit words."""
+    """Dense ids and xxh3 keys of the words met so far by one Python worker; forgets all when over limit words. What others keep by id holds for one generation."""
 
     def __init__(self, limit: int = 150_000):
-        self.limit = limit
+        self.limit, self.generation = limit, 0
         self._clear()
 
     def _clear(self) -> None:
         self.ids: dict[bytes, int] = defaultdict()
         self.ids.default_factory = self.ids.__len__
         self.keys = np.empty(0, U64)
+        self.generation += 1
 
     def lookup(self, words: list[bytes]) -> np.ndarray:
         if len(self.ids) > self.limit:
@@ -61,7 +62,7 @@ def shingles(keys: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray,
         rolled = mix(rolled + keys[i : i + full] + U64(0x9E3779B97F4A7C15))
     long = np.flatnonzero(n >= width)
     take = np.repeat(at[long] - out_at[long], count[long])
-    where = np.concatenate([np.arange(out_at[i], out_at[i + 1]) for i in long]) if len(long) < 64 else _ranges(out_at[long], count[long])
+    where = _ranges(out_at[long], count[long])
     out[where] = rolled[take + where]
     for i in np.flatnonzero((n > 0) & (n < width)):
         h = np.array([n[i]], U64)
