@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewire.llm import bloom_lm, chat, cube, importance, itq, jaccard, langid, media, pii, spm, warc
+from tidewire.llm import alignment, bloom_lm, chat, cube, importance, itq, jaccard, langid, media, pii, spm, warc
 from tidewire.llm.common import table
 
 
@@ -50,6 +50,10 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.tensors(media.store(table(spark, sf_dir, "documents")))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
 def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages")).drop("url", "verified")
 
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard": op8_jaccard,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_media": op10_media,
+    "op11_alignment": op11_alignment,
     "op13_warc": op13_warc,
 }
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
