@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewire.llm import alignment, bloom_lm, chat, cube, importance, itq, jaccard, langid, media, pii, spm, warc
+from tidewire.llm import alignment, bloom_lm, chat, collocations, cube, importance, itq, jaccard, langid, media, pii, spm, warc
 from tidewire.llm.common import table
 
 
@@ -54,6 +54,10 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages")).drop("url", "verified")
 
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_media": op10_media,
     "op11_alignment": op11_alignment,
+    "op12_collocations": op12_collocations,
     "op13_warc": op13_warc,
 }
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -124,6 +129,23 @@ both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
 reach(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, b.y FROM reach r JOIN both_ways b ON r.y = b.x)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(y) FROM reach WHERE x = d.doc_id) AS component_id
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id""",
+    "op12_collocations": f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS w
+  FROM (SELECT lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents)),
+sized AS (SELECT lang, unnest(flatten(list_transform(range(1, 6), lambda k: list_transform(range(1, len(w) - k + 2), lambda i: w[i : i + k - 1])))) AS g FROM pieces),
+f AS (SELECT lang, g, count(*) AS n FROM sized GROUP BY ALL),
+total AS (SELECT lang, sum(len(w)) AS n FROM pieces GROUP BY lang),
+cand AS (SELECT lang, g, n AS a FROM f WHERE len(g) >= 2 AND n >= 100),
+inner_ AS (SELECT DISTINCT lang, unnest(flatten(list_transform(range(2, len(g)), lambda k: list_transform(range(1, len(g) - k + 2), lambda i: g[i : i + k - 1])))) AS g, a FROM cand),
+kept AS (SELECT * FROM cand c WHERE NOT EXISTS (SELECT 1 FROM inner_ i WHERE i.lang = c.lang AND i.g = c.g AND 100 * i.a >= 100 * c.a)),
+cuts AS (SELECT lang, g, a, unnest(range(1, len(g))) AS k FROM kept),
+scored AS (
+  SELECT c.lang, c.g, c.a, c.k, x.n AS l, y.n AS r, t.n AS n, 1000::HUGEINT * c.a * t.n // (x.n::HUGEINT * y.n) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.g = c.g[1 : c.k] JOIN f y ON y.lang = c.lang AND y.g = c.g[c.k + 1 : len(c.g)] JOIN total t ON t.lang = c.lang),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+ranked AS (SELECT *, array_to_string(g, ' ') AS phrase, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank FROM lowest)
+SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM ranked WHERE rank <= 2000""",
     "op13_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages),
 f AS (SELECT page_id, payload, h, strlen(payload) AS n, min(page_id) OVER (PARTITION BY payload) AS first FROM p)
