@@ -1,3 +1,5 @@
+import hashlib
+
 from pyspark.sql import functions as F
 
 from tidewire.functions.signals import with_signals
@@ -23,6 +25,94 @@ def test_known_matches(spark):
         assert confidence in (None, row["confidence"]), (article, row)
 
 
+def test_motives_and_signals_of_decisions(spark):
+    """All outcomes: thin content, a tie, new facts, no new facts, a weak match, a distinct event, no candidate; by both ways of comparing."""
+    rows = [
+        ("seed", "OpenAI launches GPT-4o", "OpenAI launches GPT-4o.", "https://openai.com/blog/gpt-4o", "S", 10),
+        ("reprint", "OpenAI launches GPT-4o", "OpenAI launches GPT-4o.", "https://press.example/gpt-4o", "E", 15),
+        ("waitlist", "OpenAI launches GPT-4o and opens waitlist", "OpenAI launches GPT-4o and opens a waitlist for access.", "https://news.example/w", "E", 12),
+        ("other", "Anthropic launches Claude 4", "Anthropic launches Claude 4.", "https://anthropic.com/c", "S", 11),
+        ("thin", "why", None, "https://press.example/why", "E", 11),
+        ("theme", "Benchmarks debate around generative AI continues", "Commentators revisit generative AI benchmarks.", "https://press.example/debate", "E", 20),
+    ]
+    frame_ = spark.createDataFrame([(i, "s", tier, t, u, hour * 3_600_000, s, None, ["generative-ai"]) for i, t, s, u, tier, hour in rows], "article_id string, source_id string, source_tier string, title string, url string, published_at long, summary string, content string, categories array<string>")
+    signals = with_signals(frame_).cache()
+    theme = spark.createDataFrame([("fld_theme", "open", 1, ["nobody"], ["generative ai"], ["https://example.com/t"], [], None, None, "other", None, 0)], "folder_id string, status string, last_activity long, entities array<string>, labels array<string>, urls array<string>, keys array<string>, product string, version string, nature string, tier string, date long")
+    signals = signals.withColumn("labels", F.when(F.col("article_id") == "theme", F.array(F.lit("generative ai"))).otherwise(F.col("labels")))
+
+    def prints(*folders):
+        made = spark.createDataFrame([(f, "open", 1) for f in folders], "folder_id string, status string, last_activity long")
+        first = spark.createDataFrame([(f, "seed", 1) for f in folders], "folder_id string, article_id string, attached_at long")
+        return matching.folder_fingerprints(made, first, signals)
+
+    cases = [
+        ("thin", prints("a"), ("ambiguous_no_action", None, "low", ["insufficient_primary_information"], [], ["content_too_thin"])),
+        ("reprint", prints("fld_a", "fld_b"), ("ambiguous_no_action", None, "low", ["multiple_plausible_folders"], None, ["conflicting_candidate_folders"])),
+        ("waitlist", prints("a"), ("attach_enrich", "a", "high", ["same_event", "novel_information"], None, [])),
+        ("reprint", prints("a"), ("duplicate_editorial", "a", "high", ["same_event", "no_novel_information"], None, ["absence_of_new_value"])),
+        ("other", prints("a"), ("create_dossier", None, "none", ["distinct_event", "primary_information"], [], None)),
+        ("seed", prints(), ("create_dossier", None, "none", ["no_credible_candidate", "primary_information"], [], [])),
+        ("theme", theme, ("ambiguous_no_action", "fld_theme", "low", ["low_confidence_match"], ["category_overlap", "temporal_proximity"], ["insufficient_event_identity", "theme_or_category_only"])),
+    ]
+    for article, folders, want in cases:
+        own = signals.filter(F.col("article_id") == article)
+        for row in (matching.decide(own, matching.pairs(own, folders)).first(), matching.resolve(own, folders).first()):
+            got = tuple(row[c] for c in ("issue", "folder_id", "confidence", "motives", "favorable", "unfavorable"))
+            assert all(w is None or g == w for g, w in zip(got[2:], want[2:])) and got[:2] == want[:2], (article, row)
+            assert (row["title"] is not None) == (row["issue"] == "create_dossier") and (row["enrichment"] is not None) == (row["issue"] == "attach_enrich")
+    line = matching.justification(matching.resolve(signals.filter("article_id = 'thin'"), prints("a"))).first()["justification"]
+    assert line == "issue=ambiguous_no_action; confidence=low; folder=none; motives=insufficient_primary_information; favorable=none; unfavorable=content_too_thin"
+
+
+def test_reserving_a_main_message(spark):
+    requests = spark.createDataFrame([(f, f"publish:{f}") for f in "abcdefgh"], "folder_id string, key string")
+    folders = spark.createDataFrame([(f, "closed" if f == "g" else "open") for f in "abcdefg"], "folder_id string, status string")
+    publications = spark.createDataFrame([("a", "pending", None), ("b", "main_published", "m"), ("c", "main_published", "m"), ("d", "partial", None), ("e", "failed", None)], "folder_id string, status string, main_message_id string")
+    attempts = [("a", 1, "succeeded"), ("a", 2, "failed"), ("b", 1, "succeeded"), ("e", 1, "failed"), ("e", 2, "failed"), ("c", 1, "failed")]
+    tried = spark.createDataFrame([(f, "publish", f"publish:{f}", n, s) for f, n, s in attempts], "folder_id string, kind string, key string, attempt_number int, status string")
+    got = {r["folder_id"]: (r["outcome"], r["attempt_number"]) for r in publication.reserve(requests, folders, publications, tried).collect()}
+    assert got == {"a": ("already_succeeded", None), "b": ("already_published", None), "c": ("main_already_reserved_or_exists", None), "d": ("forbidden_status_transition", None), "e": ("reserved", 3), "f": ("reserved", 1), "g": ("folder_closed", None), "h": ("folder_absent", None)}
+
+
+def test_catch_up_takes_members_of_the_sources_alone(spark):
+    folders = spark.createDataFrame([("f", "open"), ("g", "idle"), ("h", "closed"), ("i", "open")], "folder_id string, status string")
+    members = spark.createDataFrame([("f", "a1"), ("f", "a2"), ("f", "a3"), ("g", "a4"), ("h", "a5"), ("i", "a6")], "folder_id string, article_id string")
+    arts = spark.createDataFrame([("a1", "own", 5), ("a2", "other", 5), ("a3", "own", None), ("a4", "own", 99), ("a5", "own", 5), ("a6", "own", 5)], "article_id string, source_id string, published_at long")
+    got = ops.catch_up(folders, members, arts, folders.filter("folder_id = 'i'").select("folder_id"), ["own"], 0, 10)
+    assert sorted(r["article_id"] for r in got.collect()) == ["a1", "a3"]
+
+
+def test_fingerprint_text(spark):
+    """The text that is hashed, spelled out: repeated ids and pairs stay, a pair with one empty side stays, only '=' goes."""
+    folders = spark.createDataFrame([(" f ", "open")], "folder_id string, status string")
+    arts = spark.createDataFrame([(" f ", a) for a in ("b", " a ", "b", " ")], "folder_id string, article_id string")
+    facts = spark.createDataFrame([(" f ", k, v) for k, v in (("v", "2"), ("v", "2"), (" ", " "), ("k", ""), (None, None))], "folder_id string, key string, value string")
+    want = hashlib.sha256(b"folderId=f\narticles=a,b,b\nfacts=k=\nv=2\nv=2\nstatus=open").hexdigest()
+    assert analysis.aggregate_fingerprint(folders, arts, facts).first()["fingerprint"] == want
+
+
+def test_anchoring_of_facts(spark):
+    rows = [(1, "k", "modèle étendu", "explicit", None), (2, "k2", "étendu modèle", "explicit", None), (3, " ", "modèle", "explicit", "not_anchored"), (4, "k4", "modele", "explicit", "not_anchored"), (5, "k5", "modèle", "inferred", "inferred"), (6, "K2 ", "modèle", "explicit", "duplicate"), (7, "k7", " ", "explicit", "not_anchored")]
+    df = spark.createDataFrame([("f", i, k, v, s, "Le Modèle   étendu arrive") for i, k, v, s, _ in rows], "folder_id string, seq int, key string, value string, support string, text string")
+    assert {r["seq"]: r["dropped"] for r in analysis.anchored_facts(df).collect()} == {i: d for i, *_, d in rows}
+
+
+def test_attempts_by_fingerprint(spark):
+    columns = "folder_id string, fingerprint string, attempt_id int, decision string, validation_status string, analyzed_at long, created_at long"
+    rows = [("f", "x", 1, "hold", "accepted", 1, 1), ("f", "x", 2, "hold", "accepted", 2, 2), ("f", "y", 3, "publish", "accepted_with_warnings", 3, 3), ("f", "x", 4, "publish", "rejected", 4, 4)]
+    tried = spark.createDataFrame(rows, columns)
+    assert {(r["fingerprint"], r["attempts"], r["holds"]) for r in analysis.prior_holds(tried).collect()} == {("x", 3, 2), ("y", 1, 0)}
+    asked = spark.createDataFrame([("f", "x"), ("f", "y"), ("g", "y")], "folder_id string, fingerprint string")
+    assert {(r["folder_id"], r["fingerprint"], r["outcome"], r["attempt_id"]) for r in analysis.reuse(asked, tried).collect()} == {("f", "x", "analyse", None), ("f", "y", "reused", 3), ("g", "y", "analyse", None)}
+
+
+def test_attempts_that_break_a_constraint(spark):
+    good = dict(folder_id="f", fingerprint="a" * 64, attempt_number=1, origin="llm", validation_status="accepted_with_warnings", has_proposal=True, has_scoring=True, n_errors=0, decision="publish")
+    cases = [({}, None), ({"origin": None}, None), ({"folder_id": " "}, "folder_missing"), ({"fingerprint": "A"}, "fingerprint_format"), ({"attempt_number": 0}, "attempt_number"), ({"origin": "x"}, "origin"), ({"has_proposal": False}, "accepted_without_proposal"), ({"has_scoring": False}, "accepted_without_scoring"), ({"validation_status": "rejected"}, "rejected_with_scoring"), ({"validation_status": "rejected", "has_scoring": False}, "published_without_acceptance"), ({"validation_status": "rejected", "has_scoring": False, "has_proposal": False}, "rejected_without_error"), ({"validation_status": "rejected", "has_scoring": False, "has_proposal": False, "n_errors": 1, "decision": "hold"}, None)]
+    df = spark.createDataFrame([(*(good | c).values(), i) for i, (c, _) in enumerate(cases)], ", ".join(f"{k} {'boolean' if isinstance(v, bool) else 'int' if isinstance(v, int) else 'string'}" for k, v in good.items()) + ", i int")
+    assert {r["i"]: r["broken"] for r in analysis.violations(df).collect()} == {i: b for i, (_, b) in enumerate(cases) if b}
+
+
 def test_closed_folders_do_not_match(spark):
     signals = with_signals(t.golden(spark))
     folders = spark.createDataFrame([("f", "closed", 1)], "folder_id string, status string, last_activity long")

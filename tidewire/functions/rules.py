@@ -80,12 +80,12 @@ def decision(composite: Column, worthiness: Column, has_main: Column, material:
 
 def channel(composite: Column, impact: Column, category: Column, hint: Column) -> Column:
     major = (composite >= 85) & ((impact >= 80) | category.isin("model_release", "funding_or_corp"))
-    return F.when(major, "annonces_majeures").when((composite >= 70) & (hint == "flux"), "flux").when(composite >= 70, "veille_pertinente").otherwise("none")
+    return F.when(major, "annonces_majeures").when((composite >= 70) & (hint == "flux_ia"), "flux_ia").when(composite >= 70, "veille_pertinente").otherwise("none")
 
 
 def material(kind: Column, keys: Column, previous: Column, tier: Column, accepted_tier: Column) -> Column:
-    """Whether an enrichment matters: by its type, by a fact key not known before, or by a better tier than the last accepted."""
-    plain = lambda a: F.transform(a, lambda k: F.lower(F.btrim(k)))
+    """Whether an enrichment matters: by its type, by a fact key (not a blank one) not known before, or by a better tier than the last accepted."""
+    plain = lambda a: F.filter(F.transform(a, lambda k: F.lower(F.btrim(k))), lambda k: k != "")
     return F.coalesce(kind.isin(*MATERIAL_TYPES), F.lit(False)) | (F.size(F.array_except(plain(keys), plain(previous))) > 0) | F.coalesce(tier_rank(tier) > tier_rank(accepted_tier), F.lit(False))
 
 

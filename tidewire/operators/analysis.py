@@ -11,16 +11,21 @@ from tidewire.operators.common import latest_by
 
 # Characters of an article, of the facts and of a whole context.
 ARTICLE_CHARS, FACT_CHARS, CONTEXT_CHARS = 3000, 2000, 12000
+# Characters of a token that anchors a fact; validation states that count as accepted; origins of a proposal.
+TOKEN = "a-z0-9àâäéèêëïîôùûüçœæ"
+ACCEPTED = ("accepted", "accepted_with_warnings")
+ORIGINS = ("llm", "llm_analysis", "deterministic_fallback")
 
 
 def aggregate_fingerprint(folders: DataFrame, articles: DataFrame, facts: DataFrame) -> DataFrame:
-    """(folder_id, fingerprint): SHA-256 over a folder's articles, facts and status, whatever order they come in."""
-    ids = articles.filter(F.trim("article_id") != "").groupBy("folder_id").agg(F.array_join(F.array_sort(F.collect_set("article_id")), ",").alias("ids"))
-    pair = F.concat(F.trim("key"), F.lit("="), F.trim("value"))
-    known = facts.filter((F.trim("key") != "") & (F.trim("value") != "")).groupBy("folder_id").agg(F.array_join(F.array_sort(F.collect_set(pair)), "\n").alias("known"))
+    """(folder_id, fingerprint): SHA-256 over a folder's articles, facts and status, whatever order they come in. What is repeated counts each time; blank ids and pairs with two empty sides count not at all."""
+    sorted_ = lambda c, by: F.array_join(F.array_sort(F.collect_list(c)), by)
+    ids = articles.select("folder_id", F.trim("article_id").alias("id")).filter("id <> ''").groupBy("folder_id").agg(sorted_("id", ",").alias("ids"))
+    side = lambda c: F.coalesce(F.trim(c), F.lit(""))
+    known = facts.select("folder_id", F.concat(side("key"), F.lit("="), side("value")).alias("pair")).filter("pair <> '='").groupBy("folder_id").agg(sorted_("pair", "\n").alias("known"))
     all_ = folders.join(ids, "folder_id", "left").join(known, "folder_id", "left")
     line = lambda name, c: F.concat(F.lit(f"{name}="), F.coalesce(c, F.lit("")))
-    return all_.select("folder_id", F.sha2(F.concat_ws("\n", line("folderId", F.col("folder_id")), line("articles", F.col("ids")), line("facts", F.col("known")), line("status", F.col("status"))), 256).alias("fingerprint"))
+    return all_.select("folder_id", F.sha2(F.concat_ws("\n", line("folderId", F.trim("folder_id")), line("articles", F.col("ids")), line("facts", F.col("known")), line("status", F.col("status"))), 256).alias("fingerprint"))
 
 
 def folder_tier(articles: DataFrame) -> DataFrame:
@@ -31,9 +36,9 @@ def anchored_facts(rows: DataFrame) -> DataFrame:
     """Facts (folder_id, seq, key, value, support) found in the folder's text: kept, or why dropped. Each key counts once, the first one."""
     plain = lambda c: F.btrim(F.regexp_replace(F.lower(c), r"\s+", " "), F.lit(" "))
     hay, value = plain(F.col("text")), plain(F.col("value"))
-    tokens = F.filter(F.split(F.regexp_replace(value, "[^a-z0-9]+", " "), " "), lambda t: F.length(t) >= 3)
+    tokens = F.filter(F.split(F.regexp_replace(value, f"[^{TOKEN}]+", " "), " "), lambda t: F.length(t) >= 3)
     spoken = (F.size(tokens) > 0) & F.forall(tokens, lambda t: F.contains(hay, t))
-    found = (F.contains(hay, value) & (value != "")) | spoken
+    found = (F.trim("key") != "") & ((F.contains(hay, value) & (value != "")) | spoken)
     verdict = F.when(F.col("support") == "inferred", "inferred").when(~found, "not_anchored")
     first = F.row_number().over(Window.partitionBy("folder_id", F.lower(F.trim("key"))).orderBy(F.col("dropped").isNotNull(), "seq"))
     return rows.withColumn("dropped", verdict).withColumn("dropped", F.when(F.col("dropped").isNull() & (first > 1), "duplicate").otherwise(F.col("dropped"))).drop("text")
@@ -64,23 +69,28 @@ def latest_attempt(attempts: DataFrame) -> DataFrame:
 
 
 def prior_holds(attempts: DataFrame) -> DataFrame:
-    return attempts.groupBy("folder_id").agg(F.count("*").alias("attempts"), F.count_if(F.col("decision") == "hold").alias("holds"))
+    """Attempts and holds of each fingerprint: what was held before a dossier changed does not count."""
+    return attempts.groupBy("folder_id", "fingerprint").agg(F.count("*").alias("attempts"), F.count_if(F.col("decision") == "hold").alias("holds"))
 
 
 def reuse(requests: DataFrame, attempts: DataFrame) -> DataFrame:
     """Which requests (folder_id, fingerprint) are answered by their latest accepted attempt with a final decision."""
-    final = latest_by(attempts.filter("validation_status = 'accepted'"), ["folder_id", "fingerprint"], "analyzed_at", "created_at", "attempt_id").filter(F.col("decision").isin("publish", "enrich_thread_only", "reject_editorial"))
+    final = latest_by(attempts.filter(F.col("validation_status").isin(*ACCEPTED)), ["folder_id", "fingerprint"], "analyzed_at", "created_at", "attempt_id").filter(F.col("decision").isin("publish", "enrich_thread_only", "reject_editorial"))
     return requests.join(final.select("folder_id", "fingerprint", "attempt_id", "decision"), ["folder_id", "fingerprint"], "left").withColumn("outcome", F.when(F.col("attempt_id").isNotNull(), "reused").otherwise("analyse"))
 
 
 def violations(attempts: DataFrame) -> DataFrame:
-    """Attempts that break a constraint, with the first one broken."""
+    """Attempts (folder_id, fingerprint, attempt_number, origin, validation_status, has_proposal, has_scoring, n_errors, decision) that break a constraint, with the first one broken. An origin may be absent."""
+    accepted, rejected = F.col("validation_status").isin(*ACCEPTED), F.col("validation_status") == "rejected"
     broken = (
-        F.when((F.col("validation_status") == "accepted") & (F.col("has_proposal") == False), "accepted_without_proposal")  # noqa: E712
-        .when((F.col("validation_status") == "rejected") & F.col("has_scoring"), "rejected_with_scoring")
-        .when(F.col("decision").isin("publish", "enrich_thread_only") & (F.col("validation_status") != "accepted"), "published_without_acceptance")
-        .when(~F.col("fingerprint").rlike("^[0-9a-f]{64}$"), "fingerprint_format")
-    )
+        F.when(F.coalesce(F.trim(F.col("folder_id").cast("string")), F.lit("")) == "", "folder_missing")
+        .when(~F.coalesce(F.col("fingerprint").rlike("^[0-9a-f]{64}$"), F.lit(False)), "fingerprint_format")
+        .when(~F.coalesce(F.col("attempt_number") > 0, F.lit(False)), "attempt_number")
+        .when(~F.coalesce(F.col("origin").isin(*ORIGINS), F.lit(True)), "origin")
+        .when(accepted & ~F.col("has_proposal"), "accepted_without_proposal").when(accepted & ~F.col("has_scoring"), "accepted_without_scoring")
+        .when(rejected & F.col("has_scoring"), "rejected_with_scoring").when(rejected & ~F.col("has_proposal") & (F.col("n_errors") == 0), "rejected_without_error")
+        .when(F.col("decision").isin("publish", "enrich_thread_only") & ~accepted, "published_without_acceptance")
+    )
     return attempts.withColumn("broken", broken).filter("broken is not null")
 
 

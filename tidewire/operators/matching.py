@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewire.functions.signals import FAVORABLE, UNFAVORABLE, compare, named, novel_keys, with_signals
+from tidewire.functions.signals import FAVORABLE, UNFAVORABLE, compare, enrichment_type, named, novel_keys, with_signals
+from tidewire.functions.text import collapse
 from tidewire.operators.common import few
 from tidewire.storage import materialize
 
@@ -75,7 +76,7 @@ def pairs(articles: DataFrame, fingerprints: DataFrame) -> DataFrame:
 
 
 def decide(articles: DataFrame, compared: DataFrame) -> DataFrame:
-    """issue, folder_id, confidence, motive, favorable, unfavorable and facts of each article, from pairs().
+    """issue, folder_id, confidence, motives, favorable, unfavorable, facts, enrichment and title of each article, from pairs().
 
     Thin content comes first, then a tie of the best folders, the best folder (with or without novel facts), a weak match, and
     a new dossier last. One grouped aggregate over the pairs; no pair is sorted.
@@ -114,18 +115,20 @@ def _outcome(e: DataFrame) -> DataFrame:
     novel = F.size("top.novel") > 0
     when = lambda thin, tie, new, old, weak, create: F.when(~F.col("primary"), thin).when(has_top & tied, tie).when(has_top & novel, new).when(has_top, old).when(has_weak, weak).otherwise(create)
     lit, level = F.lit, F.when(F.col("top.l") == -3, "high").otherwise("medium")
-    one = lambda x: F.array(F.lit(x))
+    one = lambda *xs: F.array(*(F.lit(x) for x in xs))
     add = lambda xs, x: F.array_sort(F.array_distinct(F.concat(xs, one(x))))
     blocked = F.coalesce("any_blocked", lit(False))
     return e.select(
         "article_id",
         when(lit("ambiguous_no_action"), lit("ambiguous_no_action"), lit("attach_enrich"), lit("duplicate_editorial"), lit("ambiguous_no_action"), lit("create_dossier")).alias("issue"),
         when(lit(None), lit(None), F.col("top.folder_id"), F.col("top.folder_id"), F.col("weak.folder_id"), lit(None)).alias("folder_id"),
-        when(lit("low"), level, level, level, lit("low"), lit("none")).alias("confidence"),
-        when(lit("insufficient_primary_information"), lit("multiple_plausible_folders"), lit("novel_information"), lit("no_novel_information"), lit("low_confidence_match"), F.when(blocked, "distinct_event").otherwise("no_credible_candidate")).alias("motive"),
+        when(lit("low"), lit("low"), level, level, lit("low"), lit("none")).alias("confidence"),
+        when(one("insufficient_primary_information"), one("multiple_plausible_folders"), one("same_event", "novel_information"), one("same_event", "no_novel_information"), one("low_confidence_match"), F.when(blocked, one("distinct_event", "primary_information")).otherwise(one("no_credible_candidate", "primary_information"))).alias("motives"),
         when(none, tied_favorable, F.col("top.favorable"), F.col("top.favorable"), F.col("weak.favorable"), none).alias("favorable"),
-        when(none, one("conflicting_candidate_folders"), F.col("top.unfavorable"), add(F.col("top.unfavorable"), "absence_of_new_value"), add(F.col("weak.unfavorable"), "insufficient_event_identity"), F.coalesce("barred", none)).alias("unfavorable"),
+        when(one("content_too_thin"), one("conflicting_candidate_folders"), F.col("top.unfavorable"), add(F.col("top.unfavorable"), "absence_of_new_value"), add(F.col("weak.unfavorable"), "insufficient_event_identity"), F.coalesce("barred", none)).alias("unfavorable"),
         when(none, none, F.col("top.novel"), none, none, none).alias("facts"),
+        when(lit(None), lit(None), enrichment_type(F.col("nature"), F.col("top.novel")), lit(None), lit(None), lit(None)).alias("enrichment"),
+        when(lit(None), lit(None), lit(None), lit(None), lit(None), collapse(F.col("title"))).alias("title"),
     )
 
 
@@ -133,7 +136,7 @@ def justification(decisions: DataFrame) -> DataFrame:
     """decisions with the line that explains each."""
     listed = lambda c: F.coalesce(F.nullif(F.array_join(c, ","), F.lit("")), F.lit("none"))
     part = lambda name, c: F.concat(F.lit(f"{name}="), c)
-    return decisions.withColumn("justification", F.concat_ws("; ", part("issue", F.col("issue")), part("confidence", F.col("confidence")), part("folder", F.coalesce("folder_id", F.lit("none"))), part("motives", F.col("motive")), part("favorable", listed("favorable")), part("unfavorable", listed("unfavorable"))))
+    return decisions.withColumn("justification", F.concat_ws("; ", part("issue", F.col("issue")), part("confidence", F.col("confidence")), part("folder", F.coalesce("folder_id", F.lit("none"))), part("motives", F.array_join("motives", ",")), part("favorable", listed("favorable")), part("unfavorable", listed("unfavorable"))))
 
 
 def violations(decisions: DataFrame, folders: DataFrame) -> DataFrame:

@@ -53,10 +53,9 @@ def interventions(parts: list[DataFrame], most: int = 25) -> DataFrame:
 
 
 def catch_up(folders: DataFrame, members: DataFrame, articles: DataFrame, published: DataFrame, sources: list[str], since: int, until: int) -> DataFrame:
-    """Members of open dossiers that have an article of one of the sources and no main message; articles without a date pass."""
-    wanted = members.join(articles.filter(F.col("source_id").isin(*sources)), "article_id", "left_semi").select("folder_id").distinct()
-    open_ = folders.filter(F.col("status").isin("open", "idle")).join(wanted, "folder_id", "left_semi").join(published, "folder_id", "left_anti")
-    dated = articles.filter(F.col("published_at").isNull() | F.col("published_at").between(since, until))
+    """Members of the sources in open dossiers without a main message; articles without a date pass."""
+    open_ = folders.filter(F.col("status").isin("open", "idle")).join(published, "folder_id", "left_anti")
+    dated = articles.filter(F.col("source_id").isin(*sources) & (F.col("published_at").isNull() | F.col("published_at").between(since, until)))
     return open_.select("folder_id").join(members, "folder_id").join(dated.select("article_id", "source_id", "published_at"), "article_id").select("folder_id", "article_id", "source_id")
 
 

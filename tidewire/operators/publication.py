@@ -39,12 +39,27 @@ def claimable(attempts: DataFrame, holder: str, now: int) -> DataFrame:
     return attempts.filter((F.col("status") == "reserved") & free)
 
 
-def reserve(requests: DataFrame, publications: DataFrame, attempts: DataFrame) -> DataFrame:
-    """Outcome of reserving each request (folder_id, key): a hit on what was done before, or the number of a new attempt."""
-    top = attempts.groupBy("key").agg(F.max("attempt_number").alias("last"), F.max_by("status", "attempt_number").alias("last_status"))
-    joined = requests.join(publications.select("folder_id", F.col("status").alias("state")), "folder_id", "left").join(top, "key", "left")
-    hit = F.when(F.col("state").isin("main_published", "partial", "inconsistent"), "already_published").when(F.col("last_status") == "succeeded", "already_succeeded").when(F.col("last_status") == "reserved", "already_reserved")
-    return joined.select("folder_id", "key", F.coalesce(hit, F.lit("reserved")).alias("outcome"), F.when(hit.isNull(), F.coalesce("last", F.lit(0)) + 1).cast("long").alias("attempt_number"))
+def reserve(requests: DataFrame, folders: DataFrame, publications: DataFrame, attempts: DataFrame) -> DataFrame:
+    """Outcome of reserving the main message of each request (folder_id, key): why not, a hit on what was done before, or reserved with the number of the new attempt.
+
+    folders: folder_id, status; publications: folder_id, status, main_message_id; attempts: folder_id, kind, key,
+    attempt_number, status. Any attempt of the key that is reserved or succeeded is a hit, whatever failed after it; a
+    dossier without a publication gets one.
+    """
+    live = F.when(F.col("status").isin("reserved", "succeeded"), F.struct("attempt_number", "status"))
+    top = attempts.groupBy("key").agg(F.max("attempt_number").alias("last"), F.max(live).alias("active"), F.bool_or(F.col("status") == "succeeded").alias("done"))
+    waiting = attempts.filter("kind = 'publish' and status = 'reserved'").select("folder_id", F.lit(True).alias("waiting")).distinct()
+    state = publications.select("folder_id", F.col("status").alias("state"), "main_message_id")
+    e = requests.join(folders.select("folder_id", F.col("status").alias("folder_status")), "folder_id", "left").join(state, "folder_id", "left").join(top, "key", "left").join(waiting, "folder_id", "left")
+    before = F.coalesce("state", F.lit("none"))
+    why = (
+        F.when(F.col("folder_status").isNull(), "folder_absent").when(F.col("folder_status") == "closed", "folder_closed")
+        .when(_has_main("state", "main_message_id"), F.when(F.col("done"), "already_published").otherwise("main_already_reserved_or_exists"))
+        .when(F.col("active.status") == "succeeded", "already_succeeded").when(F.col("active.status") == "reserved", "already_reserved")
+        .when((before == "pending") & F.col("waiting"), "already_reserved")
+        .when((before != "pending") & ~transition_allowed(before, F.lit("pending")), "forbidden_status_transition").otherwise("reserved")
+    )
+    return e.withColumn("outcome", why).select("folder_id", "key", "outcome", F.when(F.col("outcome") == "reserved", F.coalesce("last", F.lit(0)) + 1).cast("long").alias("attempt_number"))
 
 
 def prepared_sources(sources: DataFrame) -> DataFrame:

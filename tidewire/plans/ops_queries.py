@@ -101,11 +101,11 @@ def q_article_rejects(spark, d):
 
 
 @query("""SELECT CAST(o_orderkey AS VARCHAR) AS folder_id, sha256('folderId=' || o_orderkey || chr(10) || 'articles=' || coalesce(a, '') || chr(10) || 'facts=' || coalesce(f, '') || chr(10) || 'status=' || o_orderstatus) AS fingerprint
-  FROM orders LEFT JOIN (SELECT l_orderkey, array_to_string(list_sort(list_distinct(list(CAST(l_partkey AS VARCHAR)))), ',') AS a, array_to_string(list_sort(list_distinct(list(l_returnflag || '=' || l_linestatus))), chr(10)) AS f FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""")
+  FROM orders LEFT JOIN (SELECT l_orderkey, array_to_string(list_sort(list(CAST(l_partkey AS VARCHAR))), ',') AS a, array_to_string(list_sort(list(CASE WHEN l_linenumber = 4 THEN '' ELSE l_returnflag END || '=' || l_linestatus)), chr(10)) AS f FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""")
 def q_aggregate_fingerprint(spark, d):
     o, l = t.read(spark, d, "orders"), t.read(spark, d, "lineitem")
     key = F.col("l_orderkey").cast("string").alias("folder_id")
-    return analysis.aggregate_fingerprint(o.select(F.col("o_orderkey").cast("string").alias("folder_id"), F.col("o_orderstatus").alias("status")), l.select(key, F.col("l_partkey").cast("string").alias("article_id")), l.select(key, F.col("l_returnflag").alias("key"), F.col("l_linestatus").alias("value")))
+    return analysis.aggregate_fingerprint(o.select(F.col("o_orderkey").cast("string").alias("folder_id"), F.col("o_orderstatus").alias("status")), l.select(key, F.concat(F.lit(" "), F.col("l_partkey").cast("string")).alias("article_id")), l.select(key, F.when(F.col("l_linenumber") != 4, F.col("l_returnflag")).alias("key"), F.col("l_linestatus").alias("value")))
 
 
 @query("SELECT l_orderkey AS folder_id, ['S','A','B','C','D','E'][min(1 + l_partkey % 6)] AS tier FROM lineitem GROUP BY 1")
@@ -137,21 +137,21 @@ def q_decision(spark, d):
     return _scored(spark, d).select("o", "n", R.decision(c("s.composite"), modulo("o", "high", "medium", "low", "none"), c("n") % 2 == 0, c("o") % 3 == 0, c("n") % 3, c("o") % 4).alias("decision"))
 
 
-@query(f"""WITH {_SCORED}, x AS (SELECT *, ['model_release','other','funding_or_corp'][1 + o % 3] AS cat, ['flux','none'][1 + n % 2] AS hint FROM se)
-SELECT CASE WHEN comp >= 85 AND (ei >= 80 OR cat IN ('model_release','funding_or_corp')) THEN 'annonces_majeures' WHEN comp >= 70 AND hint = 'flux' THEN 'flux' WHEN comp >= 70 THEN 'veille_pertinente' ELSE 'none' END AS channel, count(*) AS lines FROM x GROUP BY 1""")
+@query(f"""WITH {_SCORED}, x AS (SELECT *, ['model_release','other','funding_or_corp'][1 + o % 3] AS cat, ['flux_ia','none'][1 + n % 2] AS hint FROM se)
+SELECT CASE WHEN comp >= 85 AND (ei >= 80 OR cat IN ('model_release','funding_or_corp')) THEN 'annonces_majeures' WHEN comp >= 70 AND hint = 'flux_ia' THEN 'flux_ia' WHEN comp >= 70 THEN 'veille_pertinente' ELSE 'none' END AS channel, count(*) AS lines FROM x GROUP BY 1""")
 def q_channel(spark, d):
     c = F.col
-    ch = R.channel(c("s.composite"), c("s.impact"), modulo("o", "model_release", "other", "funding_or_corp"), modulo("n", "flux", "none"))
+    ch = R.channel(c("s.composite"), c("s.impact"), modulo("o", "model_release", "other", "funding_or_corp"), modulo("n", "flux_ia", "none"))
     return _scored(spark, d).groupBy(ch.alias("channel")).agg(F.count("*").alias("lines"))
 
 
-@query("""WITH x AS (SELECT l_orderkey AS o, l_linenumber AS n, ['fact_update','correction','version','availability'][1 + l_orderkey % 4] AS kind, 'K' || (l_partkey % 5) AS k, 'k' || (l_suppkey % 5) AS prev, 1 + l_partkey % 6 AS tier, 1 + l_suppkey % 6 AS old,
+@query("""WITH x AS (SELECT l_orderkey AS o, l_linenumber AS n, ['fact_update','correction','version','availability'][1 + l_orderkey % 4] AS kind, 'K' || (l_partkey % 5) AS k, 'k' || (l_suppkey % 5) AS prev, l_partkey % 7 <> 0 AS k7, 1 + l_partkey % 6 AS tier, 1 + l_suppkey % 6 AS old,
   ['open','idle','closed'][1 + l_orderkey % 3] AS status, ['create_dossier','attach_enrich','duplicate_editorial','ambiguous_no_action'][1 + (l_orderkey + l_linenumber) % 4] AS issue FROM lineitem),
-y AS (SELECT *, kind IN ('correction','availability') OR lower(k) <> prev OR tier < old AS mat FROM x)
+y AS (SELECT *, kind IN ('correction','availability') OR (l.k7 AND lower(k) <> prev) OR tier < old AS mat FROM x l)
 SELECT o, n, mat AS material, CASE WHEN status = 'closed' THEN 'skip_closed' WHEN issue IN ('duplicate_editorial','ambiguous_no_action') THEN 'skip_issue' WHEN issue = 'create_dossier' OR mat THEN 'analyse' ELSE 'skip_not_material' END AS outcome FROM y""")
 def q_eligibility(spark, d):
     l = t.read(spark, d, "lineitem").withColumn("on", F.col("l_orderkey") + F.col("l_linenumber"))
-    mat = R.material(modulo("l_orderkey", "fact_update", "correction", "version", "availability"), F.array(F.concat(F.lit(" K"), (F.col("l_partkey") % 5).cast("string"))), F.array(F.concat(F.lit("k"), (F.col("l_suppkey") % 5).cast("string"))), modulo("l_partkey", *"SABCDE"), modulo("l_suppkey", *"SABCDE"))
+    mat = R.material(modulo("l_orderkey", "fact_update", "correction", "version", "availability"), F.array(F.when(F.col("l_partkey") % 7 == 0, " ").otherwise(F.concat(F.lit(" K"), (F.col("l_partkey") % 5).cast("string")))), F.array(F.concat(F.lit("k"), (F.col("l_suppkey") % 5).cast("string"))), modulo("l_partkey", *"SABCDE"), modulo("l_suppkey", *"SABCDE"))
     out = R.eligibility(modulo("l_orderkey", "open", "idle", "closed"), modulo("on", "create_dossier", "attach_enrich", "duplicate_editorial", "ambiguous_no_action"), F.col("material"))
     return l.withColumn("material", mat).select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n"), "material", out.alias("outcome"))
 
@@ -180,17 +180,17 @@ def q_fallback(spark, d):
     return _ruled(spark, d).select("article_id", R.announcement_rule(F.col("txt"), F.col("source_id"), F.col("source_tier"), F.length("title") % 5 == 0).alias("rule"))
 
 
-_FACTED = r"""f AS (SELECT doc_id AS folder_id, i AS seq, 'key' || (i % 3) AS key, CASE WHEN i % 2 = 0 THEN regexp_extract(text, '([A-Za-z]+)', 1) ELSE 'zz' || regexp_extract(text, '([A-Za-z]+)', 1) END AS value, CASE WHEN (doc_id + i) % 5 = 0 THEN 'inferred' ELSE 'explicit' END AS support,
+_FACTED = r"""f AS (SELECT doc_id AS folder_id, i AS seq, CASE WHEN (doc_id + i) % 7 = 0 THEN ' ' ELSE 'key' || (i % 3) END AS key, CASE WHEN i % 2 = 0 THEN regexp_extract(text, '([A-Za-z]+)', 1) ELSE 'zz' || regexp_extract(text, '([A-Za-z]+)', 1) END AS value, CASE WHEN (doc_id + i) % 5 = 0 THEN 'inferred' ELSE 'explicit' END AS support,
   trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS hay FROM documents, range(1, 6) r(i)),
-g AS (SELECT *, trim(lower(value)) AS v, list_filter(string_split(regexp_replace(lower(value), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: length(x) >= 3) AS toks FROM f),
-h AS (SELECT *, CASE WHEN support = 'inferred' THEN 'inferred' WHEN NOT ((contains(hay, v) AND v <> '') OR (len(toks) > 0 AND len(list_filter(toks, lambda x: NOT contains(hay, x))) = 0)) THEN 'not_anchored' END AS d0 FROM g)"""
+g AS (SELECT *, trim(lower(value)) AS v, list_filter(string_split(regexp_replace(lower(value), '[^a-z0-9àâäéèêëïîôùûüçœæ]+', ' ', 'g'), ' '), lambda x: length(x) >= 3) AS toks FROM f),
+h AS (SELECT *, CASE WHEN support = 'inferred' THEN 'inferred' WHEN trim(key) = '' OR NOT ((contains(hay, v) AND v <> '') OR (len(toks) > 0 AND len(list_filter(toks, lambda x: NOT contains(hay, x))) = 0)) THEN 'not_anchored' END AS d0 FROM g)"""
 
 
 @query(f"WITH {_FACTED} SELECT folder_id, seq, CASE WHEN d0 IS NULL AND row_number() OVER (PARTITION BY folder_id, lower(key) ORDER BY d0 IS NOT NULL, seq) > 1 THEN 'duplicate' ELSE d0 END AS dropped FROM h")
 def q_fact_anchor(spark, d):
     docs = t.read(spark, d, "documents").select("doc_id", "text", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(5).cast("long"))).alias("i"))
     word = F.regexp_extract("text", "([A-Za-z]+)", 1)
-    rows = docs.select(F.col("doc_id").alias("folder_id"), F.col("i").alias("seq"), F.concat(F.lit("key"), (F.col("i") % 3).cast("string")).alias("key"), F.when(F.col("i") % 2 == 0, word).otherwise(F.concat(F.lit("zz"), word)).alias("value"), F.when((F.col("doc_id") + F.col("i")) % 5 == 0, "inferred").otherwise("explicit").alias("support"), "text")
+    rows = docs.select(F.col("doc_id").alias("folder_id"), F.col("i").alias("seq"), F.when((F.col("doc_id") + F.col("i")) % 7 == 0, " ").otherwise(F.concat(F.lit("key"), (F.col("i") % 3).cast("string"))).alias("key"), F.when(F.col("i") % 2 == 0, word).otherwise(F.concat(F.lit("zz"), word)).alias("value"), F.when((F.col("doc_id") + F.col("i")) % 5 == 0, "inferred").otherwise("explicit").alias("support"), "text")
     return analysis.anchored_facts(rows).select("folder_id", "seq", "dropped")
 
 
@@ -214,22 +214,26 @@ def q_attempt_number(spark, d):
     return analysis.attempt_numbers(a.filter("attempt_id >= 5000"), a.filter("attempt_id < 5000")).select("attempt_id", "attempt_number")
 
 
-@query(f"WITH {t.ATTEMPTS_SQL} SELECT folder_id, count(*) AS attempts, count(*) FILTER (decision = 'hold') AS holds FROM att GROUP BY 1")
+@query(f"WITH {t.ATTEMPTS_SQL} SELECT folder_id, fingerprint, count(*) AS attempts, count(*) FILTER (decision = 'hold') AS holds FROM att GROUP BY ALL")
 def q_prior_holds(spark, d):
     return analysis.prior_holds(t.attempts(spark, d))
 
 
-@query(f"""WITH {t.ATTEMPTS_SQL}, l AS (SELECT * FROM att WHERE validation_status = 'accepted' QUALIFY row_number() OVER (PARTITION BY folder_id, fingerprint ORDER BY analyzed_at DESC, attempt_id DESC) = 1)
+@query(f"""WITH {t.ATTEMPTS_SQL}, l AS (SELECT * FROM att WHERE validation_status <> 'rejected' QUALIFY row_number() OVER (PARTITION BY folder_id, fingerprint ORDER BY analyzed_at DESC, attempt_id DESC) = 1)
 SELECT r.folder_id, r.fingerprint, l.attempt_id, CASE WHEN l.attempt_id IS NULL THEN 'analyse' ELSE 'reused' END AS outcome FROM (SELECT DISTINCT folder_id, fingerprint FROM att) r LEFT JOIN l ON l.folder_id = r.folder_id AND l.fingerprint = r.fingerprint AND l.decision <> 'hold'""")
 def q_reuse(spark, d):
     a = t.attempts(spark, d)
     return analysis.reuse(a.select("folder_id", "fingerprint").distinct(), a).select("folder_id", "fingerprint", "attempt_id", "outcome")
 
 
-@query(f"""WITH {t.ATTEMPTS_SQL}, b AS (SELECT attempt_id, CASE WHEN validation_status = 'accepted' AND attempt_id % 11 = 0 THEN 'accepted_without_proposal' WHEN validation_status = 'rejected' AND attempt_id % 13 = 0 THEN 'rejected_with_scoring'
-  WHEN decision IN ('publish', 'enrich_thread_only') AND validation_status <> 'accepted' THEN 'published_without_acceptance' WHEN attempt_id % 17 = 0 THEN 'fingerprint_format' END AS broken FROM att) SELECT * FROM b WHERE broken IS NOT NULL""")
+@query(f"""WITH {t.ATTEMPTS_SQL}, b AS (SELECT attempt_id, CASE WHEN attempt_id % 17 = 0 THEN 'fingerprint_format' WHEN attempt_id % 31 = 0 THEN 'attempt_number' WHEN attempt_id % 19 = 0 THEN 'origin'
+  WHEN validation_status <> 'rejected' AND attempt_id % 11 = 0 THEN 'accepted_without_proposal' WHEN validation_status <> 'rejected' AND attempt_id % 13 = 0 THEN 'accepted_without_scoring'
+  WHEN validation_status = 'rejected' AND attempt_id % 13 = 0 THEN 'rejected_with_scoring' WHEN validation_status = 'rejected' AND attempt_id % 11 = 0 AND attempt_id % 2 = 0 THEN 'rejected_without_error'
+  WHEN decision IN ('publish', 'enrich_thread_only') AND validation_status = 'rejected' THEN 'published_without_acceptance' END AS broken FROM att) SELECT * FROM b WHERE broken IS NOT NULL""")
 def q_attempt_violations(spark, d):
-    a = t.attempts(spark, d).withColumns({"has_proposal": F.col("attempt_id") % 11 != 0, "has_scoring": F.col("attempt_id") % 13 == 0, "fingerprint": F.when(F.col("attempt_id") % 17 == 0, "short").otherwise(F.sha2(F.col("fingerprint"), 256))})
+    i, rejected = F.col("attempt_id"), F.col("validation_status") == "rejected"
+    made = {"has_proposal": i % 11 != 0, "has_scoring": (i % 13 == 0) == rejected, "n_errors": i % 2, "attempt_number": F.when(i % 31 != 0, 1).otherwise(0), "origin": F.when(i % 19 == 0, "other").when(i % 3 == 0, "llm_analysis")}
+    a = t.attempts(spark, d).withColumns(made | {"fingerprint": F.when(F.col("attempt_id") % 17 == 0, "short").otherwise(F.sha2(F.col("fingerprint"), 256))})
     return analysis.violations(a).select("attempt_id", "broken")
 
 
@@ -281,15 +285,21 @@ def q_lease_claimable(spark, d):
     return publication.claimable(_publication_attempts(spark, d), "h1", NOW).select("attempt_id", "holder_id")
 
 
-@query(f"""WITH {_PUB}, x AS (SELECT folder_id, max(attempt_id) AS last, arg_max(status, attempt_id) AS st FROM pa GROUP BY 1), y AS (SELECT DISTINCT user_id AS folder_id, CASE WHEN user_id % 9 = 0 THEN 'partial' ELSE 'pending' END AS state FROM ev),
-z AS (SELECT y.folder_id, CASE WHEN state = 'partial' THEN 'already_published' WHEN st = 'succeeded' THEN 'already_succeeded' WHEN st = 'reserved' THEN 'already_reserved' END AS hit, last FROM y LEFT JOIN x ON x.folder_id = y.folder_id)
-SELECT folder_id, coalesce(hit, 'reserved') AS outcome, CASE WHEN hit IS NULL THEN coalesce(last, 0) + 1 END AS attempt_number FROM z""")
+@query(f"""WITH {_PUB}, pb AS (SELECT folder_id, attempt_id, CASE WHEN folder_id % 3 = 0 THEN 'failed' ELSE status END AS status FROM pa),
+x AS (SELECT folder_id, max(attempt_id) AS last, arg_max(status, attempt_id) FILTER (status <> 'failed') AS st, bool_or(status = 'succeeded') AS done FROM pb GROUP BY 1),
+y AS (SELECT *, folder_id % 10 = 0 AS closed, ['none', 'pending', 'main_published', 'partial', 'failed', 'inconsistent', 'unknown'][1 + folder_id % 7] AS state, folder_id % 4 <> 0 AS message FROM x),
+z AS (SELECT folder_id, last, CASE WHEN closed THEN 'folder_closed' WHEN message AND state IN ('main_published', 'partial', 'inconsistent') THEN CASE WHEN done THEN 'already_published' ELSE 'main_already_reserved_or_exists' END
+  WHEN st = 'succeeded' THEN 'already_succeeded' WHEN st = 'reserved' THEN 'already_reserved' WHEN state NOT IN ('none', 'pending', 'failed', 'unknown') THEN 'forbidden_status_transition' ELSE 'reserved' END AS outcome FROM y)
+SELECT folder_id, outcome, CASE WHEN outcome = 'reserved' THEN last + 1 END AS attempt_number FROM z""")
 def q_reserve(spark, d):
     a = _publication_attempts(spark, d)
     ids = a.select("folder_id").distinct()
     key = publication.idempotency_key("publish", F.col("folder_id").cast("string"))
-    pubs = ids.select("folder_id", F.when(F.col("folder_id") % 9 == 0, "partial").otherwise("pending").alias("status"))
-    return publication.reserve(ids.withColumn("key", key), pubs, a.select(key.alias("key"), F.col("attempt_id").alias("attempt_number"), "status")).select("folder_id", "outcome", "attempt_number")
+    f = F.col("folder_id")
+    folders = ids.select("folder_id", F.when(f % 10 == 0, "closed").otherwise("open").alias("status"))
+    pubs = ids.filter("folder_id % 7 <> 6").select("folder_id", modulo("folder_id", "none", "pending", "main_published", "partial", "failed", "inconsistent", "unknown").alias("status"), F.when(f % 4 != 0, "m").alias("main_message_id"))
+    tried = a.select("folder_id", F.lit("publish").alias("kind"), key.alias("key"), F.col("attempt_id").alias("attempt_number"), F.when(f % 3 == 0, "failed").otherwise(F.col("status")).alias("status"))
+    return publication.reserve(ids.withColumn("key", key), folders, pubs, tried).select("folder_id", "outcome", "attempt_number")
 
 
 _NAMES = r"""n AS (SELECT page_id % 40 AS folder_id, page_id AS seq, regexp_extract(url, '^https?://([^/]+)', 1) AS name, CASE WHEN page_id % 6 = 0 THEN NULL ELSE url END AS url FROM pages),
@@ -393,7 +403,7 @@ def q_backoff_schedule(spark, d):
 
 
 @query("""WITH a AS (SELECT l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey AS article_id, l_orderkey AS folder_id, 'src' || (l_suppkey % 50) AS source_id, CASE WHEN l_linenumber = 3 THEN NULL ELSE epoch_ms(l_shipdate) END AS tms FROM lineitem)
-SELECT folder_id, article_id, source_id FROM a JOIN orders ON o_orderkey = folder_id WHERE o_orderstatus <> 'F' AND folder_id % 5 <> 0 AND (tms IS NULL OR tms BETWEEN 788918400000 AND 852076800000) AND folder_id IN (SELECT folder_id FROM a WHERE source_id IN ('src1', 'src2', 'src3'))""")
+SELECT folder_id, article_id, source_id FROM a JOIN orders ON o_orderkey = folder_id WHERE o_orderstatus <> 'F' AND folder_id % 5 <> 0 AND (tms IS NULL OR tms BETWEEN 788918400000 AND 852076800000) AND source_id IN ('src1', 'src2', 'src3')""")
 def q_catch_up(spark, d):
     l = t.read(spark, d, "lineitem")
     name = F.concat_ws(":", *(F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))).alias("article_id")

@@ -260,7 +260,7 @@ def q_publication_errors(spark, d):
 # --- matching, runs, sources ---------------------------------------------------------------------------------------
 
 
-@query(f"WITH {MATCH_SQL} SELECT article_id, 'issue=' || issue || '; confidence=' || confidence || '; folder=' || coalesce(folder_id, 'none') || '; motives=' || motive || '; favorable=' || coalesce(nullif(replace(favorable, '|', ','), ''), 'none') || '; unfavorable=' || coalesce(nullif(replace(unfavorable, '|', ','), ''), 'none') AS justification FROM decided")
+@query(f"WITH {MATCH_SQL} SELECT article_id, 'issue=' || issue || '; confidence=' || confidence || '; folder=' || coalesce(folder_id, 'none') || '; motives=' || replace(motives, '|', ',') || '; favorable=' || coalesce(nullif(replace(favorable, '|', ','), ''), 'none') || '; unfavorable=' || coalesce(nullif(replace(unfavorable, '|', ','), ''), 'none') AS justification FROM decided")
 def q_match_justification(spark, d):
     return matching.justification(_matched(spark, d)).select("article_id", "justification")
 

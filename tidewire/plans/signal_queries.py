@@ -218,11 +218,11 @@ dec AS (SELECT a.article_id, a.prim, b.top_level, coalesce(CASE WHEN b.top_level
 decided AS (SELECT article_id,
   CASE WHEN NOT prim THEN 'ambiguous_no_action' WHEN tied THEN 'ambiguous_no_action' WHEN top IS NOT NULL AND len(novel) > 0 THEN 'attach_enrich' WHEN top IS NOT NULL THEN 'duplicate_editorial' WHEN f1 IS NOT NULL THEN 'ambiguous_no_action' ELSE 'create_dossier' END AS issue,
   CASE WHEN NOT prim OR tied THEN NULL WHEN top IS NOT NULL THEN top ELSE f1 END AS folder_id,
-  CASE WHEN NOT prim THEN 'low' WHEN top_level = 3 THEN 'high' WHEN top_level = 2 THEN 'medium' WHEN f1 IS NOT NULL THEN 'low' ELSE 'none' END AS confidence,
-  CASE WHEN NOT prim THEN 'insufficient_primary_information' WHEN tied THEN 'multiple_plausible_folders' WHEN top IS NOT NULL AND len(novel) > 0 THEN 'novel_information' WHEN top IS NOT NULL THEN 'no_novel_information'
-    WHEN f1 IS NOT NULL THEN 'low_confidence_match' WHEN any_blocked THEN 'distinct_event' ELSE 'no_credible_candidate' END AS motive,
+  CASE WHEN NOT prim OR tied THEN 'low' WHEN top_level = 3 THEN 'high' WHEN top_level = 2 THEN 'medium' WHEN f1 IS NOT NULL THEN 'low' ELSE 'none' END AS confidence,
+  CASE WHEN NOT prim THEN 'insufficient_primary_information' WHEN tied THEN 'multiple_plausible_folders' WHEN top IS NOT NULL AND len(novel) > 0 THEN 'same_event|novel_information' WHEN top IS NOT NULL THEN 'same_event|no_novel_information'
+    WHEN f1 IS NOT NULL THEN 'low_confidence_match' WHEN any_blocked THEN 'distinct_event|primary_information' ELSE 'no_credible_candidate|primary_information' END AS motives,
   array_to_string(CASE WHEN NOT prim THEN [] WHEN tied THEN tied_favorable WHEN top IS NOT NULL THEN tf WHEN f1 IS NOT NULL THEN wf ELSE [] END, '|') AS favorable,
-  array_to_string(CASE WHEN NOT prim THEN [] WHEN tied THEN ['conflicting_candidate_folders'] WHEN top IS NOT NULL AND len(novel) > 0 THEN tu WHEN top IS NOT NULL THEN list_sort(list_distinct(list_append(tu, 'absence_of_new_value')))
+  array_to_string(CASE WHEN NOT prim THEN ['content_too_thin'] WHEN tied THEN ['conflicting_candidate_folders'] WHEN top IS NOT NULL AND len(novel) > 0 THEN tu WHEN top IS NOT NULL THEN list_sort(list_distinct(list_append(tu, 'absence_of_new_value')))
     WHEN f1 IS NOT NULL THEN list_sort(list_distinct(list_append(wu, 'insufficient_event_identity'))) ELSE coalesce(barred, []) END, '|') AS unfavorable,
   array_to_string(CASE WHEN prim AND NOT tied AND top IS NOT NULL THEN novel ELSE [] END, '|') AS facts FROM dec)"""
 
@@ -253,12 +253,12 @@ def q_pair_compare(spark, d):
 @query(f"WITH {MATCH_SQL} SELECT * FROM decided")
 def q_match_decisions(spark, d):
     j = lambda c: F.array_join(c, "|").alias(c)
-    return _matched(spark, d).select("article_id", "issue", "folder_id", "confidence", "motive", j("favorable"), j("unfavorable"), j("facts"))
+    return _matched(spark, d).select("article_id", "issue", "folder_id", "confidence", j("motives"), j("favorable"), j("unfavorable"), j("facts"))
 
 
-@query(f"WITH {MATCH_SQL} SELECT issue, motive, confidence, count(*) AS articles FROM decided GROUP BY ALL")
+@query(f"WITH {MATCH_SQL} SELECT issue, motives, confidence, count(*) AS articles FROM decided GROUP BY ALL")
 def q_match_issue_counts(spark, d):
-    return _matched(spark, d).groupBy("issue", "motive", "confidence").agg(F.count("*").alias("articles"))
+    return _matched(spark, d).groupBy("issue", F.array_join("motives", "|").alias("motives"), "confidence").agg(F.count("*").alias("articles"))
 
 
 @query(f"""WITH {t.ARTICLES_SQL}, {t.FOLDERS_SQL} SELECT article_id, source_id FROM art a WHERE NOT EXISTS (SELECT 1 FROM members m WHERE m.article_id = a.article_id)

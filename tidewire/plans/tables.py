@@ -52,7 +52,7 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as analysis attempts of the folder user_id."""
     e = events(spark, sf_dir)
     pick = lambda *xs: F.element_at(F.array(*(F.lit(x) for x in xs)), (F.col("event_id") % len(xs) + 1).cast("int"))
-    return e.select(F.col("user_id").alias("folder_id"), F.col("event_type").alias("fingerprint"), F.col("at").alias("analyzed_at"), F.col("at").alias("created_at"), F.col("event_id").alias("attempt_id"), pick("publish", "hold", "reject_editorial", "enrich_thread_only", "hold").alias("decision"), pick("rejected", "accepted", "accepted").alias("validation_status"))
+    return e.select(F.col("user_id").alias("folder_id"), F.col("event_type").alias("fingerprint"), F.col("at").alias("analyzed_at"), F.col("at").alias("created_at"), F.col("event_id").alias("attempt_id"), pick("publish", "hold", "reject_editorial", "enrich_thread_only", "hold").alias("decision"), pick("rejected", "accepted", "accepted_with_warnings").alias("validation_status"))
 
 
 #: The same in DuckDB.
@@ -73,4 +73,4 @@ members AS (
   UNION ALL SELECT a, b, {EPOCH * 2} FROM (VALUES {", ".join(f"('{f}', '{a}')" for f, _, a in FOLDERS)}) t(a, b))"""
 EVENTS_SQL = "ev AS (SELECT event_id, epoch_us(ts) // 1000 AS tms, user_id, event_type, value FROM events)"
 ATTEMPTS_SQL = EVENTS_SQL + """, att AS (SELECT user_id AS folder_id, event_type AS fingerprint, tms AS analyzed_at, event_id AS attempt_id,
-  ['publish','hold','reject_editorial','enrich_thread_only','hold'][1 + event_id % 5] AS decision, ['rejected','accepted','accepted'][1 + event_id % 3] AS validation_status FROM ev)"""
+  ['publish','hold','reject_editorial','enrich_thread_only','hold'][1 + event_id % 5] AS decision, ['rejected','accepted','accepted_with_warnings'][1 + event_id % 3] AS validation_status FROM ev)"""
