@@ -14,6 +14,7 @@ A = Tokenizer.from_file(alignment.BYTE_BPE)
 A.encode_special_tokens = True
 B = sentencepiece.SentencePieceProcessor(model_file=vocabulary.MODEL)
 TOOLS = alignment.Tokenizers(*alignment._read(alignment.BYTE_BPE, vocabulary.MODEL))
+BYTES_A, BYTES_B = ([bytes(x.buffer[a : a + n]) for a, n in zip(x.start.tolist(), x.length.tolist())] for x in (TOOLS.spelling_a, TOOLS.spelling_b))
 NONE = (0, 0, 0, 0, 0, 0, "")
 
 
@@ -23,7 +24,7 @@ def plain_ids(text):
         return None
     a, b = A.encode(f" {text}", add_special_tokens=False).ids, B.encode(text)
     raw = f" {text}".encode()
-    return (a, b) if b"".join(TOOLS.bytes_a[i] for i in a) == raw == b"".join(TOOLS.bytes_b[i] for i in b) else None
+    return (a, b) if b"".join(BYTES_A[i] for i in a) == raw == b"".join(BYTES_B[i] for i in b) else None
 
 
 def plain(texts):
@@ -42,7 +43,7 @@ def plain(texts):
             links.append(None)
             groups.append(None)
             continue
-        x, y = spans(ids[0], TOOLS.bytes_a), spans(ids[1], TOOLS.bytes_b)
+        x, y = spans(ids[0], BYTES_A), spans(ids[1], BYTES_B)
         links.append([(p, q) for s, e, p in x for u, v, q in y if s < v and u < e])
         total.update(links[-1])
         ends = sorted({e for _, e, _ in x} & {e for _, e, _ in y})
@@ -117,6 +118,15 @@ def test_forgetting_units_changes_nothing():
         assert [forgetful.groups[u] for u in one] == [steady.groups[u] for u in two]
 
 
+def test_bytes_of_ids_are_those_of_the_libraries():
+    import base64
+
+    ranks = {int(n): base64.b64decode(t) for t, n in (line.split() for line in open(alignment.BYTE_BPE.replace(".json", ".tiktoken"), "rb"))}
+    assert {i: b for i, b in enumerate(BYTES_A) if b} == ranks
+    for i in range(3, 2000):
+        assert BYTES_B[i].decode("utf-8", "replace").lstrip(" ") == B.decode([i]).lstrip(" ")
+
+
 def test_runs_are_added_up_across_batches():
     batches = [pa.record_batch([pa.array(k, pa.int64()), pa.array(n, pa.int64())], ["key", "n"]) for k, n in (([1, 1, 2], [1, 2, 3]), ([], []), ([2], [4]), ([2, 5], [1, 1]), ([5, 9], [1, 1]))]
     got = [(k, n) for ks, ns in alignment.runs(iter(batches)) for k, n in zip(ks.tolist(), ns.tolist())]

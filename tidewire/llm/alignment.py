@@ -42,7 +42,7 @@ BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 #: An id of A stands above so many bits of a packed pair, an id of B below.
 BITS = 32
 #: Units kept by a worker, and pairs counted by a task before they are handed on.
-UNITS, PAIRS = 200_000, 1 << 21
+UNITS, PAIRS = 500_000, 1 << 21
 _CUT = re.compile(r"(?<=\S)(?: (?=\S)|(?=\n\S))")
 _BLANKS = re.compile(r"\s\s|^\s|\s$")
 
@@ -54,6 +54,29 @@ def _bytes_of_chars() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Spelling:
+    """Bytes of numbered tokens in one buffer."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.length = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        self.start = np.cumsum(self.length) - self.length
+        self.buffer = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def joined(self, ids: np.ndarray) -> np.ndarray:
+        return self.buffer[ranges(self.start[ids], self.length[ids])]
+
+    def spells(self, ids: np.ndarray, n: np.ndarray, text: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Which of the texts (of so many bytes each, one after the other) are spelled by their ids (n each)."""
+        total = np.diff(np.concatenate([[0], np.cumsum(self.length[ids])])[np.concatenate([[0], np.cumsum(n)])])
+        same = total == size
+        if not same.all():
+            ids, text = ids[np.repeat(same, n)], text[np.repeat(same, size)]
+        wrong = np.flatnonzero(self.joined(ids) != text)
+        held = np.flatnonzero(same)
+        same[held[np.searchsorted(np.cumsum(size[held]), wrong, "right")]] = False
+        return same
+
+
 class Tokenizers:
     """Both libraries' tokenizers and the bytes of every id."""
 
@@ -66,11 +89,10 @@ class Tokenizers:
         self.a.encode_special_tokens = True
         byte = _bytes_of_chars()
         entry = {i: t for t, i in self.a.get_vocab(with_added_tokens=False).items()}
-        self.bytes_a = [bytes(byte[c] for c in entry[i]) if i in entry else b"" for i in range(max(entry) + 1)]
         n = self.b.get_piece_size()
-        self.bytes_b = [bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode() for i in range(n)]
-        self.len_a, self.len_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.bytes_a, self.bytes_b))
-        self.mark = self.b.piece_to_id("▁")
+        self.spelling_a = Spelling([bytes(byte[c] for c in entry[i]) if i in entry else b"" for i in range(max(entry) + 1)])
+        self.spelling_b = Spelling([bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode() for i in range(n)])
+        self.decimal = Spelling([str(i).encode() for i in range(max(n, max(entry) + 1))])
         if any("▁" in p.lstrip("▁") or ("\n" in p and len(p) > 1) for p in map(self.b.id_to_piece, range(n))):
             raise ValueError("B joins over blanks or line breaks")
 
@@ -80,6 +102,22 @@ class Tokenizers:
         b = self.b.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1)
         return a, [ids[1:] if u[0] == "\n" else ids for u, ids in zip(units, b)]
 
+    def spelled_groups(self, ids_a: np.ndarray, group_a: np.ndarray, ids_b: np.ndarray, group_b: np.ndarray, tokens: np.ndarray) -> list[bytes]:
+        """The text of every unit's groups, `a1,a2|b1;a3|b2,b3`. The tokens of A and of B come in the order of their groups; a unit has so many of both."""
+        at_a = np.arange(len(ids_a)) + np.searchsorted(group_b, group_a)
+        at_b = np.arange(len(ids_b)) + np.searchsorted(group_a, group_b, "right")
+        ids, mark = np.empty(len(ids_a) + len(ids_b), np.int64), np.empty(len(ids_a) + len(ids_b), np.uint8)
+        for at, own, group, last in ((at_a, ids_a, group_a, b"|"), (at_b, ids_b, group_b, b";")):
+            ids[at] = own
+            mark[at] = np.where(np.diff(group, append=-1) != 0, last[0], b","[0])
+        size = self.decimal.length[ids] + 1
+        end = np.cumsum(size)
+        out = np.empty(int(size.sum()), np.uint8)
+        out[end - 1] = mark
+        out[ranges(end - size, size - 1)] = self.decimal.joined(ids)
+        text, cut = out.tobytes(), np.concatenate([[0], end])[np.concatenate([[0], np.cumsum(tokens)])].tolist()
+        return [text[a : b - 1] if b > a else b"" for a, b in zip(cut, cut[1:])]
+
 
 @lru_cache(maxsize=1)
 def units(json: str, proto: bytes) -> Units:
@@ -131,38 +169,30 @@ class Units:
 
     def _learn(self, fresh: list[str]) -> None:
         t = self.tokenizers
-        a, b = t.encode(fresh)
-        good = np.zeros(len(fresh), bool)
-        for i, (u, x, y) in enumerate(zip(fresh, a, b)):
-            raw = (u if u[0] in " \n" else f" {u}").encode()
-            good[i] = b"".join(map(t.bytes_a.__getitem__, x)) == raw == b"".join(map(t.bytes_b.__getitem__, y))
-        kept = np.flatnonzero(good).tolist()
-        n_a, n_b = (np.zeros(len(fresh), np.int64) for _ in range(2))
-        n_a[kept], n_b[kept] = [len(a[i]) for i in kept], [len(b[i]) for i in kept]
-        ids_a, ids_b = (np.fromiter(chain.from_iterable(x[i] for i in kept), np.int64) for x in (a, b))
-        end_a, end_b = np.cumsum(t.len_a[ids_a]), np.cumsum(t.len_b[ids_b])
-        segment, both = np.union1d(end_a, end_b), np.intersect1d(end_a, end_b)
+        raw = [(u if u[0] in " \n" else f" {u}").encode() for u in fresh]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        text = np.frombuffer(b"".join(raw), np.uint8)
+        (ids_a, n_a), (ids_b, n_b) = (_flat(ids) for ids in t.encode(fresh))
+        good = t.spelling_a.spells(ids_a, n_a, text, size) & t.spelling_b.spells(ids_b, n_b, text, size)
+        if not good.all():
+            ids_a, ids_b = ids_a[np.repeat(good, n_a)], ids_b[np.repeat(good, n_b)]
+            n_a, n_b = n_a * good, n_b * good
+        end_a, end_b = np.cumsum(t.spelling_a.length[ids_a]), np.cumsum(t.spelling_b.length[ids_b])
+        segment, both = np.union1d(end_a, end_b), np.intersect1d(end_a, end_b, assume_unique=True)
         in_a, in_b = np.searchsorted(end_a, segment), np.searchsorted(end_b, segment)
         # Both tokenizers end at every unit's end, so units are runs of segments and of groups.
-        unit_end = np.zeros(len(fresh), np.int64)
-        last = np.cumsum(n_a)
-        unit_end[last > 0] = end_a[last[last > 0] - 1]
+        unit_end = np.cumsum(size * good)
         links = np.diff(np.searchsorted(segment, unit_end, "right"), prepend=0)
         groups = np.diff(np.searchsorted(both, unit_end, "right"), prepend=0)
         self.links = np.concatenate([self.links, ids_a[in_a] << BITS | ids_b[in_b]])
         self.link_at = np.concatenate([self.link_at, self.link_at[-1] + np.cumsum(links)])
         for name, x in (("good", good), ("n_a", n_a), ("n_b", n_b), ("n_groups", groups), ("n_links", links)):
             setattr(self, name, np.concatenate([getattr(self, name), x]))
-        to_a, to_b = np.searchsorted(end_a, both).tolist(), np.searchsorted(end_b, both).tolist()
-        text_a, text_b = (list(map(str, x.tolist())) for x in (ids_a, ids_b))
-        spelled, i, j = [], 0, 0
-        for p, q in zip(to_a, to_b):
-            spelled.append(f"{','.join(text_a[i : p + 1])}|{','.join(text_b[j : q + 1])}")
-            i, j = p + 1, q + 1
-        begin = 0
-        for n in groups.tolist():
-            self.groups.append(";".join(spelled[begin : begin + n]).encode())
-            begin += n
+        self.groups += t.spelled_groups(ids_a, np.searchsorted(both, end_a), ids_b, np.searchsorted(both, end_b), n_a + n_b)
+
+
+def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    return np.fromiter(chain.from_iterable(ids), np.int64), np.fromiter(map(len, ids), np.int64, len(ids))
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
