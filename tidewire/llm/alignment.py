@@ -42,7 +42,7 @@ BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 #: An id of A stands above so many bits of a packed pair, an id of B below.
 BITS = 32
 #: Units kept by a worker, and pairs counted by a task before they are handed on.
-UNITS, PAIRS = 500_000, 1 << 21
+UNITS, PAIRS = 1_000_000, 1 << 21
 _CUT = re.compile(r"(?<=\S)(?: (?=\S)|(?=\n\S))")
 _BLANKS = re.compile(r"\s\s|^\s|\s$")
 

@@ -2,10 +2,10 @@
 
 Everything is exact; nothing that grows with the corpus is held by the driver or a worker:
 
-1. Every shard of about SHARD bytes of text counts its words and its pairs of neighbouring words under 64-bit keys; the counts
-   are added up by key. Keys that reach the least count set bits of a filter of FILTER bits, its fixed size, which goes to
-   the workers. Two keys that share a hash or a bit only let more through. A phrase that occurs often enough has nothing but
-   such words and such pairs, so a text can be cut wherever a pair is not in the filter.
+1. Every shard of about SHARD bytes of text counts its words and its runs of two and of three words under 64-bit keys; the
+   counts are added up by key. Keys that reach the least count set bits of a filter of FILTER bits, its fixed size, which goes
+   to the workers. Two keys that share a hash or a bit only let more through. A phrase that occurs often enough consists of
+   such words, pairs and triples, so no substring with another one is looked at.
 2. Every shard builds the suffix automaton of what is left, down to DEPTH words. Its states are the classes of substrings
    that end at the same positions; the longest one's length, the suffix link to the next class and the number of end positions
    are kept. The automaton is built level by level from the pairs (substring before, word), for all texts of the shard at
@@ -56,10 +56,16 @@ class Words:
         salt = U64(xxhash.xxh3_64_intdigest(lang))
         self.keys = mix(np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), U64, len(self.words)) + salt)
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of words that another word follows within the piece, and keys of these pairs."""
-        at = np.flatnonzero((self.ids[:-1] > 0) & (self.ids[1:] > 0))
-        return at, mix(self.keys[self.ids[at]] * U64(0x9E3779B97F4A7C15) + self.keys[self.ids[at + 1]])
+    def runs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For two and for three words: where such runs within a piece end, and their keys."""
+        at, key = np.flatnonzero(self.ids > 0), self.keys[self.ids]
+        for _ in range(2):
+            at = at[1:][(np.diff(at) == 1)] if len(at) else at
+            at = at[self.ids[at - 1] > 0]
+            longer = np.zeros(len(key), U64)
+            longer[at] = mix(key[at - 1] * U64(0x9E3779B97F4A7C15) + self.keys[self.ids[at]])
+            key = longer
+            yield at, key[at]
 
 
 def shards(batches: Iterator[pa.RecordBatch], size: int = SHARD) -> Iterator[Words]:
@@ -130,15 +136,16 @@ class Automaton:
 
 
 def _keys(docs: DataFrame) -> DataFrame:
-    """key, n of every word and every pair of neighbours."""
+    """key, n of every word, pair and triple of neighbours."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in shards(batches):
             n = np.bincount(shard.ids, minlength=len(shard.words))[1:]
             yield pa.record_batch([pa.array(shard.keys[1:][n > 0].view(np.int64)), pa.array(n[n > 0])], ["key", "n"])
-            key, n = np.unique(shard.pairs()[1], return_counts=True)
-            for a in range(0, len(key), 1 << 18):
-                yield pa.record_batch([pa.array(key[a : a + (1 << 18)].view(np.int64)), pa.array(n[a : a + (1 << 18)])], ["key", "n"])
+            for _, keys in shard.runs():
+                key, n = np.unique(keys, return_counts=True)
+                for a in range(0, len(key), 1 << 18):
+                    yield pa.record_batch([pa.array(key[a : a + (1 << 18)].view(np.int64)), pa.array(n[a : a + (1 << 18)])], ["key", "n"])
 
     return docs.mapInArrow(released(run), "key long, n long")
 
@@ -159,18 +166,20 @@ def _passes(filter_: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def left_over(shard: Words, filter_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which word ids pass, and how many words up to each position, itself included, all pairs of which pass."""
+    """Which word ids pass, and of how many words, at most, a substring is that ends at each position and has only words, pairs and triples that pass; 0 between pieces."""
     word = _passes(filter_, shard.keys)
     word[0] = False
-    at, keys = shard.pairs()
-    joined = at[_passes(filter_, keys) & word[shard.ids[at]] & word[shard.ids[at + 1]]] + 1
-    start = np.ones(len(shard.ids), bool)
-    start[joined] = False
-    begin = np.flatnonzero(start)
-    size = np.diff(np.append(begin, len(start)))
-    run = np.arange(len(start)) - np.repeat(begin, size) + 1
-    run[np.repeat(size, size) < 2] = 0
-    return word, run
+    most = (shard.ids > 0).astype(np.int64)
+    (two, two_keys), (three, three_keys) = shard.runs()
+    two = two[_passes(filter_, two_keys) & word[shard.ids[two]] & word[shard.ids[two - 1]]]
+    most[two] = 2
+    three = three[_passes(filter_, three_keys)]
+    three = three[(most[three] == 2) & (most[three - 1] == 2)]
+    if len(three):
+        start = np.concatenate([[True], np.diff(three) != 1])
+        first = np.flatnonzero(start)
+        most[three] = 3 + np.arange(len(three)) - np.repeat(first, np.diff(np.append(first, len(three))))
+    return word, most
 
 
 COUNTED = "lang string, phrase string, words int, n long, before boolean, after boolean"
