@@ -122,9 +122,10 @@ def test_closed_folders_do_not_match(spark):
 
 
 def test_persisting_a_cycle(spark):
-    d = spark.createDataFrame([("a", "create_dossier", None), ("b", "attach_enrich", "f"), ("c", "duplicate_editorial", "f")], "article_id string, issue string, folder_id string")
-    folders, members, decisions = matching.persist(d, spark.createDataFrame([("a", "T")], "article_id string, title string"), 7)
-    assert folders.count() == 1 and {r["role"] for r in members.collect()} == {"primary", "enrichment"} and decisions.count() == 3
+    d = spark.createDataFrame([("a", "create_dossier", None, "T", None, None), ("b", "attach_enrich", "f", None, "version", ["version:2"]), ("c", "duplicate_editorial", "f", None, None, None)], "article_id string, issue string, folder_id string, title string, enrichment string, facts array<string>")
+    folders, members = matching.persist(d, 7)
+    assert [(r["title"], r["status"], r["last_activity"]) for r in folders.collect()] == [("T", "open", 7)]
+    assert {(r["article_id"], r["role"], r["enrichment"], tuple(r["facts"] or ())) for r in members.collect()} == {("a", "primary", None, ()), ("b", "enrichment", "version", ("version:2",))}
 
 
 def version(**more):

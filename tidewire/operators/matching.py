@@ -179,11 +179,11 @@ def unprocessed(articles: DataFrame, members: DataFrame, decisions: DataFrame) -
     return articles.join(members, "article_id", "left_anti").join(decisions, "article_id", "left_anti")
 
 
-def persist(decisions: DataFrame, articles: DataFrame, decided_at: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """New folders, memberships and decision rows of a cycle; ids of folders derive from article and time."""
+def persist(decisions: DataFrame, decided_at: int) -> tuple[DataFrame, DataFrame]:
+    """New dossiers and memberships of a cycle's decisions (article_id, issue, folder_id, title, enrichment, facts); ids of dossiers derive from article and time, so a repeated cycle makes the same ones."""
     made = F.sha2(F.concat_ws(":", "article_id", F.lit(str(decided_at))), 256)
-    new = decisions.filter("issue = 'create_dossier'").join(articles.select("article_id", "title"), "article_id")
+    new, more = decisions.filter("issue = 'create_dossier'"), decisions.filter("issue = 'attach_enrich'")
     folders = new.select(made.alias("folder_id"), F.lit("open").alias("status"), "title", F.lit(decided_at).alias("last_activity"))
-    first = decisions.filter("issue = 'create_dossier'").select(made.alias("folder_id"), "article_id", F.lit("primary").alias("role"))
-    more = decisions.filter("issue = 'attach_enrich'").select("folder_id", "article_id", F.lit("enrichment").alias("role"))
-    return folders, first.unionByName(more), decisions.withColumn("decided_at", F.lit(decided_at))
+    none = F.lit(None)
+    first = new.select(made.alias("folder_id"), "article_id", F.lit("primary").alias("role"), F.lit(decided_at).alias("attached_at"), none.cast("string").alias("enrichment"), none.cast(decisions.schema["facts"].dataType).alias("facts"))
+    return folders, first.unionByName(more.select("folder_id", "article_id", F.lit("enrichment").alias("role"), F.lit(decided_at).alias("attached_at"), "enrichment", "facts"))
