@@ -2,7 +2,7 @@
 
 Everything is exact; nothing that grows with the corpus is held by the driver or a worker:
 
-1. Every shard of about SHARD bytes of text counts its words and its runs of two and of three words under 64-bit keys; the
+1. Every shard of about SHARD words counts its words and its runs of two and of three words under 64-bit keys; the
    counts are added up by key. Keys that reach the least count set bits of a filter of FILTER bits, its fixed size, which goes
    to the workers. Two keys that share a hash or a bit only let more through. A phrase that occurs often enough consists of
    such words, pairs and triples, so no substring with another one is looked at.
@@ -24,7 +24,8 @@ Shards hold whole texts, so a very long text is a shard by itself.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -35,26 +36,39 @@ from pyspark.sql import functions as F
 from tidewire.llm.common import materialize, released, text_bytes, text_chunks
 from tidewire.llm.words import U64, mix
 
-#: Bytes of text in a shard; words of the longest phrase; bits of the filter.
-SHARD, DEPTH, FILTER = 12 << 20, 5, 1 << 27
+#: Words in a shard; words of the longest phrase; bits of the filter.
+SHARD, DEPTH, FILTER = 6_000_000, 5, 1 << 27
 #: What stands between pieces in a shard; no byte of UTF-8.
 BREAK = b"\xff"
 _BREAKS = bytes(255 if chr(b) in ".,;:!?\n\v\f\r" else b for b in range(256))
 
 
 class Words:
-    """The words of one language's part of a shard: ids in order, 0 between pieces; words[i] is the word with the id i."""
+    """The words of one language's part of a shard, taken in text by text: ids in order, 0 between pieces; words[i] is the word with the id i. Only distinct words are held."""
 
-    def __init__(self, lang: str, texts: list[bytes]):
-        self.lang = lang
-        number: dict[bytes, int] = defaultdict()
-        number.default_factory = number.__len__
-        number[BREAK]
+    def __init__(self, lang: str, texts: Sequence[bytes] = ()):
+        self.lang, self._parts = lang, []
+        self._number: dict[bytes, int] = defaultdict()
+        self._number.default_factory = self._number.__len__
+        self._number[BREAK]
+        self.add(texts)
+
+    def add(self, texts: Sequence[bytes]) -> int:
         flat = BREAK.join(texts).translate(_BREAKS).replace(BREAK, b" \xff ").lower().split()
-        self.ids = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
-        self.words = list(number)
-        salt = U64(xxhash.xxh3_64_intdigest(lang))
-        self.keys = mix(np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), U64, len(self.words)) + salt)
+        self._parts += [np.fromiter(map(self._number.__getitem__, flat), np.int32, len(flat)), np.zeros(1, np.int32)]
+        return len(flat)
+
+    @cached_property
+    def ids(self) -> np.ndarray:
+        return np.concatenate(self._parts)
+
+    @cached_property
+    def words(self) -> list[bytes]:
+        return list(self._number)
+
+    @cached_property
+    def keys(self) -> np.ndarray:
+        return mix(np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), U64, len(self.words)) + U64(xxhash.xxh3_64_intdigest(self.lang)))
 
     def runs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For two and for three words: where such runs within a piece end, and their keys."""
@@ -70,18 +84,22 @@ class Words:
 
 def shards(batches: Iterator[pa.RecordBatch], size: int = SHARD) -> Iterator[Words]:
     """From rows (lang, content) the shards of their texts, one for each language that it has."""
-    held: dict[str, list[bytes]] = defaultdict(list)
+    held: dict[str, Words] = {}
     n = 0
     for chunk in text_chunks(batches, "content"):
+        texts: dict[str, list[bytes]] = defaultdict(list)
         for lang, text in zip(chunk.column(0).to_pylist(), chunk.column(1).to_pylist()):
-            held[lang].append(text)
-            n += len(text)
+            texts[lang].append(text)
+        for lang, own in texts.items():
+            if lang not in held:
+                held[lang] = Words(lang)
+            n += held[lang].add(own)
         if n >= size:
             while held:
-                yield Words(*held.popitem())
+                yield held.popitem()[1]
             n = 0
     while held:
-        yield Words(*held.popitem())
+        yield held.popitem()[1]
 
 
 class Automaton:
@@ -94,6 +112,7 @@ class Automaton:
     def __init__(self, ids: np.ndarray, run: np.ndarray, depth: int = DEPTH):
         at = np.flatnonzero(run >= 1)
         group = np.full(len(ids), -1, np.int64)
+        ids = ids.astype(np.int64)
         value, first, group[at], count = np.unique(ids[at], return_index=True, return_inverse=True, return_counts=True)
         self.end, self.count, self.suffix, self.prefix = [at[first]], [count], [np.full(len(value), -1)], [np.full(len(value), -1)]
         width = int(ids.max(initial=0)) + 1
