@@ -6,12 +6,12 @@ import os
 import pandas as pd
 import pytest
 
-from tidewire.plans import cycle_queries, more_queries, ops_queries, record_queries, signal_queries, source_queries
+from tidewire.plans import cycle_queries, more_queries, ops_queries, record_queries, signal_queries, source_queries, stream_queries
 
 duckdb = pytest.importorskip("duckdb")
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES = signal_queries.QUERIES | ops_queries.QUERIES | source_queries.QUERIES | more_queries.QUERIES | record_queries.QUERIES | cycle_queries.QUERIES
-ORACLES = signal_queries.ORACLES | ops_queries.ORACLES | source_queries.ORACLES | more_queries.ORACLES | record_queries.ORACLES | cycle_queries.ORACLES
+QUERIES = signal_queries.QUERIES | ops_queries.QUERIES | source_queries.QUERIES | more_queries.QUERIES | record_queries.QUERIES | cycle_queries.QUERIES | stream_queries.QUERIES
+ORACLES = signal_queries.ORACLES | ops_queries.ORACLES | source_queries.ORACLES | more_queries.ORACLES | record_queries.ORACLES | cycle_queries.ORACLES | stream_queries.ORACLES
 
 
 @pytest.fixture(scope="module")

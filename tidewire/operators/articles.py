@@ -51,19 +51,28 @@ def changed_fields(old: dict[str, Column], new: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*(F.when(~a[f].eqNullSafe(b[f]), F.lit(f)) for f in FIELDS)))
 
 
+def digested(rows: DataFrame) -> DataFrame:
+    """source_id, identity, seq, article_id and digest of articles."""
+    digest = editorial_hash({f: F.col(f) for f in FIELDS})
+    return rows.select("source_id", identity_key(F.col("external_id"), F.col("url")).alias("identity"), "seq", "article_id", digest.alias("digest"))
+
+
+def actions_of(new: DataFrame, old: DataFrame) -> DataFrame:
+    """created, updated or unchanged for each row of digested(), against the stored digests (source_id, identity, stored)."""
+    before = F.lag("digest").over(Window.partitionBy("source_id", "identity").orderBy("seq"))
+    seen = new.withColumn("before", before).join(old, ["source_id", "identity"], "left").withColumn("before", F.coalesce("before", "stored"))
+    action = F.when(F.col("before").isNull(), "created").when(F.col("before") == F.col("digest"), "unchanged").otherwise("updated")
+    return seen.select("source_id", "identity", "seq", "article_id", action.alias("action"))
+
+
 def upsert(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     """created, updated or unchanged for each incoming row (with seq, its order), as if they were applied one after the other.
 
     A row is compared with the row of the same source and identity before it: the one before it in the batch, else the stored one.
     """
     digest = editorial_hash({f: F.col(f) for f in FIELDS})
-    key = identity_key(F.col("external_id"), F.col("url"))
-    new = incoming.select("source_id", key.alias("identity"), "seq", "article_id", digest.alias("digest"))
-    old = existing.select("source_id", key.alias("identity"), digest.alias("stored")).dropDuplicates(["source_id", "identity"])
-    before = F.lag("digest").over(Window.partitionBy("source_id", "identity").orderBy("seq"))
-    seen = new.withColumn("before", before).join(old, ["source_id", "identity"], "left").withColumn("before", F.coalesce("before", "stored"))
-    action = F.when(F.col("before").isNull(), "created").when(F.col("before") == F.col("digest"), "unchanged").otherwise("updated")
-    return seen.select("source_id", "identity", "seq", "article_id", action.alias("action"))
+    old = existing.select("source_id", identity_key(F.col("external_id"), F.col("url")).alias("identity"), digest.alias("stored"))
+    return actions_of(digested(incoming), old.dropDuplicates(["source_id", "identity"]))
 
 
 def valid_host(url: Column) -> Column:
