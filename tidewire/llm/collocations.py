@@ -2,10 +2,10 @@
 
 Everything is exact; nothing that grows with the corpus is held by the driver or a worker:
 
-1. Every shard of about SHARD words counts its words and its runs of two and of three words under 64-bit keys; the
-   counts are added up by key. Keys that reach the least count set bits of a filter of FILTER bits, its fixed size, which goes
-   to the workers. Two keys that share a hash or a bit only let more through. A phrase that occurs often enough consists of
-   such words, pairs and triples, so no substring with another one is looked at.
+1. Every shard of about SHARD words counts its pairs of neighbouring words under 64-bit keys; the counts are added up by
+   key. Keys that reach the least count set bits of a filter of FILTER bits, its fixed size, which goes to the workers. Two
+   keys that share a hash or a bit only let more through. A phrase that occurs often enough consists of such pairs, so no
+   substring with another one is looked at.
 2. Every shard builds the suffix automaton of what is left, down to DEPTH words. Its states are the classes of substrings
    that end at the same positions; the longest one's length, the suffix link to the next class and the number of end positions
    are kept. The automaton is built level by level from the pairs (substring before, word), for all texts of the shard at
@@ -37,7 +37,7 @@ from tidewire.llm.common import materialize, released, text_bytes, text_chunks
 from tidewire.llm.words import U64, mix
 
 #: Words in a shard; words of the longest phrase; bits of the filter.
-SHARD, DEPTH, FILTER = 6_000_000, 5, 1 << 27
+SHARD, DEPTH, FILTER = 3_000_000, 5, 1 << 27
 #: What stands between pieces in a shard; no byte of UTF-8.
 BREAK = b"\xff"
 _BREAKS = bytes(255 if chr(b) in ".,;:!?\n\v\f\r" else b for b in range(256))
@@ -70,16 +70,10 @@ class Words:
     def keys(self) -> np.ndarray:
         return mix(np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), U64, len(self.words)) + U64(xxhash.xxh3_64_intdigest(self.lang)))
 
-    def runs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For two and for three words: where such runs within a piece end, and their keys."""
-        at, key = np.flatnonzero(self.ids > 0), self.keys[self.ids]
-        for _ in range(2):
-            at = at[1:][(np.diff(at) == 1)] if len(at) else at
-            at = at[self.ids[at - 1] > 0]
-            longer = np.zeros(len(key), U64)
-            longer[at] = mix(key[at - 1] * U64(0x9E3779B97F4A7C15) + self.keys[self.ids[at]])
-            key = longer
-            yield at, key[at]
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of words that follow another one within the piece, and keys of these pairs."""
+        at = np.flatnonzero((self.ids[:-1] > 0) & (self.ids[1:] > 0)) + 1
+        return at, mix(self.keys[self.ids[at - 1]] * U64(0x9E3779B97F4A7C15) + self.keys[self.ids[at]])
 
 
 def shards(batches: Iterator[pa.RecordBatch], size: int = SHARD) -> Iterator[Words]:
@@ -155,16 +149,13 @@ class Automaton:
 
 
 def _keys(docs: DataFrame) -> DataFrame:
-    """key, n of every word, pair and triple of neighbours."""
+    """key, n of every pair of neighbours."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in shards(batches):
-            n = np.bincount(shard.ids, minlength=len(shard.words))[1:]
-            yield pa.record_batch([pa.array(shard.keys[1:][n > 0].view(np.int64)), pa.array(n[n > 0])], ["key", "n"])
-            for _, keys in shard.runs():
-                key, n = np.unique(keys, return_counts=True)
-                for a in range(0, len(key), 1 << 18):
-                    yield pa.record_batch([pa.array(key[a : a + (1 << 18)].view(np.int64)), pa.array(n[a : a + (1 << 18)])], ["key", "n"])
+            key, n = np.unique(shard.pairs()[1], return_counts=True)
+            for a in range(0, len(key), 1 << 18):
+                yield pa.record_batch([pa.array(key[a : a + (1 << 18)].view(np.int64)), pa.array(n[a : a + (1 << 18)])], ["key", "n"])
 
     return docs.mapInArrow(released(run), "key long, n long")
 
@@ -184,21 +175,15 @@ def _passes(filter_: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (filter_[bit >> U64(6)] >> (bit & U64(63)) & U64(1)).astype(bool)
 
 
-def left_over(shard: Words, filter_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which word ids pass, and of how many words, at most, a substring is that ends at each position and has only words, pairs and triples that pass; 0 between pieces."""
-    word = _passes(filter_, shard.keys)
-    word[0] = False
+def left_over(shard: Words, filter_: np.ndarray) -> np.ndarray:
+    """Of how many words, at most, a substring is that ends at each position and has only pairs that pass; 0 between pieces."""
     most = (shard.ids > 0).astype(np.int64)
-    (two, two_keys), (three, three_keys) = shard.runs()
-    two = two[_passes(filter_, two_keys) & word[shard.ids[two]] & word[shard.ids[two - 1]]]
-    most[two] = 2
-    three = three[_passes(filter_, three_keys)]
-    three = three[(most[three] == 2) & (most[three - 1] == 2)]
-    if len(three):
-        start = np.concatenate([[True], np.diff(three) != 1])
-        first = np.flatnonzero(start)
-        most[three] = 3 + np.arange(len(three)) - np.repeat(first, np.diff(np.append(first, len(three))))
-    return word, most
+    at, keys = shard.pairs()
+    at = at[_passes(filter_, keys)]
+    if len(at):
+        first = np.flatnonzero(np.concatenate([[True], np.diff(at) != 1]))
+        most[at] = 2 + np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+    return most
 
 
 COUNTED = "lang string, phrase string, words int, n long, before boolean, after boolean"
@@ -215,11 +200,12 @@ def _counted(docs: DataFrame, filter_: np.ndarray, least: int) -> DataFrame:
 
         for shard in shards(batches):
             n = np.bincount(shard.ids, minlength=len(shard.words))
-            word, length = left_over(shard, shared.value)
-            some, no = np.flatnonzero(word & (n > 0)), lambda k: np.zeros(k, bool)
+            some, no = np.flatnonzero(n[1:]) + 1, lambda k: np.zeros(k, bool)
             yield rows(shard.lang, [b""], 0, np.array([n[1:].sum()]), no(1), no(1))
-            yield rows(shard.lang, [shard.words[i] for i in some.tolist()], 1, n[some], no(len(some)), no(len(some)))
-            automaton = Automaton(shard.ids, length)
+            for a in range(0, len(some), 1 << 16):
+                part = some[a : a + (1 << 16)]
+                yield rows(shard.lang, [shard.words[i] for i in part.tolist()], 1, n[part], no(len(part)), no(len(part)))
+            automaton = Automaton(shard.ids, left_over(shard, shared.value))
             for k in range(2, DEPTH + 1):
                 end, n, before, after = automaton.substrings(k)
                 for a in range(0, len(end), 1 << 16):
