@@ -74,3 +74,19 @@ def test_addresses(spark):
     rows = {"8.8.8.8": False, "10.1.2.3": True, "172.16.0.1": True, "172.32.0.1": False, "192.168.1.1": True, "127.0.0.1": True, "169.254.1.1": True, "256.1.1.1": True, "::1": True, "": True}
     assert values(spark, blocked_address, list(rows)) == list(rows.values())
     assert values(spark, local_host, ["localhost", "a.local", "example.com"]) == [True, True, False]
+
+
+def test_names_and_versions_of_text_in_any_case_and_script(spark):
+    texts = ["OpenAI  and Hugging Face ﬁle Étude İX", "ANNONCE GPT-4 ſtudy", "introduce v1.2 on 3 March 2024 priced at 5", "ｏｐｅｎａｉ½ …", "copıes Key", "", None]
+    rows = [(str(i), x) for i, x in enumerate(texts)]
+    got = {r["i"]: r for r in spark.createDataFrame(rows, "i string, x string").select("i", T.normalize_token(F.col("x")).alias("n"), S.nature(F.col("x")).alias("nature"), S.version(F.col("x")).alias("v"), S.entities(F.col("x"), F.lit(None).cast("string"), F.lit(None).cast("string")).alias("e")).collect()}
+    assert [got[str(i)]["n"] for i in range(7)] == ["openai and hugging face file etude ix", "annonce gpt-4 study", "introduce v1.2 on 3 march 2024 priced at 5", "openai 1 2 ...", "cop es key", "", None]
+    assert [got[str(i)]["nature"] for i in range(3)] == ["other", "launch", "launch"]
+    assert [got[str(i)]["v"] for i in range(3)] == [None, "gpt-4", "1.2"]
+    assert got["0"]["e"] == ["hugging face", "openai"] and got["2"]["e"] == ["march"]
+
+
+def test_names_cost_no_more_than_reading_the_text(spark):
+    """Names are put into the form of labels all at once: no expression is evaluated name by name but the list of words that are none."""
+    plan = spark.range(1).select(S.entities(F.lit("A b"), F.col("id").cast("string"), F.lit(None).cast("string")).alias("e"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(" not in plan
