@@ -5,6 +5,7 @@ from tidewire.functions import rules as R
 from tidewire.functions import signals as S
 from tidewire.functions import text as T
 from tidewire.functions import urls as U
+from tidewire.operators import publication
 from tidewire.sources.registry import blocked_address, local_host
 
 
@@ -90,3 +91,8 @@ def test_names_cost_no_more_than_reading_the_text(spark):
     """Names are put into the form of labels all at once: no expression is evaluated name by name but the list of words that are none."""
     plan = spark.range(1).select(S.entities(F.lit("A b"), F.col("id").cast("string"), F.lit(None).cast("string")).alias("e"))._jdf.queryExecution().optimizedPlan().toString()
     assert "transform(" not in plan
+
+
+def test_days_of_far_years_have_no_sign(spark):
+    days = spark.createDataFrame([(0, 0), (1, 27_000_000), (2, None)], "i int, d long").orderBy("i").select(publication.useful_date(F.col("d") * 86_400_000))
+    assert [r[0] for r in days.collect()] == ["1970-01-01", "75893-06-28", "unknown"]
