@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,3 +98,16 @@ def test_names_cost_no_more_than_reading_the_text(spark):
 def test_days_of_far_years_have_no_sign(spark):
     days = spark.createDataFrame([(0, 0), (1, 27_000_000), (2, None)], "i int, d long").orderBy("i").select(publication.useful_date(F.col("d") * 86_400_000))
     assert [r[0] for r in days.collect()] == ["1970-01-01", "75893-06-28", "unknown"]
+
+
+def test_words_of_patterns_and_first_characters(spark):
+    """Words that a pattern cannot do without, whatever its form, and patterns tried only at their first characters: the same as the plain patterns, in any case, with letters that fold to ASCII too."""
+    assert R._words(R.TOOLS[0]) == ["cursor", "ollama", "vllm"] and R._words(R.TOOL_VERSION[1]) == ["ollama", "vllm", "llama", "mlx"]
+    assert R._words(r"\bcolou?r") == ["colo"] and R._words(r"\babcd|x") is None and R._words(r"\b(?:abc|de)f") is None
+    texts = ["RELEAſED KIMI", "open\nsource", "an Open-Source tool", "llama.cpp 1.2", "reopen-weight", "GA", "ga_", "price: $ 12,5", "PRICED of 7", "£3", "uprice 4", "ſtarting 2024-01-02", "on 2 May 2024", "upon 2 May 2024", "v1.2", "xv1.2", "x1.2 V3.4", "dém", "Publié en", "agate", "ga", "den", "overden"]
+    rows = spark.createDataFrame([(x,) for x in texts], "t string").withColumn("low", T.fold_case(F.col("t")))
+    families = [*R.FAMILIES.values(), R.MAJOR_PHRASE, R.MAJOR_MODEL, R.TOOL_VERSION, R.TOOLS, R.OPEN]
+    got = rows.select("t", *(R._any(F.col("t"), p, F.col("low")).alias(f"a{i}") for i, p in enumerate(families)), *(F.regexp_substr("t", F.lit(S._anchored(p))).alias(f"b{i}") for i, p in enumerate(S._FIRST))).collect()
+    want = rows.select("t", *(R._any(F.col("t"), p).alias(f"a{i}") for i, p in enumerate(families)), *(F.regexp_substr("t", F.lit(T.js(p))).alias(f"b{i}") for i, p in enumerate(S._FIRST))).collect()
+    assert got == want
+    assert [set(r[0]) for r in rows.select(S.Seen.stems_of(F.col("low"))).collect()] == [set(re.findall("(?<![A-Za-z0-9_])(?:" + "|".join(S._WHOLE.get(s, s) for s in sorted({s for of in S.STEMS.values() for s in of})) + ")", r["low"])) for r in rows.collect()]
