@@ -685,3 +685,19 @@ def test_tensors_are_rows_of_the_output(edge, none, monkeypatch):
     assert media.tensors(media.store(none)).count() == 0
     missing = media.tensors(media.store(edge).limit(1).selectExpr("doc_id", "cast(null as binary) as media")).first()
     assert missing["tensor"] is None and missing["feature"] is None
+
+
+def test_wide_bitmaps_leave_fewer_pairs_to_verify():
+    """Of pairs that fall just short of linking, wide bitmaps rule out most that narrow ones leave over; a pair that links is never ruled out."""
+    rng = np.random.default_rng(3)
+    base, left = rng.integers(0, 1 << 62, 60, np.uint64), {}
+    sets = [np.concatenate([np.delete(base, rng.choice(60, k, replace=False)), rng.integers(0, 1 << 62, k, np.uint64)]) for k in rng.integers(1, 5, 200)]
+    n = np.full(len(sets), 60)
+    a, b = np.triu_indices(len(sets), 1)
+    linked = np.array([jaccard._linked(np.sort(sets[i]), np.sort(sets[j]), 4, 5) for i, j in zip(a, b)])
+    for times in (1, jaccard.WIDER):
+        bitmaps = jaccard._Bitmaps(jaccard._parity(np.concatenate(sets), n, times * jaccard._bits(n)))
+        likely = jaccard._likely(a, b, n, np.zeros_like(n), bitmaps, 4, 5)
+        assert likely[linked].all()
+        left[times] = int((likely & ~linked).sum())
+    assert left[1] > 100 and left[jaccard.WIDER] < 0.5 * left[1], left

@@ -38,6 +38,8 @@ from tidewire.llm.words import U64, WordKeys, ranges, shingles, split
 
 #: Bits of a parity bitmap: LEAST_BITS up to twice as many shingles, above that the next power of two, of which MOST_BITS are enough.
 LEAST_BITS, MOST_BITS = 512, 1 << 15
+#: So many times as many bits has the wide bitmap of a set, by which the pairs of lists that are read again are told apart.
+WIDER = 8
 #: A shingle in so many documents counts as frequent, if a chunk of text has it in at least LOCAL of its documents.
 FREQUENT, LOCAL, MOST_FREQUENT = 256, 3, 1 << 20
 #: A word counts as common if a chunk of text has it so often; so many of them are told apart by their counts.
@@ -97,6 +99,14 @@ def _bits(n: np.ndarray) -> np.ndarray:
     return np.where(n <= 2 * LEAST_BITS, LEAST_BITS, np.minimum(MOST_BITS, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64)))
 
 
+def _parity(keys: np.ndarray, n: np.ndarray, bits: np.ndarray) -> list[bytes]:
+    """The parity bitmap, of so many bits, of each of the sets of n keys that follow each other."""
+    ends = np.cumsum(bits)
+    bit = np.repeat(ends - bits, n) + (keys & np.repeat(bits - 1, n).astype(U64)).astype(np.int64)
+    parity = np.packbits(np.bincount(bit, minlength=int(ends[-1])) & 1, bitorder="little").tobytes()
+    return [parity[b - a : b] for a, b in zip((bits // 8).tolist(), (ends // 8).tolist())]
+
+
 class Order:
     """The global order of shingles. Keys in it: a bit for frequent shingles, 6 bits of the words' counts, 57 bits of hash."""
 
@@ -135,7 +145,7 @@ class Order:
 
 
 def _sets(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """doc_id, size, digest, prefix and bitmap of every row."""
+    """doc_id, size, digest, prefix, bitmap and wide bitmap of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(_counted(docs, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,22 +157,19 @@ def _sets(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
             need = -(-n * num // den)
             prefix = np.where(n > 0, n - need + 1, 0)
             flat = keys[ranges(at[:-1], prefix)].view(np.int64)
-            bits = _bits(n)
-            ends = np.cumsum(bits)
-            bit = np.repeat(ends - bits, n) + (keys & np.repeat(bits - 1, n).astype(U64)).astype(np.int64)
-            parity = np.packbits(np.bincount(bit, minlength=int(ends[-1])) & 1, bitorder="little").tobytes()
             yield pa.record_batch(
                 [
                     chunk.column(0),
                     pa.array(n),
                     pa.array(digest, pa.binary()),
                     pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(prefix)]).astype(np.int32)), pa.array(flat)),
-                    pa.array([parity[b - a : b] for a, b in zip((bits // 8).tolist(), (ends // 8).tolist())], pa.binary()),
+                    pa.array(_parity(keys, n, _bits(n)), pa.binary()),
+                    pa.array(_parity(keys, n, WIDER * _bits(n)), pa.binary()),
                 ],
-                ["doc_id", "n", "digest", "prefix", "bitmap"],
+                ["doc_id", "n", "digest", "prefix", "bitmap", "wide"],
             )
 
-    return docs.select("doc_id", text_bytes().alias("content")).mapInArrow(released(run), "doc_id long, n long, digest binary, prefix array<long>, bitmap binary")
+    return docs.select("doc_id", text_bytes().alias("content")).mapInArrow(released(run), "doc_id long, n long, digest binary, prefix array<long>, bitmap binary, wide binary")
 
 
 class _Bitmaps:
@@ -415,13 +422,13 @@ def join(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFra
     """doc_id, n_shingles, component_id of every row; component_id is the smallest doc_id reachable by links, itself included."""
     sets = materialize(_sets(docs, width, num, den))
     usable = sets.filter("n > 0 and doc_id is not null")
-    classes = usable.groupBy("digest", "n").agg(F.min("doc_id").alias("node"), F.min_by("prefix", "doc_id").alias("prefix"), F.min_by("bitmap", "doc_id").alias("bitmap"))
+    classes = usable.groupBy("digest", "n").agg(F.min("doc_id").alias("node"), F.min_by("prefix", "doc_id").alias("prefix"), F.min_by("bitmap", "doc_id").alias("bitmap"), F.min_by("wide", "doc_id").alias("wide"))
     classes = materialize(classes)
     entries = classes.select("node", "n", F.posexplode("prefix").alias("pos", "token")).withColumn("pos", F.col("pos").cast("long"))
     lists = materialize(entries.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1"))
-    bitmaps = classes.select(F.col("node").alias("bitmap_node"), F.col("n").alias("bitmap_n"), "bitmap")
-    held = entries.join(lists, "token").join(bitmaps, (F.col("node") == F.col("bitmap_node")) & (F.col("n") == F.col("bitmap_n")))
-    shared = materialize(held.select("token", "node", "n", "pos", "size", "bitmap"))
+    bitmaps = lambda c: classes.select(F.col("node").alias("bitmap_node"), F.col("n").alias("bitmap_n"), F.col(c).alias("bitmap"))
+    own = (F.col("node") == F.col("bitmap_node")) & (F.col("n") == F.col("bitmap_n"))
+    shared = materialize(entries.join(lists, "token").join(bitmaps("bitmap"), own).select("token", "node", "n", "pos", "size", "bitmap"))
     long = lists.filter(F.col("size") > SPLIT)
     ties = _ties(shared, long.agg(F.sum("size")).first()[0] or 0, num, den)
     contents = docs.filter("doc_id is not null").select(F.col("doc_id").alias("node"), text_bytes().alias("content"))
@@ -439,8 +446,10 @@ def join(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFra
     ends = group.select(F.col("node").alias("end"), "component")
     if tokens.limit(1).count():
         again = shared.join(small(tokens, 500_000)(tokens), "token", "left_semi").join(near(group), "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
-        rest = _compared(_between_groups(materialize(again)), num, den, False).select("a", "b").distinct()
-        rest = rest.join(small(checked, 500_000)(checked.select("a", "b")), ["a", "b"], "left_anti")
+        # Pairs of different groups mostly link with nothing: those that fall just short of it are ruled out by wide bitmaps, before they are rows.
+        again = materialize(again.drop("bitmap").join(bitmaps("wide"), own).drop("bitmap_node", "bitmap_n"))
+        rest = _compared(_between_groups(again), num, den, False).select("a", "b").distinct()
+        rest = materialize(rest.join(small(checked, 500_000)(checked.select("a", "b")), ["a", "b"], "left_anti"))
         more = materialize(_verify(rest, contents, width, num, den).filter("linked").select("a", "b"))
         if more.limit(1).count():
             of = lambda c: group.select(F.col("node").alias(c), F.col("component").alias(f"{c}_group"))
