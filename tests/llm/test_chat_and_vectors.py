@@ -193,3 +193,34 @@ def test_components(spark):
             up[max(x, y)] = min(x, y)
     got = {x["node"]: x["component"] for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: root(i) for i in up}
+
+
+def test_links_do_not_follow_the_number_of_vectors(spark, monkeypatch):
+    """Pairs near the least cosine that links, among few vectors of their label and among many: the same ones are found, and no more than a few are lost."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((1000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    noise = rng.standard_normal(x.shape)
+    noise -= (noise * x).sum(1, keepdims=True) * x
+    y = 0.9801 * x + np.sqrt(1 - 0.9801**2) * noise / np.linalg.norm(noise, axis=1, keepdims=True)
+    rows = [(2 * i + k, v.tolist(), 0) for i in range(len(x)) for k, v in enumerate((x[i], y[i]))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    found = []
+    for bucket in (1000, 8, 0.0005):
+        monkeypatch.setattr(itq, "BUCKET", bucket)
+        found.append({r["vec_id"] for r in itq.near_duplicates(df).collect() if r["n_links"]})
+    assert found[0] == found[1] == found[2] and len(found[0]) >= 0.995 * len(rows)
+
+
+@pytest.mark.parametrize("dim", [64, 128, 384])
+def test_recall_of_the_width(dim):
+    """Pairs at a cosine of 0.98: the share that is compared."""
+    rng = np.random.default_rng(dim)
+    x = rng.standard_normal((20_000, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    noise = rng.standard_normal(x.shape)
+    noise -= (noise * x).sum(1, keepdims=True) * x
+    y = 0.98 * x + np.sqrt(1 - 0.98**2) * noise / np.linalg.norm(noise, axis=1, keepdims=True)
+    model = itq.fit(x[:5000])
+    same = (itq.codes(x, model) == itq.codes(y, model)).sum(1)
+    assert (same >= itq.WIDTH).mean() >= 0.998

@@ -4,10 +4,11 @@
    are learned so that signs of the rotated vectors lose as little as possible; each bit's threshold lies where the
    sample is sparsest between its 30th and 70th percentile, so bits are balanced and groups of copies are not cut, however
    many vectors belong to one. All vectors are then indexed by the 64 bits of their code.
-2. The code's 8 bytes index tables: one for each choice of r bytes, r following the number of vectors of a label and length
-   so that their buckets stay small: none up to BUCKET vectors, then 1, 2, and 3 at most. A pair that agrees in r bytes
-   meets in a bucket; it counts only in the first table where it meets. Of pairs at a cosine of just 0.98, at least 0.96
-   meet at each r (tests/llm measures it); 4 bytes would lose more than a tenth.
+2. The code's 8 bytes index tables, one for each choice of WIDTH bytes, the same for every number of vectors: a pair is
+   compared if it agrees in WIDTH bytes, so what is found does not follow from how many other rows there are. It counts
+   only in the first table where it meets. Of pairs at a cosine of just 0.98, at least 0.998 meet at a width of 1
+   (tests/llm measures it), whose buckets hold about a 256th of a label each; the comparisons of a label grow with its
+   square over 32. A caller with labels of many millions may take a larger width for all (least share found: 0.95 at 3).
 3. Within a bucket, pairs are reranked by the cosine of the original vectors in double precision. A bucket of over BLOCK
    vectors is dealt out to a task for each two blocks of it. Buckets send on sums and ties, never pairs.
 4. Equal vectors are one class throughout; components come from the ties.
@@ -34,6 +35,7 @@ from tidewire.llm.common import materialize, released, small
 from tidewire.llm.components import components
 
 BITS, SAMPLE, ROUNDS, BLOCK, BUCKET, SEED = 64, 20_000, 40, 2048, 64, 7
+WIDTH = 1
 
 
 def _rotation(n: int, m: int) -> np.ndarray:
@@ -94,12 +96,12 @@ def tables(r: int) -> list[tuple[int, ...]]:
 
 
 def _width(vectors: Column) -> Column:
-    """The number of code bytes for which a bucket holds about BUCKET of so many vectors."""
+    """The number of code bytes for which a bucket holds about BUCKET of so many vectors: advice for callers that pass a width, never taken by itself."""
     return reduce(lambda x, r: x + F.when(vectors > BUCKET * 256**r, 1).otherwise(0), range(MOST), F.lit(0))
 
 
-def near_duplicates(rows: DataFrame, least: float = 0.98, block: int = BLOCK) -> DataFrame:
-    """vec_id, n_links, component_id and kept of every row of (vec_id, embedding, label)."""
+def near_duplicates(rows: DataFrame, least: float = 0.98, block: int = BLOCK, width: int = WIDTH) -> DataFrame:
+    """vec_id, n_links, component_id and kept of every row of (vec_id, embedding, label); pairs that agree in width code bytes are compared."""
     spark = rows.sparkSession
     fine = F.size("embedding") > 0
     fine &= F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0)
@@ -114,29 +116,27 @@ def near_duplicates(rows: DataFrame, least: float = 0.98, block: int = BLOCK) ->
         if dim < BITS or len(own) >= 2 * BITS:
             models[dim] = fit(_matrix(own))
     shared = spark.sparkContext.broadcast(models)
-    groups = materialize(classes.groupBy("label", "dim").agg(F.count("*").alias("vectors")))
-    widths = groups.select("label", "dim", _width(F.col("vectors")).alias("r"))
-    grouped = classes.join(small(groups)(widths), ["label", "dim"]).select("row", F.xxhash64("label", "dim").alias("group"), "r", "dim", "embedding")
+    chosen = tables(width)
+    grouped = classes.select("row", F.xxhash64("label", "dim").alias("group"), "dim", "embedding")
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = shared.value
         for batch in batches:
-            kind = np.stack([batch.column(i).to_numpy() for i in (3, 2)], 1)
-            for dim, r in np.unique(kind, axis=0).tolist():
-                part = batch.filter(pa.array((kind == (dim, r)).all(1)))
-                code = codes(_matrix(part.column(4)), models.get(dim) or (_rotation(dim, BITS), np.zeros(BITS)))
-                chosen = tables(r)
+            dims = batch.column(2).to_numpy()
+            for dim in np.unique(dims).tolist():
+                part = batch.filter(pa.array(dims == dim))
+                code = codes(_matrix(part.column(3)), models.get(dim) or (_rotation(dim, BITS), np.zeros(BITS)))
                 keys = np.stack([np.pad(code[:, c], ((0, 0), (8 - len(c) - 1, 1))).copy().view(">i8")[:, 0] + t for t, c in enumerate(chosen)], 1).astype(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, len(chosen), dtype=np.int32)), pa.array(keys.ravel()))
-                yield pa.record_batch([*part.columns[:3], pa.array([c.tobytes() for c in code], pa.binary()), lists], ["row", "group", "r", "code", "keys"])
+                yield pa.record_batch([*part.columns[:2], pa.array([c.tobytes() for c in code], pa.binary()), lists], ["row", "group", "code", "keys"])
 
-    coded = materialize(grouped.mapInArrow(released(index), "row long, group long, r int, code binary, keys array<long>"))
-    placed = coded.select("row", "code", "group", "r", F.explode("keys").alias("key"))
+    coded = materialize(grouped.mapInArrow(released(index), "row long, group long, code binary, keys array<long>"))
+    placed = coded.select("row", "code", "group", F.explode("keys").alias("key"))
     full = materialize(placed.groupBy("group", "key").agg(F.count("*").alias("n")).filter(F.col("n") > block).withColumn("blocks", F.ceil(F.col("n") / block).cast("int")))
     hint = small(full)
     dealt = placed.join(hint(full.select("group", "key", "blocks")), ["group", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("row", "code", "group", "key", "r", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), F.col("block").alias("block"))
+    dealt = dealt.select("row", "code", "group", "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), F.col("block").alias("block"))
     asked = dealt.join(classes.select("row", "vec_id", "copies", "embedding"), "row")
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,12 +146,12 @@ def near_duplicates(rows: DataFrame, least: float = 0.98, block: int = BLOCK) ->
             names = np.stack([table.column(k).to_numpy() for k in range(4)], 1)
             starts = np.flatnonzero(np.concatenate([[True], (names[1:] != names[:-1]).any(1)]))
             held = table.slice(int(starts[-1]))
-            yield from _reranked(table.slice(0, int(starts[-1])), starts, least)
+            yield from _reranked(table.slice(0, int(starts[-1])), starts, least, chosen)
         if held is not None:
-            yield from _reranked(held, np.zeros(1, np.int64), least)
+            yield from _reranked(held, np.zeros(1, np.int64), least, chosen)
 
     order = ["group", "key", "low", "high"]
-    sent = asked.select(*order, "block", "row", "vec_id", "copies", "code", "embedding", "r").repartition(*order).sortWithinPartitions(*order)
+    sent = asked.select(*order, "block", "row", "vec_id", "copies", "code", "embedding").repartition(*order).sortWithinPartitions(*order)
     met = materialize(sent.mapInArrow(released(rerank), "row long, links long, vec long, root long"))
     links = met.groupBy("row").agg(F.sum("links").alias("links"))
     members = usable.join(classes.select("label", "embedding", "row", F.col("vec_id").alias("first"), "copies").join(links, "row", "left"), ["label", "embedding"])
@@ -162,18 +162,18 @@ def near_duplicates(rows: DataFrame, least: float = 0.98, block: int = BLOCK) ->
     return done.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
-def _reranked(table: pa.Table, starts: np.ndarray, least: float) -> Iterator[pa.RecordBatch]:
+def _reranked(table: pa.Table, starts: np.ndarray, least: float, chosen: list[tuple[int, ...]]) -> Iterator[pa.RecordBatch]:
     """Links of each vector within the buckets of a sorted table, weighed by copies, and the smallest vec_id it is tied to there."""
     if not table.num_rows:
         return
     key, low, high, block, row, vec, copies = (table.column(k).to_numpy(zero_copy_only=False) for k in range(1, 8))
     code = np.frombuffer(b"".join(table.column(8).to_pylist()), np.uint8).reshape(-1, BITS // 8)
-    vectors, width = table.column(9).combine_chunks(), table.column(10).to_numpy()
+    vectors = table.column(9).combine_chunks()
     out = []
     for a, b in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows]):
         if b - a < 2 or a >= table.num_rows:
             continue
-        choice = tables(int(width[a]))[int(key[a]) & 0xFF]
+        choice = chosen[int(key[a]) & 0xFF]
         x = _matrix(vectors.slice(a, b - a))
         near = x @ x.T >= least
         i, j = np.nonzero(np.triu(near, 1))
