@@ -111,3 +111,12 @@ def test_words_of_patterns_and_first_characters(spark):
     want = rows.select("t", *(R._any(F.col("t"), p).alias(f"a{i}") for i, p in enumerate(families)), *(F.regexp_substr("t", F.lit(T.js(p))).alias(f"b{i}") for i, p in enumerate(S._FIRST))).collect()
     assert got == want
     assert [set(r[0]) for r in rows.select(S.Seen.stems_of(F.col("low"))).collect()] == [set(re.findall("(?<![A-Za-z0-9_])(?:" + "|".join(S._WHOLE.get(s, s) for s in sorted({s for of in S.STEMS.values() for s in of})) + ")", r["low"])) for r in rows.collect()]
+
+
+def test_sanitize_spares_plain_texts(spark):
+    """Texts that need nothing skip the steps, all others go through them; both ways give the same."""
+    odd = ["a", " a ", "a  b", "a\tb", "a\n\n\nb", "a\r\nb", "a\r", "\n a \n", "a\x00b", "a\x0bb", "a\x0cb", "a\x85b", "a b", "　a﻿", "a<b>c", "1 < 2", "a<!-- x -->b", "a & b", "&amp;lt;&#64;here", "@HERE", "<@12>", "<@&3> <#4>", "@12345", "&lt;@!5&gt;", "日本 😀", "", None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(odd)], "i int, t string")
+    t = F.col("t")
+    for r in df.select(T.sanitize(t).alias("a"), T._sanitized(t, False).alias("b"), T.sanitize(t, keep_lines=True).alias("c"), T._sanitized(t, True).alias("d")).collect():
+        assert r["a"] == r["b"] and r["c"] == r["d"]
