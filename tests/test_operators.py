@@ -218,3 +218,13 @@ def test_total_shrinks_part_by_part(spark):
     assert len(done[1]["description"]) == 6000 - 200 - 2002 - 4 and done[1]["warnings"] == ["embed_total_truncated:description"]
     assert done[2]["description"] is None and len(done[2]["fields"]) == 5 and done[2]["warnings"] == ["embed_total_truncated:description_removed"] + ["field_omitted:f", "embed_total_truncated:field_dropped"] * 2
     assert done[3]["description"] == "d" and done[3]["warnings"] == []
+
+
+def test_facts_are_sanitized_once(spark):
+    """No filter below the aggregation repeats the sanitizing; facts without a key or a value count as none."""
+    rows = [(1, "b", "2"), (1, "a", "1"), (1, "", "x"), (1, None, "x"), (2, "k", " "), (3, "k", None), (4, "<b>k</b>", "&amp;")]
+    facts = spark.createDataFrame(rows, "folder_id int, key string, value string")
+    lines = publication._lines_of(facts)
+    assert {r["folder_id"]: r["lines"] for r in lines.collect()} == {1: "• a: 1\n• b: 2", 4: "• k: &"}
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Filter" in x and "@everyone" in x]
