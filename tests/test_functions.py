@@ -120,3 +120,18 @@ def test_sanitize_spares_plain_texts(spark):
     t = F.col("t")
     for r in df.select(T.sanitize(t).alias("a"), T._sanitized(t, False).alias("b"), T.sanitize(t, keep_lines=True).alias("c"), T._sanitized(t, True).alias("d")).collect():
         assert r["a"] == r["b"] and r["c"] == r["d"]
+
+
+def test_patterns_by_table_and_first_letter(spark):
+    """What is looked up in tables, or looked for by its first letters, is what the plain patterns find; a search is named once in what it is put into."""
+    texts = ["", "ga", "x ga", "éga", "gaé ga", "reportédelay reporté", "announced", "_release", "release_", "new model", "opensource open source", "priced of $ 3,5", "PRICE 7", "no price $", "£ 12.50 €3", "mistral", "Mistral-3b", "gpt  4", "gpt 4 v1.2", "on  2024-01-02", "in 12 May 2024 starting 3 May 2024", "méta", "hugging-face hugging+face hugging, (face", "Ünïcode ﬃ straße ＡＢ  á", "pricıng 4"]
+    df = spark.createDataFrame([(i, x, x.lower()) for i, x in enumerate(texts)], "i int, t string, low string")
+    every = [p for ps in (S.NATURES.values(), (x[2] for x in S.FLAGS + S.STATUSES), *R.FAMILIES.values(), R.MAJOR_PHRASE, R.MAJOR_MODEL, R.TOOL_VERSION, R.TOOLS, R.OPEN) for p in ps]
+    for fast, plain in df.select(F.array(*(F.col("low").rlike(T.cased(p)) for p in every)), F.array(*(F.col("low").rlike(T.js(p, False)) for p in every))).collect():
+        assert fast == plain
+    price = lambda p: F.regexp_replace(F.regexp_extract("t", p, 0), r"^[^0-9]*", "")
+    for r in df.select("t", price(S._PRICE).alias("a"), price(T.js(S.PRICE)).alias("b"), F.regexp_like("t", F.lit(T.js(S.EVENT_DATE))).alias("d"), F.regexp_like(T.fold_case(F.col("t")), F.lit(S._DATED)).alias("may"), S.product(F.col("t")).alias("p"), S.version(F.col("t")).alias("v"), T.normalize_token(F.col("t")).alias("n")).collect():
+        assert r["a"] == r["b"] and (r["may"] or not r["d"])
+        assert r["p"] == next((o for o in S.ORGS if o in r["n"]), None)
+    assert df.select(T.normalize_token(F.col("t"))).collect()[23][0] == "unicode ffi stra e ab a"
+    assert str(S.fact_values(F.col("t"), S.Seen(F.col("low"), F.array()))["price"]).count("regexp_extract(") == 1

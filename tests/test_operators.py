@@ -228,3 +228,20 @@ def test_facts_are_sanitized_once(spark):
     assert {r["folder_id"]: r["lines"] for r in lines.collect()} == {1: "• a: 1\n• b: 2", 4: "• k: &"}
     plan = lines._jdf.queryExecution().optimizedPlan().toString()
     assert not [x for x in plan.splitlines() if "Filter" in x and "@everyone" in x]
+
+
+def test_candidates_are_compared_as_bits(spark):
+    """resolve() says what decide() says of all pairs, for more candidates than a word has bits, and takes a row for each word, not for each pair."""
+    ids, names = [f"f{i:03d}" for i in range(130)], ["openai", "mistral", "cohere", None]
+    kinds, tiers, day = ["launch", "update", "other", "paper", "acquisition"], "SABCDE", 86_400_000
+    fact = lambda k: {"key": k, "value": "x"}
+    prints = [(f, "closed" if i == 7 else "open", [f"e{i % 70}"] if i % 3 else [], [f"c{i % 9}"] if i % 2 else [], [f"u{i}"] if i in (63, 127) else [], ["price:1"] if i % 2 else [], names[i % 4], f"{i % 5}.0" if i % 6 else None, kinds[i % 5], tiers[i % 6], i * day if i % 11 else None) for i, f in enumerate(ids)]
+    folders = spark.createDataFrame(prints, "folder_id string, status string, entities array<string>, labels array<string>, urls array<string>, `keys` array<string>, product string, version string, nature string, tier string, date long")
+    rows = [(f"a{i}", f"t  {i}", [f"e{i % 90}"] if i % 4 else [], [f"c{i % 12}"] if i % 3 else [], "u63" if i == 5 else "u127" if i == 6 else "u64", [fact("price:1"), fact("version:2")][: i % 3], names[(i // 2) % 4], f"{i % 7}.0" if i % 5 else None, kinds[(i // 3) % 5], tiers[(i // 5) % 6] if i % 13 else None, (i - 20) * day + i % 3 - 1 if i % 17 else None, i % 19 != 0) for i in range(200)]
+    articles = spark.createDataFrame(rows, "article_id string, title string, entities array<string>, labels array<string>, canonical string, facts array<struct<key:string,value:string>>, product string, version string, nature string, source_tier string, published_at long, `primary` boolean")
+    got = sorted(map(str, matching.resolve(articles, folders).collect()))
+    assert got == sorted(map(str, matching.decide(articles, matching.pairs(articles, folders)).collect()))
+    assert sum("attach_enrich" in r for r in got) and sum("duplicate_editorial" in r for r in got) and sum("multiple_plausible" in r for r in got)
+    held, _ = matching._levels(articles, folders)
+    assert held.count() == 3 * sum(r[-1] for r in rows)
+    assert {r["issue"] for r in matching.resolve(articles, folders.limit(0)).collect()} == {"create_dossier", "ambiguous_no_action"}
