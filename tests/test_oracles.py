@@ -40,3 +40,17 @@ def test_every_order_has_a_message(spark):
     orders = {r[0] for r in spark.read.parquet(f"{DATA}/lineitem.parquet").select("l_orderkey").distinct().collect()}
     got = [r["folder_id"] for r in QUERIES["q_enrichment_payload_all"](spark, DATA).collect()]
     assert orders <= set(got) and len(got) == len(set(got))
+
+
+def test_editorial_hash_on_odd_texts(spark, tmp_path):
+    """Blanks of all kinds, empty and null titles and languages: the digests are those of the SQL."""
+    marks = [chr(c) for c in (*range(0x20), 0x22, 0x5C, 0x7F, 0x85, 0xA0, 0x1680, 0x2007, 0x200B, 0x2028, 0x202F, 0x205F, 0x3000, 0xFEFF, 0x1F600)]
+    texts = ["", " ", "\nx", None, *(x for m in marks for x in (f"a{m}{m}b", f"{m}ab", f"ab {m}", m))]
+    some = [(t, "en") for t in texts] + [("a b", x) for x in ("", " ", None, "EN", " e  n ", "e\u00a0n", "\u0130")]
+    docs = [(3 * i + k, text, lang, "s", 0) for i, (text, lang) in enumerate(some) for k in range(2)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    mine = {r["seq"]: r["digest"] for r in QUERIES["q_editorial_hash"](spark, str(tmp_path)).collect()}
+    theirs = dict(con.execute(ORACLES["q_editorial_hash"]).fetchall())
+    assert len(theirs) == len(docs) and {d[0]: d[1:3] for d in docs if mine[d[0]] != theirs[d[0]]} == {}

@@ -41,8 +41,11 @@ def editorial(c: dict[str, Column]) -> dict[str, Column]:
 
 
 def editorial_hash(c: dict[str, Column]) -> Column:
+    return hash_of(editorial(c))
+
+
+def hash_of(e: dict[str, Column]) -> Column:
     """SHA-256 of the compared fields as JSON in a fixed order, nulls kept."""
-    e = editorial(c)
     return F.sha2(F.to_json(F.struct(*(e[f].alias(f) for f in FIELDS)), {"ignoreNullFields": "false"}), 256)
 
 
