@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewire.operators import matching
 from tidewire.plans import record_queries, signal_queries
+from tidewire.streaming import cycle
 
 PRINTS = "folder_id string, status string, entities array<string>, labels array<string>, urls array<string>, `keys` array<string>, product string, version string, nature string, tier string, date long"
 ARTICLES = "article_id string, title string, entities array<string>, labels array<string>, canonical string, facts array<struct<key:string,value:string>>, product string, version string, nature string, source_tier string, published_at long, `primary` boolean"
@@ -76,3 +77,16 @@ def many_documents(spark, tmp_path_factory):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{at}/documents.parquet/*.parquet'")
     return at, con
+
+
+def test_a_cycle_compares_with_every_dossier(spark, tmp_path):
+    """Each of 520 articles finds the one dossier of its version; bounded to the most recent ones, the rest open new dossiers."""
+    rows = [(f"a{i:03d}", "press", "E", f"Mistral launches Mixtral 8.{i}", f"https://press.example/{i}", i, None, f"Mistral launches Mixtral 8.{i} today.", []) for i in range(520)]
+    first = spark.createDataFrame(rows, "article_id string, source_id string, source_tier string, title string, url string, published_at long, summary string, content string, categories array<string>")
+    again = first.withColumn("article_id", F.concat(F.lit("b"), "article_id")).withColumn("url", F.concat("url", F.lit("/again")))
+    state = cycle.State(spark, f"file://{tmp_path}")
+    cycle.matched(state, first, 1, 1_000)
+    state.mark(1, spark.createDataFrame([({}, "completed")], "counters map<string,long>, status string"))
+    count = lambda most: {r["issue"]: r["count"] for r in cycle.matched(state, again, 2, 2_000, most)[0].groupBy("issue").count().collect()}
+    assert count(None) == {"duplicate_editorial": 520}
+    assert count(500) == {"duplicate_editorial": 500, "create_dossier": 20}
