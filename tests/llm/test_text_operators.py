@@ -701,3 +701,36 @@ def test_wide_bitmaps_leave_fewer_pairs_to_verify():
         assert likely[linked].all()
         left[times] = int((likely & ~linked).sum())
     assert left[1] > 100 and left[jaccard.WIDER] < 0.5 * left[1], left
+
+
+def test_lists_with_the_same_sets_are_read_once(spark):
+    """Only the one whose shingle comes first in the global order, which is that of numbers without a sign, stays; others of the same size do not count as the same."""
+    lists = {7: [(1, 5), (2, 5)], 5: [(1, 5), (2, 5)], -3: [(2, 5), (1, 5)], 9: [(1, 5), (2, 5), (3, 5)], 11: [(1, 4), (1, 5)], -8: [(1, 4), (2, 5)]}
+    entries = [(t, node, n, 0, len(own)) for t, own in lists.items() for node, n in own]
+    kept = jaccard._first_lists(spark.createDataFrame(entries, "token long, node long, n long, pos long, size long")).collect()
+    assert {r["token"]: r["size"] for r in kept} == {5: 2, 9: 3, 11: 2, -8: 2}
+
+
+def test_similarity_join_keeps_little_on_disk(spark, monkeypatch):
+    """Sets, lists and entries go as soon as nothing reads them; shuffle files of its queries go with them, and the session is as it was."""
+    name, made, put = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", [], jaccard.materialize
+    before, seen = spark.conf.get(name, "false"), set()
+
+    def noted(rows):
+        seen.add(spark.conf.get(name))
+        made.append(put(rows))
+        return made[-1]
+
+    monkeypatch.setattr(jaccard, "materialize", noted)
+    r = random.Random(4)
+    base = [" ".join(r.choice("abcdefghijklmnop") + r.choice("qrstuv") for _ in range(60)) for _ in range(5)]
+    docs = [(i, base[i % 5] + f" x{i % 7}") for i in range(35)]
+    jaccard.join(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+
+    def left(rows):
+        path = spark._jvm.org.apache.hadoop.fs.Path(rows.inputFiles()[0])
+        return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+    tables = {tuple(t.columns): left(t) for t in made}
+    assert not tables["doc_id", "n", "digest", "prefix", "bitmap", "wide"] and not tables["token", "node", "n", "pos", "size"] and tables["doc_id", "n", "digest", "usable"]
+    assert seen == {"true"} and spark.conf.get(name, "false") == before

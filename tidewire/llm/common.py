@@ -7,6 +7,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +55,26 @@ def appended(rows: DataFrame, path: str | None = None) -> tuple[DataFrame, str]:
     return spark.read.schema(rows.schema).parquet(path), path
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Within it, the shuffle files of a query go when it ends, not when the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def drop(rows: DataFrame) -> None:
+    """Deletes a table of materialize() that nothing reads any more."""
+    spark = rows.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in rows.inputFiles()}:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def small(rows: DataFrame, most: int = 100_000) -> Callable[[DataFrame], DataFrame]:
     """A hint for tables with as many rows as these (slim ones): broadcast if counted to be few, else left to a shuffle."""
     return F.broadcast if rows.limit(most + 1).count() <= most else lambda df: df

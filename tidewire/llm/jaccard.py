@@ -7,7 +7,8 @@ Two documents link when |A & B| * den >= |A | B| * num. The stages:
    is exact under any order.
 2. Every document becomes its set's size, digest, prefix and a parity bitmap. Equal sets become one class, whose smallest
    doc_id represents it, so copies cost nothing later on.
-3. Index lists: the prefix entries of each shingle. Lists with one set are skipped at once. Within a list, entries lie by
+3. Index lists: the prefix entries of each shingle. Lists with one set are skipped at once, as are all but the first of
+   lists with the same sets. Within a list, entries lie by
    set size and position in blocks of STEP, and two blocks whose sizes and positions rule out all their pairs are skipped
    unread; then size, position and bitmap rule out single pairs.
 4. Answer-level skipping: a set that a list shows to be very similar to others gets its answer, the component, from one of
@@ -32,14 +33,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import materialize, released, small, text_bytes, text_chunks
+from tidewire.llm.common import drop, materialize, released, shuffles_removed, small, text_bytes, text_chunks
 from tidewire.llm.components import components
 from tidewire.llm.words import U64, WordKeys, ranges, shingles, split
 
 #: Bits of a parity bitmap: LEAST_BITS up to twice as many shingles, above that the next power of two, of which MOST_BITS are enough.
 LEAST_BITS, MOST_BITS = 512, 1 << 15
-#: So many times as many bits has the wide bitmap of a set, by which the pairs of lists that are read again are told apart.
-WIDER = 8
+#: So many times as many bits at most has the wide bitmap of a set, by which the pairs of lists that are read again are told apart; WIDE bits a shingle, and up to twice as many, are enough.
+WIDER, WIDE = 8, 4
 #: A shingle in so many documents counts as frequent, if a chunk of text has it in at least LOCAL of its documents.
 FREQUENT, LOCAL, MOST_FREQUENT = 256, 3, 1 << 20
 #: A word counts as common if a chunk of text has it so often; so many of them are told apart by their counts.
@@ -99,6 +100,10 @@ def _bits(n: np.ndarray) -> np.ndarray:
     return np.where(n <= 2 * LEAST_BITS, LEAST_BITS, np.minimum(MOST_BITS, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64)))
 
 
+def _wide_bits(n: np.ndarray) -> np.ndarray:
+    return np.clip(1 << np.ceil(np.log2(np.maximum(WIDE * n, 1))).astype(np.int64), LEAST_BITS, WIDER * _bits(n))
+
+
 def _parity(keys: np.ndarray, n: np.ndarray, bits: np.ndarray) -> list[bytes]:
     """The parity bitmap, of so many bits, of each of the sets of n keys that follow each other."""
     ends = np.cumsum(bits)
@@ -164,7 +169,7 @@ def _sets(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
                     pa.array(digest, pa.binary()),
                     pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(prefix)]).astype(np.int32)), pa.array(flat)),
                     pa.array(_parity(keys, n, _bits(n)), pa.binary()),
-                    pa.array(_parity(keys, n, WIDER * _bits(n)), pa.binary()),
+                    pa.array(_parity(keys, n, _wide_bits(n)), pa.binary()),
                 ],
                 ["doc_id", "n", "digest", "prefix", "bitmap", "wide"],
             )
@@ -420,15 +425,34 @@ def _linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
 
 def join(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; component_id is the smallest doc_id reachable by links, itself included."""
+    with shuffles_removed(docs.sparkSession):
+        return _joined(docs, width, num, den)
+
+
+def _first_lists(entries: DataFrame) -> DataFrame:
+    """(token, size): of lists with the same entries the one whose shingle comes first in the global order. Its entries lie foremost in their sets, so the bounds leave all pairs that those of the others leave; near copies share most of their prefixes, and with them as many lists."""
+    mark = lambda salt: F.bit_xor(F.xxhash64(F.lit(salt), "node", "n"))
+    unsigned = F.col("token").bitwiseXOR(F.lit(-(1 << 63)))
+    alike = entries.groupBy("token", "size").agg(mark("a").alias("a"), mark("b").alias("b")).groupBy("size", "a", "b")
+    return alike.agg(F.min(unsigned).alias("first")).select(F.col("first").bitwiseXOR(F.lit(-(1 << 63))).alias("token"), "size")
+
+
+def _joined(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     sets = materialize(_sets(docs, width, num, den))
-    usable = sets.filter("n > 0 and doc_id is not null")
-    classes = usable.groupBy("digest", "n").agg(F.min("doc_id").alias("node"), F.min_by("prefix", "doc_id").alias("prefix"), F.min_by("bitmap", "doc_id").alias("bitmap"), F.min_by("wide", "doc_id").alias("wide"))
+    classes = sets.filter("n > 0 and doc_id is not null").groupBy("digest", "n").agg(F.min("doc_id").alias("node"), F.min_by("prefix", "doc_id").alias("prefix"), F.min_by("bitmap", "doc_id").alias("bitmap"), F.min_by("wide", "doc_id").alias("wide"))
     classes = materialize(classes)
+    known = materialize(sets.select("doc_id", "n", "digest", ((F.col("n") > 0) & F.col("doc_id").isNotNull()).alias("usable")))
+    drop(sets)
+    usable = known.filter("usable")
     entries = classes.select("node", "n", F.posexplode("prefix").alias("pos", "token")).withColumn("pos", F.col("pos").cast("long"))
-    lists = materialize(entries.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1"))
+    several = materialize(entries.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1"))
+    met = materialize(entries.join(several, "token").select("token", "node", "n", "pos", "size"))
+    lists = materialize(_first_lists(met))
     bitmaps = lambda c: classes.select(F.col("node").alias("bitmap_node"), F.col("n").alias("bitmap_n"), F.col(c).alias("bitmap"))
     own = (F.col("node") == F.col("bitmap_node")) & (F.col("n") == F.col("bitmap_n"))
-    shared = materialize(entries.join(lists, "token").join(bitmaps("bitmap"), own).select("token", "node", "n", "pos", "size", "bitmap"))
+    shared = materialize(met.drop("size").join(small(lists, 500_000)(lists), "token").join(bitmaps("bitmap"), own).select("token", "node", "n", "pos", "size", "bitmap"))
+    drop(several)
+    drop(met)
     long = lists.filter(F.col("size") > SPLIT)
     ties = _ties(shared, long.agg(F.sum("size")).first()[0] or 0, num, den)
     contents = docs.filter("doc_id is not null").select(F.col("doc_id").alias("node"), text_bytes().alias("content"))
@@ -446,9 +470,11 @@ def join(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFra
     ends = group.select(F.col("node").alias("end"), "component")
     if tokens.limit(1).count():
         again = shared.join(small(tokens, 500_000)(tokens), "token", "left_semi").join(near(group), "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
+        again = materialize(again.drop("bitmap"))
+        drop(shared)
         # Pairs of different groups mostly link with nothing: those that fall just short of it are ruled out by wide bitmaps, before they are rows.
-        again = materialize(again.drop("bitmap").join(bitmaps("wide"), own).drop("bitmap_node", "bitmap_n"))
-        rest = _compared(_between_groups(again), num, den, False).select("a", "b").distinct()
+        apart = _between_groups(again).join(bitmaps("wide"), own)
+        rest = materialize(_compared(apart, num, den, False).select("a", "b").distinct())
         rest = materialize(rest.join(small(checked, 500_000)(checked.select("a", "b")), ["a", "b"], "left_anti"))
         more = materialize(_verify(rest, contents, width, num, den).filter("linked").select("a", "b"))
         if more.limit(1).count():
@@ -459,7 +485,6 @@ def join(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFra
             grown = group.join(wider, "component", "left").select("node", F.coalesce("wider", "component").alias("component"))
             ends = materialize(grown.union(alone.select("component", "wider"))).select(F.col("node").alias("end"), "component")
     ends = of_class.join(ends, F.col("node") == F.col("end"), "left").select("digest", "n", F.coalesce("component", "node").alias("component"), F.lit(True).alias("usable"))
-    known = sets.select("doc_id", "n", "digest", ((F.col("n") > 0) & F.col("doc_id").isNotNull()).alias("usable"))
     return known.join(ends, ["digest", "n", "usable"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
